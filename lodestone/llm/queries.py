@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, html_cut, packing, quality, setsketch, token_counts, wavelet
+from . import bpe_automaton, decontaminate, html_cut, lines, packing, quality, setsketch, token_counts, wavelet
 from .common import new_path
 
 
@@ -51,6 +51,11 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_fuzzy", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_html_main_text": op7_html_main_text,
         "op8_bpe_automaton": op8_bpe_automaton,
+        "op9_fuzzy_lines": op9_fuzzy_lines,
         "op10_vector_packing": op10_vector_packing,
     }
 
