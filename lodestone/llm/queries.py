@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, html_cut, lines, packing, quality, setsketch, token_counts, wavelet
+from . import bpe_automaton, decontaminate, html_cut, lines, packing, quality, setsketch, suffixes, token_counts, wavelet
 from .common import new_path
 
 
@@ -31,6 +31,10 @@ def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet_tokens": op1_wavelet_tokens,
         "op2_quality_cascade": op2_quality_cascade,
+        "op3_suffix_array": op3_suffix_array,
         "op4_decontaminate": op4_decontaminate,
         "op5_setsketch": op5_setsketch,
         "op6_token_counts": op6_token_counts,
