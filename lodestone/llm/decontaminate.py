@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from .common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-#: Distinct words of the items that one block may bring to every task; larger benchmarks are joined block by block.
-BLOCK_WORDS = 20_000
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Distinct words, and windows, that one block of items may bring to every task; larger benchmarks are joined block by block.
+BLOCK_WORDS, BLOCK_WINDOWS = 20_000, 50_000
 
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words of a text; null has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(1)), F.array().cast("array<string>"))
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN)
+    return F.array_remove(parts, "")  # a separator at an end leaves an empty part
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
@@ -67,20 +68,14 @@ def _block(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     if not tokens:
         return base.select("doc_id", "key", F.size("ws").cast("bigint").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<string>").alias("items"))
     reach = width - 1
-    at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i).isin(tokens))
-    near = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("i"),
-            F.get("ws", i).alias("token"),
-            F.least(i, F.lit(reach)).alias("lead"),
-            F.slice("ws", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * width - 1)).alias("context"),
-        ),
-    )
-    probes = base.select(
-        "doc_id", "key", F.size("ws").cast("bigint").alias("n_words"), F.when(F.size("ws") > 0, near).alias("near")
-    ).select("doc_id", "key", "n_words", F.explode_outer("near").alias("p"))
-    # bounded by BLOCK_WORDS: at most that many tokens' windows of a block
+
+    def probe(w: Column, i: Column) -> Column:
+        around = F.slice("ws", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * width - 1))
+        return F.when(w.isin(tokens), F.struct(i.alias("i"), w.alias("token"), F.least(i, F.lit(reach)).alias("lead"), around.alias("context")))
+
+    near = F.filter(F.transform("ws", probe), lambda p: p.isNotNull())
+    probes = base.select("doc_id", "key", F.size("ws").cast("bigint").alias("n_words"), near.alias("near")).select("doc_id", "key", "n_words", F.explode_outer("near").alias("p"))
+    # bounded: at most about BLOCK_WINDOWS rows of ``width`` words
     side = F.broadcast(ranked)
     begins = F.col("p.lead") - F.col("off")
     fits = (F.col("p.token") == F.col("token")) & (begins >= 0) & (F.slice("p.context", F.greatest(begins, F.lit(0)) + 1, F.col("size")) == F.col("window"))
@@ -95,8 +90,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     text are one document; an empty table on either side gives no hit.
     """
     windows = staged(windows_of(benchmark, width), "decontaminate-benchmark")
-    total = windows.agg(F.sum(F.size("window"))).collect()[0][0] or 0
-    blocks = max(1, -(-total // block_words))
+    distinct = windows.select(F.explode("window").alias("w")).agg(F.count_distinct("w")).collect()[0][0]
+    blocks = max(1, -(-distinct // block_words), -(-windows.count() // BLOCK_WINDOWS))
     found = None
     for k in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.hash("window"), F.lit(blocks)) == k)
