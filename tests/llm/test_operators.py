@@ -1,0 +1,160 @@
+"""Every operator against its plain version, on a driver table and on odd rows."""
+
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from lodestone.llm import bpe_automaton, decontaminate, html_cut, lines, packing, quality, setsketch, suffixes, token_counts, wavelet
+from lodestone.llm.common import new_path
+from lodestone.llm.queries import table, vocabulary
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, text_crc32 string, token string, n_words string, size string"
+
+
+def _odd():
+    r = random.Random(5)
+    words = ["alpha", "Beta", "gamma", "delta", "épsilon", "ζήτα", "the", "of", "<|endoftext|>", "x1"]
+    prose = lambda n: " ".join(r.choice(words) + str(r.randrange(40)) for _ in range(n))
+    long, shared = prose(6000), prose(60)
+    texts = [None, "", " \n\t ", "a", "one two three", long, long, long + " tail", shared + "\n" + prose(80), prose(80) + "\n" + shared, "x" * 5000, "x" * 5000, "\n" * 70]
+    texts += ["same line of text here\nsame line of text here\nother", "Same  SPACES\x0b kept", "日本語のテキスト" * 40, "a b   c", "👩‍👩‍👧 emoji\r\nline", "## $$ %% <> || &&" * 20, "ab " * 300]
+    return [(i * 7 + 3, t) for i, t in enumerate(texts)]
+
+
+ODD = _odd()
+
+
+@pytest.fixture(scope="module", params=["table", "odd", "empty"])
+def corpus(request, spark):
+    if request.param == "table":
+        df = table(spark, SF, "documents").select("doc_id", "text")
+        return df, [tuple(x) for x in df.collect()]
+    docs = ODD if request.param == "odd" else []
+    df = spark.createDataFrame([(*d, "c", "t", "n", "s") for d in docs], SCHEMA)
+    return df, docs
+
+
+def rows(df, *columns):
+    return sorted(tuple(x) for x in df.select(*columns).collect())
+
+
+def test_wavelet(spark, corpus):
+    df, docs = corpus
+    path = new_path(spark, "wavelet-test")
+    wavelet.write_shards(df, vocabulary("byte_bpe_50k.json"), path, shard_tokens=20_000)
+    assert rows(wavelet.read_documents(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == brute.encoded(docs)
+
+
+def test_wavelet_matrix():
+    import numpy as np
+
+    ids = np.random.default_rng(1).integers(0, 37, 3000)
+    m = wavelet.WaveletMatrix.build(ids)
+    assert (m.decode() == ids).all() and (m.access(np.arange(3000)) == ids).all()
+    for t in (0, 5, 36):
+        assert m.count(t) == (ids == t).sum() and m.rank(t, 1700) == (ids[:1700] == t).sum()
+        assert m.select(t, 3) == np.flatnonzero(ids == t)[3]
+
+
+def test_quality(corpus):
+    df, docs = corpus
+    got = rows(quality.quality(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted((d, *brute.base_rules(t)) for d, t in docs)
+    assert quality.quality(df).where("kept and base_failed").count() == 0
+
+
+def test_quality_order_does_not_matter(corpus):
+    df, _ = corpus
+    assert rows(quality.quality(df), "doc_id", "kept") == rows(quality.quality(df, tuple(reversed(quality.RULES)), 1), "doc_id", "kept")
+
+
+def test_suffixes(corpus):
+    df, docs = corpus
+    assert rows(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(docs)
+
+
+def test_decontaminate(spark, corpus):
+    df, docs = corpus
+    items = [tuple(x) for x in table(spark, SF, "benchmark").collect()] + [(900, "one two"), (901, None), (902, ""), (903, " ".join((docs[5][1] or "a b").split()[:40]) if docs else "q")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = rows(decontaminate.decontaminate(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == brute.leaks(docs, items)
+
+
+def test_decontaminate_without_items(spark, corpus):
+    df, docs = corpus
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert rows(decontaminate.decontaminate(df, none), "doc_id", "n_hit") == sorted((d, 0) for d, _ in docs)
+
+
+def test_near(corpus):
+    df, docs = corpus
+    assert rows(setsketch.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs)
+
+
+def test_token_counts(corpus):
+    df, docs = corpus
+    assert rows(token_counts.count_tokens(df, vocabulary("word_bpe_49k.json"), 2048), "doc_id", "n_bytes", "n_tokens", "over_limit") == brute.counted(docs)
+
+
+def test_bpe(corpus):
+    df, docs = corpus
+    assert rows(bpe_automaton.encode_decode(df, vocabulary("byte_bpe_50k.json")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute.round_trip(docs)
+
+
+def test_lines(corpus):
+    df, docs = corpus
+    assert rows(lines.dedup_lines(df).withColumn("text", F.coalesce("text", F.lit("\0"))), "doc_id", "n_removed", "text") == [(d, n, "\0" if t is None else t) for d, n, t in brute.fewer_lines(docs)]
+
+
+def test_packing(corpus):
+    df, docs = corpus
+    out = packing.shard_documents(df).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in out) == sorted((d, size(t), zlib.crc32((t or "").encode())) for d, t in docs)
+    slots, load = {}, [0] * 24
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+    if len(docs) > 100:
+        assert max(load) - min(load) <= max(size(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_null_ids_and_repeated_rows(spark, n):
+    df = spark.createDataFrame([(None, "a b c d e f")] * n + [(1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "c d")], "item_id bigint, text string")
+    total = n + 3
+    assert quality.quality(df).count() == total
+    assert suffixes.remove_repeats(df).count() == total
+    assert setsketch.near_duplicates(df).count() == total
+    assert token_counts.count_tokens(df, vocabulary("word_bpe_49k.json")).count() == total
+    assert bpe_automaton.encode_decode(df, vocabulary("byte_bpe_50k.json")).count() == total
+    assert lines.dedup_lines(df).count() == total
+    assert packing.shard_documents(df).count() == total
+    assert decontaminate.decontaminate(df, bench).where("contaminated").count() >= 1
+
+
+PAGE = (
+    "<html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
+    "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About</a></li></ul></nav><article><h1>A story of rivers</h1>"
+    "<p>The river &amp; its banks have\n  been described by many people over the years, and each saw another thing.</p>"
+    "<p>Others went up to the source, where the water is cold, and wrote long letters about it to their friends.</p></article>"
+    "<footer>&copy; 2020 example</footer></body></html>"
+)
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<p><b>open"), (5, "u", "<!-- only"), (6, "u", "<div>" * 3000)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in html_cut.extract(pages).collect()}
+    assert got[1].text == (
+        "A story of rivers\nThe river & its banks have been described by many people over the years, and each saw another thing.\n"
+        "Others went up to the source, where the water is cold, and wrote long letters about it to their friends."
+    )
+    assert got[2].text == got[3].text == got[5].text == got[6].text == ""
+    assert all(r.n_chars == len(r.text) for r in got.values())
