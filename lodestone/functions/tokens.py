@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import text_of
 
@@ -74,9 +75,15 @@ def _longest(w: str, suffixes) -> str | None:
 
 @lru_cache(maxsize=200_000)
 def porter(w: str) -> str:
-    """Stem of a lower-case word; words of fewer than three or more than 64 bytes stay."""
-    if not 3 <= len(w.encode()) <= 64:
-        return w
+    """Stem of a lower-case word; words of fewer than three or more than 64 bytes stay.
+
+    Letters are bytes here: each byte of a letter outside ASCII is a consonant.
+    """
+    raw = w.encode()
+    return _stem(raw.decode("latin-1")).encode("latin-1").decode("utf-8", "replace") if 3 <= len(raw) <= 64 else w
+
+
+def _stem(w: str) -> str:
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
@@ -116,7 +123,7 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _porter_each(words):  # a pandas Series of arrays; Arrow batches
     return words.map(lambda ws: [porter(fold(w)) for w in ws])
 

@@ -29,7 +29,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     pairs = vectors.crossJoin(F.broadcast(queries)).select("qid", "rowid", F.sqrt(l2_squared(F.col("embedding"), F.col("query"))).alias("distance"))
     order = Window.partitionBy("qid").orderBy("distance", "rowid")
-    return pairs.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    best = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)  # cut to k in each task before the shuffle
+    return best.select("qid", "rowid", "distance", (F.col("nth") - 1).alias("rank"))
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, gated: bool = True) -> DataFrame:
