@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text handled at once inside an Arrow function.
 CHUNK_BYTES = 4 << 20
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
 
 
@@ -37,10 +40,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    that survives lost executors."""
+    that survives lost executors.
+
+    Once the table is there its shuffle files serve nothing, so Spark drops them
+    at the end of the write and not at some later garbage collection.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
