@@ -40,6 +40,8 @@ LEFT = WIDTH - GRAM  # windows around an anchor start up to so many bytes before
 HALF = LEFT // 2
 #: Anchors, or suffixes, that a task resolves and packs at once.
 FLUSH_ANCHORS, FLUSH_SUFFIXES = 1_500_000, 300_000
+#: Bytes of text whose anchors are found at once (a dozen 64-bit numbers for each byte).
+ANCHOR_BYTES = 1 << 20
 #: Documents from which splitters are sampled (a bound; it affects balance only).
 SAMPLE_DOCS = 400
 PAD = 0xFF  # no byte of UTF-8
@@ -314,7 +316,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", ANCHOR_BYTES):
             row, pos, key, around, lo, hi = anchors(*text_buffers(b.column(1)))
             parts.append((b.column(0).to_numpy()[row], pos, key, around, lo, hi))
             held += len(row)
