@@ -22,5 +22,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
             _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         base = _own[0]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # once the table is there its shuffle files serve nothing
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
