@@ -24,6 +24,9 @@ from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
 WIDTH, PERCENT = 10, 80
 HASHES, ROWS = 56, 4  # 14 bands of 4: a pair at 0.8 shares none with probability 6e-4, at 0.9 with 4e-7
 
+#: Bytes of text whose lines are signed at once (a dozen 64-bit numbers for each character).
+BAND_BYTES = 1 << 20
+
 _rng = np.random.default_rng(9)
 _MUL = (_rng.integers(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32)
@@ -120,7 +123,7 @@ def _bands(docs: DataFrame) -> DataFrame:
     """``bucket, v`` for every band of the lines; equal lines of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", BAND_BYTES):
             data, offs = text_buffers(b.column(0))
             data = np.ascontiguousarray(data)
             _, _, begin, end, ink = line_spans(data, offs)
