@@ -21,6 +21,8 @@ from .components import components
 
 #: Members of a bucket that are paired in one row; larger buckets are compared in blocks.
 BLOCK = 48
+#: Bytes of a block, where the members' sizes are given.
+BLOCK_BYTES = 2 << 20
 
 
 def bucket_mates(bands: DataFrame) -> DataFrame:
@@ -33,16 +35,17 @@ def _labelled(df: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame
     return df.join(label.select(F.col("v").alias(col), F.col("label").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
 
 
-def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``v, label`` of the vertices with a link.
 
     ``mates``: ``bucket, v``.  ``confirm`` keeps the true links of pairs ``a, b``.
     ``in_blocks`` turns ``bucket, i, j, own, v, label`` (the members of two
     blocks of a large bucket) into candidate pairs; without it all are.
+    ``sizes`` (``v, bytes``) bounds the bytes of a block as well.
     """
     spark = mates.sparkSession
-    sizes = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    weight = staged(mates.join(sizes, "bucket").groupBy("v").agg(F.sum("n").alias("w")), "cluster-weight")
+    counts = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    weight = staged(mates.join(counts, "bucket").groupBy("v").agg(F.sum("n").alias("w")), "cluster-weight")
     hubs = mates.join(weight, "v").groupBy("bucket").agg(F.max(F.struct("w", "v")).alias("h"), F.count(F.lit(1)).alias("n")).select("bucket", "n", F.col("h.v").alias("hub"))
     stars = mates.join(hubs, "bucket").where(F.col("v") != F.col("hub")).groupBy(F.col("v").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     stars = staged(stars, "cluster-stars")
@@ -70,10 +73,13 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], in_bloc
             .select("x", F.explode(F.filter("m", lambda y: (y["v"] > F.col("x.v")) & (y["label"] != F.col("x.label")))).alias("y"))
             .select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
         )
-        blocks = F.ceil(F.col("n") / F.lit(8 * BLOCK)).cast("int")
+        large = members.where(F.col("n") > BLOCK)
+        blocks = F.ceil(F.col("n") / F.lit(8 * BLOCK))
+        if sizes is not None:
+            large = large.join(large.join(sizes, "v").groupBy("bucket").agg(F.sum("bytes").alias("bytes")), "bucket")
+            blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)))
         large = (
-            members.where(F.col("n") > BLOCK)
-            .withColumn("blocks", blocks)
+            large.withColumn("blocks", blocks.cast("int"))
             .withColumn("own", F.pmod(F.hash("v"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "label")

@@ -181,6 +181,51 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
+def spanning_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of a bucket: ``i, j, own, v, label, line_text``.
+
+    All pairs of the two blocks are compared exactly; of those that are similar
+    only as many are returned as it takes to join their components.
+    """
+    t = t.combine_chunks()
+    v, label, own = (t[c].to_numpy() for c in ("v", "label", "own"))
+    left, right = (np.flatnonzero(own == t[c][0].as_py()) for c in ("i", "j"))
+    data, offs = text_buffers(t["line_text"])
+    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:])
+    _, col = np.unique(flat, return_inverse=True)
+    width = int(col.max()) + 1 if len(col) else 1
+    cell = np.unique(np.repeat(np.arange(len(v)), np.diff(o)) * width + col)
+    row, col = cell // width, cell % width
+    size = np.bincount(row, minlength=len(v))
+    shared = np.bincount(col, minlength=width) > 1  # a shingle of one line is in no intersection
+    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(col, (lo, lo + 4096))
+        has = np.zeros((len(v), 4096), np.float32)
+        has[row[a:b], col[a:b] - lo] = 1
+        both += has[left] @ has[right].T
+    union = size[left][:, None] + size[right][None, :] - both
+    x, y = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :]))
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    out = []
+    for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+        one, two = find(int(label[p])), find(int(label[q]))
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            out.append((min(v[p], v[q]), max(v[p], v[q])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
     spark = docs.sparkSession
@@ -192,7 +237,11 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = distinct.join(mates.select("v").distinct(), "v", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
-    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent))
+
+    def in_blocks(large: DataFrame) -> DataFrame:
+        return large.join(texts, "v").groupBy("bucket", "i", "j").applyInArrow(lambda t: spanning_links(t, percent), "a bigint, b bigint")
+
+    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent), in_blocks, texts.select("v", F.octet_length("line_text").alias("bytes")))
     unstage(texts)
     collect_garbage(spark)
     # the line of each component that stays; lines without a link are their own component
