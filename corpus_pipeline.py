@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line stands for; one that only had such lines goes."""
-    out = lines.dedup_lines(_carrying(docs), keep=["__row"]).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = lines.dedup_lines(_carrying(docs), keep=["__row"], width=lines.SHORT_WIDTH).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     row = {c: F.col(f"__row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in row:
         row["n_chars"] = F.when(F.col("n_removed") == 0, row["n_chars"]).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"])

@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_mates, cluster
+from .cluster import cluster
 from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
 
-#: Characters of a shingle and percent of Jaccard similarity from which lines are linked.
+#: Characters of a shingle and percent of Jaccard similarity from which lines are linked, where a caller names none.
 WIDTH, PERCENT = 10, 80
-HASHES, ROWS = 56, 4  # 14 bands of 4: a pair at 0.8 shares none with probability 6e-4, at 0.9 with 4e-7
+#: Characters of a shingle in op9 and the pipeline: a changed letter alters 5 shingles, so lines from 49 characters on stay linked.
+SHORT_WIDTH = 5
+#: 20 bands of 5: a pair at 0.8 shares none with probability 4e-4, at 0.9 with 2e-8; one at 0.2, as unrelated lines have short shingles in common, shares one with 6e-3
+HASHES, ROWS = 100, 5
 
 #: Bytes of text whose lines are signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
@@ -67,24 +70,29 @@ def line_ids(raw: memoryview, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return pair[:, 0], pair[:, 1]
 
 
-def shingle_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``WIDTH``-character shingles of lines, and their offsets; shorter lines have none."""
+def shingle_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``width``-character shingles of lines, and their offsets; shorter lines have none."""
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     lo, hi = at[begin], at[end]
-    lens = np.maximum(hi - lo - WIDTH + 1, 0)
-    if len(chars) < WIDTH or not lens.sum():
+    lens = np.maximum(hi - lo - width + 1, 0)
+    if len(chars) < width or not lens.sum():
         return np.zeros(0, np.uint64), np.zeros(len(begin) + 1, np.int64)
-    h = _mix(chars + np.uint64(1))
-    two = h[:-1] * _P + h[1:]
-    p2 = np.uint64(int(_P) ** 2 % 2**64)
-    four = two[:-2] * p2 + two[2:]
-    p4 = np.uint64(int(_P) ** 4 % 2**64)
-    eight = four[:-4] * p4 + four[4:]
-    ten = _mix(eight[: len(chars) - WIDTH + 1] * p2 + two[8 : len(chars) - WIDTH + 9])
+    block, size, whole, done = _mix(chars + np.uint64(1)), 1, None, 0
+    powers = []
+    while size <= width:  # blocks of 1, 2, 4 ... characters
+        powers.append((size, block))
+        block = block[:-size] * np.uint64(pow(int(_P), size, 2**64)) + block[size:]
+        size *= 2
+    for size, block in reversed(powers):
+        if width & size:
+            n = len(chars) - done - size + 1
+            whole = block if whole is None else whole[:n] * np.uint64(pow(int(_P), size, 2**64)) + block[done : done + n]
+            done += size
+    whole = _mix(whole)
     ends = np.cumsum(lens)
     pos = np.arange(int(ends[-1])) + np.repeat(lo - (ends - lens), lens)
-    return ten[pos], np.concatenate([[0], ends])
+    return whole[pos], np.concatenate([[0], ends])
 
 
 def signatures(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +127,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id bigint, line int, v bigint, w bigint")
 
 
-def _bands(docs: DataFrame) -> DataFrame:
-    """``bucket, v`` for every band of the lines; equal lines of a chunk once."""
+def _bands(docs: DataFrame, width: int) -> DataFrame:
+    """``v, buckets`` (one for every band) of the lines; equal lines of a chunk once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BAND_BYTES):
@@ -128,21 +136,34 @@ def _bands(docs: DataFrame) -> DataFrame:
             data = np.ascontiguousarray(data)
             _, _, begin, end, ink = line_spans(data, offs)
             begin, end = begin[ink], end[ink]
-            long = end - begin >= WIDTH
+            long = end - begin >= width
             begin, end = begin[long], end[long]
             if not len(begin):
                 continue
             v, _ = line_ids(memoryview(data), begin, end)
             v, first = np.unique(v, return_index=True)
-            flat, o = shingle_hashes(data, begin[first], end[first])
+            flat, o = shingle_hashes(data, begin[first], end[first], width)
             sig, full = signatures(flat, o)
             band = sig.reshape(len(sig), HASHES // ROWS, ROWS).astype(np.uint64)
             key = np.zeros(band.shape[:2], np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
             for r in range(ROWS):
                 key = _mix(key * _P + band[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(v[full], HASHES // ROWS))], ["bucket", "v"])
+            at = pa.array(np.arange(len(full) + 1, dtype=np.int32) * (HASHES // ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array(v[full]), pa.ListArray.from_arrays(at, pa.array(key.ravel().view(np.int64)))], ["v", "buckets"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "bucket bigint, v bigint")
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "v bigint, buckets array<bigint>")
+
+
+def _mates(docs: DataFrame, width: int) -> DataFrame:
+    """``bucket, v`` of the buckets that hold two lines or more; every line is signed once."""
+    signed = staged(_bands(docs, width), "lines-signed")
+    bands = signed.select(F.explode("buckets").alias("bucket"), "v")
+    # staged by itself, so that its shuffle files are gone before those of the join are written
+    held = staged(bands.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket"), "lines-held")
+    mates = staged(bands.join(held, "bucket").select("bucket", "v").distinct(), "cluster-mates")
+    unstage(held)
+    unstage(signed)
+    return mates
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,25 +184,25 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "v bigint, line_text string").dropDuplicates(["v"])
 
 
-def similar(a: str, b: str, percent: int) -> bool:
+def similar(a: str, b: str, percent: int, width: int = WIDTH) -> bool:
     """Exact Jaccard similarity of two lines' shingle sets against the threshold."""
-    x, y = ({s[i : i + WIDTH] for i in range(len(s) - WIDTH + 1)} for s in (a, b))
+    x, y = ({s[i : i + width] for i in range(len(s) - width + 1)} for s in (a, b))
     both = len(x & y)
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     full = pairs.join(texts.select(F.col("v").alias("a"), F.col("line_text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("line_text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [similar(x, y, percent, width) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def spanning_links(t: pa.Table, percent: int) -> pa.Table:
+def spanning_links(t: pa.Table, percent: int, width: int = WIDTH) -> pa.Table:
     """Links between two blocks of a bucket: ``i, j, own, v, label, line_text``.
 
     All pairs of the two blocks are compared exactly; of those that are similar
@@ -191,13 +212,13 @@ def spanning_links(t: pa.Table, percent: int) -> pa.Table:
     v, label, own = (t[c].to_numpy() for c in ("v", "label", "own"))
     left, right = (np.flatnonzero(own == t[c][0].as_py()) for c in ("i", "j"))
     data, offs = text_buffers(t["line_text"])
-    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:])
+    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
     _, col = np.unique(flat, return_inverse=True)
-    width = int(col.max()) + 1 if len(col) else 1
-    cell = np.unique(np.repeat(np.arange(len(v)), np.diff(o)) * width + col)
-    row, col = cell // width, cell % width
+    kinds = int(col.max()) + 1 if len(col) else 1
+    cell = np.unique(np.repeat(np.arange(len(v)), np.diff(o)) * kinds + col)
+    row, col = cell // kinds, cell % kinds
     size = np.bincount(row, minlength=len(v))
-    shared = np.bincount(col, minlength=width) > 1  # a shingle of one line is in no intersection
+    shared = np.bincount(col, minlength=kinds) > 1  # a shingle of one line is in no intersection
     row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
@@ -226,22 +247,22 @@ def spanning_links(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removals(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
     spark = docs.sparkSession
     lines = staged(_lines(docs), "lines-all")
     place = F.struct("doc_id", "line")
     distinct = staged(lines.groupBy("v", "w").agg(F.min(place).alias("first")), "lines-distinct")
-    mates = bucket_mates(_bands(docs))
+    mates = _mates(docs, width)
     collect_garbage(spark)
     wanted = distinct.join(mates.select("v").distinct(), "v", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
 
     def in_blocks(large: DataFrame) -> DataFrame:
-        return large.join(texts, "v").groupBy("bucket", "i", "j").applyInArrow(lambda t: spanning_links(t, percent), "a bigint, b bigint")
+        return large.join(texts, "v").groupBy("bucket", "i", "j").applyInArrow(lambda t: spanning_links(t, percent, width), "a bigint, b bigint")
 
-    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent), in_blocks, texts.select("v", F.octet_length("line_text").alias("bytes")))
+    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), in_blocks, texts.select("v", F.octet_length("line_text").alias("bytes")))
     unstage(texts)
     collect_garbage(spark)
     # the line of each component that stays; lines without a link are their own component
@@ -257,17 +278,17 @@ def removals(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: ``keep`` (default ``doc_id``), ``text`` without the
     removed lines, ``n_lines``, ``n_removed``, ``n_fuzzy`` (removed although no equal line stays).
 
     Blank lines are never compared and always stay.  Lines shorter than a
-    shingle are only compared for equality.  Null text stays null with no line;
+    shingle (``width`` characters) are only compared for equality.  Null text stays null with no line;
     rows without ``doc_id`` are left alone; rows that repeat a ``doc_id`` lose
     the same line numbers; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    gone = staged(removals(docs, percent), "lines-gone")
+    gone = staged(removals(docs, percent, width), "lines-gone")
     collect_garbage(docs.sparkSession)
     src = docs.select(F.col("doc_id").alias("__id"), *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "gone", F.coalesce("fuzzy", F.lit(0).cast("bigint")).alias("fuzzy"))
 

@@ -56,7 +56,7 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), width=lines.SHORT_WIDTH)
     return out.select("doc_id", "n_lines", "n_removed", "n_fuzzy", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
