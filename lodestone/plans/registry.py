@@ -138,6 +138,15 @@ asked AS (SELECT DISTINCT unnest(terms) AS term FROM {_DISTINCT_TERMS} WHERE row
 SELECT asked.term, count(DISTINCT rowid) AS df FROM (SELECT rowid, unnest(ts) AS token FROM toks) JOIN asked ON token = lower(asked.term) GROUP BY asked.term"""
 
 
+def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many rows every term of the index occurs: all terms of all rows."""
+    tokens = search.build_index(memory_rows(spark, sf_dir)).tokens
+    return tokens.select(F.explode(F.array_distinct("t_text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+_ALL_DF = f"WITH {_ROWS}, {_TOKENS} SELECT term, count(DISTINCT rowid) AS df FROM (SELECT rowid, unnest(ts) AS term FROM toks) GROUP BY term"
+
+
 def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates for all prompts, their own session left out."""
     rows = memory_rows(spark, sf_dir)
@@ -356,7 +365,7 @@ FROM m JOIN s USING (session)"""
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        keyword_search, search_lines, batch_bm25, document_frequency, gated_retrieval, recall_report, qa_pairs, knn, rank_fusion, predicates, scalars, content_term_lists,
+        keyword_search, search_lines, batch_bm25, document_frequency, term_document_frequency, gated_retrieval, recall_report, qa_pairs, knn, rank_fusion, predicates, scalars, content_term_lists,
         session_rollup, session_digests, role_counts, project_rollup, stats, newest_gists, dedupe_rows, recurring_asks, similar_asks, condensed_logs, graph_layout,
     )
 }
@@ -365,6 +374,7 @@ SQL: dict[str, str] = {
     "keyword_search": _KEYWORD,
     "batch_bm25": _BATCH,
     "document_frequency": _DF,
+    "term_document_frequency": _ALL_DF,
     "qa_pairs": _QA,
     "knn": _KNN,
     "rank_fusion": _FUSE,
