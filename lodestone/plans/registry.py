@@ -294,7 +294,12 @@ def recurring_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other distinct user texts each one resembles."""
-    asks = memory_rows(spark, sf_dir).where(F.col("role") == "user").select(recurrence.ask_tokens("text").alias("tokens"), "rowid")
+    return _links(memory_rows(spark, sf_dir).where(F.col("role") == "user"))
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    """``id, n_links`` of the distinct token sets of ``rowid, text`` that resemble another."""
+    asks = rows.select(recurrence.ask_tokens("text").alias("tokens"), "rowid")
     sets = asks.where(F.size("tokens") >= recurrence.MIN_TOKENS).groupBy("tokens").agg(F.min("rowid").alias("id")).select("id", "tokens")
     pairs = recurrence.similar_sets(sets)
     both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
@@ -307,6 +312,28 @@ p AS (SELECT a.id AS a, b.id AS b FROM s a, s b WHERE a.id <> b.id AND 100 * len
 SELECT a AS id, count(*) AS n_links FROM p GROUP BY a"""
 
 
+def _documents_as_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an ask: its source is the session, its id stands for the time."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), "text", F.col("source").alias("session"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("ts"))
+
+
+def recurring_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group (founding document) of every document of five tokens or more."""
+    return recurrence.group_asks(_documents_as_asks(spark, sf_dir))
+
+
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other distinct documents each one resembles."""
+    return _links(_documents_as_asks(spark, sf_dir))
+
+
+_SIMILAR_DOCUMENTS = f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all({_low("coalesce(text, '')")}, '[a-z0-9]{{2,}}'))) AS ts FROM documents),
+s AS (SELECT ts, len(ts) AS n, min(doc_id) AS id FROM t WHERE len(ts) >= 5 GROUP BY ts),
+k AS (SELECT id, n, unnest(ts) AS token FROM s),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM k a JOIN k b USING (token) WHERE a.id <> b.id GROUP BY a.id, b.id)
+SELECT a AS id, count(*) AS n_links FROM p WHERE 100 * shared >= 60 * (na + nb - shared) GROUP BY a"""
+
+
 def condensed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document taken as a log."""
     out = logs.condense(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
@@ -366,7 +393,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         keyword_search, search_lines, batch_bm25, document_frequency, term_document_frequency, gated_retrieval, recall_report, qa_pairs, knn, rank_fusion, predicates, scalars, content_term_lists,
-        session_rollup, session_digests, role_counts, project_rollup, stats, newest_gists, dedupe_rows, recurring_asks, similar_asks, condensed_logs, graph_layout,
+        session_rollup, session_digests, role_counts, project_rollup, stats, newest_gists, dedupe_rows, recurring_asks, similar_asks, recurring_documents, similar_documents, condensed_logs, graph_layout,
     )
 }
 
@@ -388,6 +415,7 @@ SQL: dict[str, str] = {
     "stats": _STATS,
     "dedupe_rows": _DEDUPE,
     "similar_asks": _SIMILAR,
+    "similar_documents": _SIMILAR_DOCUMENTS,
     "condensed_logs": _CONDENSED,
     "graph_layout": _LAYOUT,
 }
