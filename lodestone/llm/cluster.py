@@ -1,55 +1,200 @@
-"""From buckets to components: which candidates are compared, and in what order.
-
-Members of a bucket are compared with its hub, the member with the most bucket
-mates, and components are formed from the confirmed links.  Members that are
-then still in different components are compared with each other as well: in
-small buckets pair by pair, in large ones block against block.  So a pair that
-shares a bucket is either confirmed, refuted or inside one component already,
-and the pairs made follow the number of members, not its square, as long as a
-bucket's members resemble each other.
+"""From bands to components: which candidates are compared, and in what order.
+
+Band keys travel as packed arrays, cut by ranges of the key.  A task first
+resolves its own equal keys: of the members that it has of a bucket only the
+smallest goes on, so a bucket that holds a third of all rows arrives as one
+entry per task.  Each member of a bucket gets a hub (the smallest member that
+its task or its range knows of); pairs of member and hub are confirmed, and
+components are formed from the links.
+
+Members of a bucket that are then still in different components are compared
+with each other as well: the exact sets come into one task, small buckets many
+at a time and large ones block against block, and only as many links leave it
+as it takes to join components.  So a pair that shares a bucket is either
+confirmed, refuted or inside one component, and no refuted pair is ever a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, staged, unstage
+from .common import collect_garbage, pack, partitions, ragged, runs, staged, unpack, unstage
 from .components import components
 
-#: Members of a bucket that are paired in one row; larger buckets are compared in blocks.
-BLOCK = 48
-#: Bytes of a block, where the members' sizes are given.
-BLOCK_BYTES = 2 << 20
+#: Entries (key, vertex) that a task resolves and packs at once.
+FLUSH = 1_500_000
+#: Members, and bytes of their sets, of a block of a large bucket; what small buckets are gathered to.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Shingles that so few members share are counted pair by pair, others by a matrix product.
+FEW = 12
+
+#: Keys (one row per vertex, one column per band) of a signature column.
+Keys = Callable[[pa.Array], np.ndarray]
+#: Distinct shingle hashes of a column of sets, and their offsets.
+Load = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def _resolve(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries in order of (key, v), the hub of each and the size of its bucket."""
+    order = np.lexsort((v, key))
+    key, v = key[order], v[order]
+    once = runs(key, v)
+    key, v = key[once], v[once]
+    begin = np.flatnonzero(runs(key))
+    size = np.diff(np.append(begin, len(key)))
+    return key, v, np.repeat(v[begin], size), np.repeat(size, size)
+
 
+def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    key, v, hub, size = _resolve(np.concatenate(keys), np.concatenate(vs))
+    rest = v != hub
+    out = []
+    if rest.any():  # known to have a mate; sent to be written, not to be compared
+        out.append((-1 - int(key[0] % np.uint64(parts)), pack(key[rest].view(np.int64), v[rest], hub[rest])))
+    key, v, held = key[~rest], v[~rest], size[~rest] > 1
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        s = slice(cuts[p], cuts[p + 1])
+        out.append((int(p), pack(np.diff(key[s], prepend=np.uint64(0)), v[s], held[s].astype(np.uint8))))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "pack"])
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """``bucket, v, hub`` of one range of keys."""
+    part, packs = t["part"][0].as_py(), t["pack"].to_pylist()
+    if part < 0:
+        key, v, hub = (np.concatenate(x) for x in zip(*(unpack(p, np.int64, np.int64, np.int64) for p in packs), strict=True))
+    else:
+        keys, vs, held = [], [], []
+        for p in packs:
+            k, v, h = unpack(p, np.uint64, np.int64, np.uint8)
+            keys.append(np.cumsum(k, dtype=np.uint64))
+            vs.append(v)
+            held.append(h)
+        key, v, held = np.concatenate(keys), np.concatenate(vs), np.concatenate(held)
+        order = np.lexsort((v, key))
+        key, v, held = key[order], v[order], held[order]
+        once = runs(key, v)
+        at = np.flatnonzero(once)
+        held = np.maximum.reduceat(held, at) > 0 if len(at) else held.astype(bool)
+        key, v = key[once], v[once]
+        begin = np.flatnonzero(runs(key))
+        size = np.diff(np.append(begin, len(key)))
+        hub, size = np.repeat(v[begin], size), np.repeat(size, size)
+        shared = (size > 1) | held
+        key, v, hub = key[shared].view(np.int64), v[shared], hub[shared]
+    return pa.table({"bucket": pa.array(key, pa.int64()), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64())})
+
+
+def bucket_mates(vertices: DataFrame, keys: Keys) -> DataFrame:
+    """``bucket, v, hub`` of the buckets that two vertices or more share.
+
+    ``vertices``: ``v`` and a signature column; a vertex may come more than once.
+    """
+    parts = 4 * partitions(vertices.sparkSession)
 
-def bucket_mates(bands: DataFrame) -> DataFrame:
-    """``bucket, v`` of the buckets that hold two vertices or more, each pair once."""
-    held = bands.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-    return staged(bands.join(held, "bucket").select("bucket", "v").distinct(), "cluster-mates")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, vs, n = [], [], 0
+        for b in batches:
+            k = keys(b.column(1))
+            ks.append(k.ravel())
+            vs.append(np.repeat(b.column(0).to_numpy(), k.shape[1]))
+            n += k.size
+            if n >= FLUSH:
+                yield _spread(ks, vs, parts)
+                ks, vs, n = [], [], 0
+        if n:
+            yield _spread(ks, vs, parts)
+
+    packed = vertices.mapInArrow(run, "part int, pack binary")
+    return staged(packed.groupBy("part").applyInArrow(_meet, "bucket bigint, v bigint, hub bigint"), "cluster-mates")
+
+
+def common_counts(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many hashes the sets ``rows`` share with the sets ``other``: a matrix, not valid where a set meets itself."""
+    both = np.union1d(rows, other)
+    n = len(both)
+    at, lens = ragged(offs, both)
+    row = np.repeat(np.arange(n), lens)
+    _, col, df = np.unique(flat[at], return_inverse=True, return_counts=True)
+    order = np.argsort(col, kind="stable")
+    order = order[df[col[order]] > 1]  # a hash of one set is in no intersection
+    row, df = row[order], df[df > 1]
+    first = np.cumsum(df) - df
+    cells = []
+    for d in np.unique(df[df <= FEW]):
+        r = row[first[df == d][:, None] + np.arange(d)]
+        for i in range(int(d)):
+            for j in range(i + 1, int(d)):
+                cells += [r[:, i] * n + r[:, j], r[:, j] * n + r[:, i]]
+    cell = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+    x, y = np.searchsorted(both, rows), np.searchsorted(both, other)
+    out = np.bincount(cell, minlength=n * n).reshape(n, n)[x][:, y].astype(np.float32)
+    many = np.flatnonzero(df > FEW)
+    for lo in range(0, len(many), 4096):
+        cols = many[lo : lo + 4096]
+        has = np.zeros((n, len(cols)), np.float32)
+        has[row[np.concatenate([np.arange(first[c], first[c] + df[c]) for c in cols])], np.repeat(np.arange(len(cols)), df[cols])] = 1
+        out += has[x] @ has[y].T
+    return out
+
+
+def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
+    """``a, b``: links that join the components of buckets: ``bucket, i, j, own, v, label, items``.
+
+    All pairs of the two blocks ``i`` and ``j`` of a bucket (one bucket after the
+    other) are compared exactly; of those that are similar only as many are
+    returned as it takes to join their components.
+    """
+    t = t.combine_chunks()
+    v, label, own, i, j, bucket = (t[c].to_numpy() for c in ("v", "label", "own", "i", "j", "bucket"))
+    flat, offs = load(t["items"].combine_chunks() if isinstance(t["items"], pa.ChunkedArray) else t["items"])
+    size = np.diff(offs)
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    out = []
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(runs(bucket[order])), len(order))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[lo:hi]
+        left, right = rows[own[rows] == i[rows[0]]], rows[own[rows] == j[rows[0]]]
+        if not len(left) or not len(right) or label[rows].min() == label[rows].max():
+            continue
+        both = common_counts(flat, offs, left, right)
+        union = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :]))
+        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            one, two = find(int(label[p])), find(int(label[q]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                out.append((min(v[p], v[q]), max(v[p], v[q])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def _labelled(df: DataFrame, label: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(label.select(F.col("v").alias(col), F.col("label").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
 
 
-def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], in_blocks: Callable[[DataFrame], DataFrame] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: DataFrame, load: Load, percent: int) -> DataFrame:
     """``v, label`` of the vertices with a link.
 
-    ``mates``: ``bucket, v``.  ``confirm`` keeps the true links of pairs ``a, b``.
-    ``in_blocks`` turns ``bucket, i, j, own, v, label`` (the members of two
-    blocks of a large bucket) into candidate pairs; without it all are.
-    ``sizes`` (``v, bytes``) bounds the bytes of a block as well.
+    ``mates``: ``bucket, v, hub``.  ``confirm`` keeps the true links of pairs
+    ``a, b``.  ``sets``: ``v, items`` (what ``load`` reads) of all vertices in ``mates``.
     """
     spark = mates.sparkSession
-    counts = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    weight = staged(mates.join(counts, "bucket").groupBy("v").agg(F.sum("n").alias("w")), "cluster-weight")
-    hubs = mates.join(weight, "v").groupBy("bucket").agg(F.max(F.struct("w", "v")).alias("h"), F.count(F.lit(1)).alias("n")).select("bucket", "n", F.col("h.v").alias("hub"))
-    stars = mates.join(hubs, "bucket").where(F.col("v") != F.col("hub")).groupBy(F.col("v").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = staged(stars, "cluster-stars")
-    collect_garbage(spark)
+    stars = staged(mates.where(F.col("v") != F.col("hub")).groupBy(F.col("v").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "cluster-stars")
 
     # each vertex first with the hub that it shares most buckets with, then with the others outside its component
     first = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
@@ -58,40 +203,33 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], in_bloc
     apart = _labelled(_labelled(stars.join(first, ["a", "b"], "left_anti"), label, "a", "la"), label, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b")
     more = staged(confirm(apart), "cluster-links")
     if not more.isEmpty():
+        unstage(label)
         links = links.unionByName(more)
         label = components(links)
     collect_garbage(spark)
 
     # buckets of three or more that still hold several components
-    members = _labelled(mates, label, "v", "label")
+    members = _labelled(mates.select("bucket", "v").distinct(), label, "v", "label")
     mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > 2)).select("bucket", "n")
     members = staged(members.join(mixed, "bucket"), "cluster-mixed")
     if not members.isEmpty():
-        small = members.where(F.col("n") <= BLOCK).groupBy("bucket").agg(F.collect_list(F.struct("v", "label")).alias("m"))
-        pairs = (
-            small.select(F.explode("m").alias("x"), "m")
-            .select("x", F.explode(F.filter("m", lambda y: (y["v"] > F.col("x.v")) & (y["label"] != F.col("x.label")))).alias("y"))
-            .select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-        )
-        large = members.where(F.col("n") > BLOCK)
-        blocks = F.ceil(F.col("n") / F.lit(8 * BLOCK))
-        if sizes is not None:
-            large = large.join(large.join(sizes, "v").groupBy("bucket").agg(F.sum("bytes").alias("bytes")), "bucket")
-            blocks = F.greatest(blocks, F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)))
-        large = (
-            large.withColumn("blocks", blocks.cast("int"))
+        sized = staged(members.join(sets, "v").withColumn("bytes", F.octet_length("items")), "cluster-sets")
+        weight = sized.groupBy("bucket").agg(F.sum("bytes").alias("total"))
+        blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_BYTES))).cast("int")
+        groups = 1 + int((weight.agg(F.sum("total")).head()[0] or 0) // BLOCK_BYTES)
+        rows = (
+            sized.join(weight, "bucket")
+            .withColumn("blocks", blocks)
             .withColumn("own", F.pmod(F.hash("v"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "label")
+            # a bucket of one block shares its task with others; of a larger one each pair of blocks has its own
+            .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("bucket"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
+            .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "label", "items")
         )
-        if in_blocks is None:
-            one, two = (large.select("bucket", "i", "j", F.col("own").alias(f"{c}o"), F.col("v").alias(c), F.col("label").alias(f"{c}l")) for c in "ab")
-            big = one.join(two, ["bucket", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & ((F.col("ao") != F.col("bo")) | (F.col("i") == F.col("j")))).select("a", "b")
-        else:
-            big = in_blocks(large)
-        known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = staged(confirm(pairs.unionByName(big).distinct().join(known, ["a", "b"], "left_anti")), "cluster-links")
+        more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")
+        unstage(sized)
         if not more.isEmpty():
+            unstage(label)
             label = components(links.unionByName(more))
-    unstage(weight)
+    unstage(members, stars)
     return label

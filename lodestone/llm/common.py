@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,12 +24,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a temporary
-    folder takes its place.
+    Where the session names none, a temporary folder takes its place if all of
+    Spark runs in this process; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _own_dir[0]
@@ -58,13 +61,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_codec = pa.Codec("zstd", 1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob."""
+    parts = []
+    for a in arrays:
+        raw = np.ascontiguousarray(a).view(np.uint8).ravel()
+        squeezed = _codec.compress(raw, asbytes=True) if len(raw) else b""
+        parts.append(np.array([len(raw), len(squeezed)], np.int64).tobytes() + squeezed)
+    return b"".join(parts)
+
+
+def unpack(blob: bytes, *types) -> list[np.ndarray]:
+    """The arrays of a blob, whose types the caller knows."""
+    out, at = [], 0
+    for t in types:
+        n, m = np.frombuffer(blob, np.int64, 2, at)
+        at += 16
+        out.append(np.frombuffer(_codec.decompress(blob[at : at + m], int(n)), t) if n else np.zeros(0, t))
+        at += int(m)
+    return out
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys (given in sorted order) begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
 def collect_garbage(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 
 def _jump(m: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pair = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b")))
     left = staged(pair.distinct(), "components-edges")
     maps: list[DataFrame] = []
+    old = [left]
     while not left.isEmpty():
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label")).select("v", F.least("v", "label").alias("label"))
@@ -43,9 +44,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct(),
             "components-edges",
         )
+        old.append(left)
     if not maps:
         return left.select(F.col("a").alias("v"), F.col("b").alias("label"))
     out = maps[0]
     for m in maps[1:]:
         out = out.join(m.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+    out = staged(out, "components-label")
+    unstage(*old, *maps)
     return out

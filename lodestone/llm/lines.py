@@ -5,7 +5,8 @@ signature over its character shingles; bands of it are bucketed for candidates,
 which are confirmed by the exact Jaccard similarity of the lines' shingle sets.
 Links become components by distributed union-find (:mod:`.cluster`,
 :mod:`.components`); of all lines of a component the first in order of
-(``doc_id``, line number) stays.
+(``doc_id``, text hash, line number) stays.  Marks are kept per document and
+text, so two rows that share a ``doc_id`` but not a text never mix.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cluster
+from .cluster import bucket_mates, cluster
 from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
 
 #: Characters of a shingle and percent of Jaccard similarity from which lines are linked, where a caller names none.
 WIDTH, PERCENT = 10, 80
 #: Characters of a shingle in op9 and the pipeline: a changed letter alters 5 shingles, so lines from 49 characters on stay linked.
 SHORT_WIDTH = 5
-#: 20 bands of 5: a pair at 0.8 shares none with probability 4e-4, at 0.9 with 2e-8; one at 0.2, as unrelated lines have short shingles in common, shares one with 6e-3
-HASHES, ROWS = 100, 5
+#: 24 bands of 6: a pair at 0.8 shares none with probability 7e-4, at 0.9 with 1e-8; one at 0.2, as unrelated lines have short shingles in common, shares one with 2e-3
+HASHES, ROWS = 144, 6
 
 #: Bytes of text whose lines are signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
@@ -113,62 +114,56 @@ def signatures(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, full
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, v, w`` of every line with a word."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, text`` with a hash of the text: what identifies a document here."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
-            data, offs = text_buffers(b.column(1))
-            row, number, begin, end, ink = line_spans(data, offs)
-            row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
-            v, w = line_ids(memoryview(np.ascontiguousarray(data)), begin, end)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(v), pa.array(w)], ["doc_id", "line", "v", "w"])
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id bigint, line int, v bigint, w bigint")
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One key per band of each signature."""
+    band = sig.reshape(len(sig), HASHES // ROWS, ROWS).astype(np.uint64)
+    key = np.zeros(band.shape[:2], np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mix(key * _P + band[:, :, r])
+    return key
+
 
+def _signed(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, h, line, v, w, bands`` of every line with a word.
 
-def _bands(docs: DataFrame, width: int) -> DataFrame:
-    """``v, buckets`` (one for every band) of the lines; equal lines of a chunk once."""
+    ``bands`` (the keys as bytes) is null for lines shorter than a shingle and
+    for all but the first of a chunk's equal lines: each is signed once a chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", BAND_BYTES):
-            data, offs = text_buffers(b.column(0))
+            data, offs = text_buffers(b.column(2))
             data = np.ascontiguousarray(data)
-            _, _, begin, end, ink = line_spans(data, offs)
-            begin, end = begin[ink], end[ink]
-            long = end - begin >= width
-            begin, end = begin[long], end[long]
-            if not len(begin):
-                continue
-            v, _ = line_ids(memoryview(data), begin, end)
-            v, first = np.unique(v, return_index=True)
+            row, number, begin, end, ink = line_spans(data, offs)
+            row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
+            v, w = line_ids(memoryview(data), begin, end)
+            long = np.flatnonzero(end - begin >= width)
+            first = long[np.unique(v[long], return_index=True)[1]] if len(long) else long
             flat, o = shingle_hashes(data, begin[first], end[first], width)
             sig, full = signatures(flat, o)
-            band = sig.reshape(len(sig), HASHES // ROWS, ROWS).astype(np.uint64)
-            key = np.zeros(band.shape[:2], np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                key = _mix(key * _P + band[:, :, r])
-            at = pa.array(np.arange(len(full) + 1, dtype=np.int32) * (HASHES // ROWS))
-            yield pa.RecordBatch.from_arrays([pa.array(v[full]), pa.ListArray.from_arrays(at, pa.array(key.ravel().view(np.int64)))], ["v", "buckets"])
+            keys = band_keys(sig)
+            bands = np.full(len(v), None, object)
+            for at, k in zip(first[full].tolist(), keys, strict=True):
+                bands[at] = k.tobytes()
+            take = pa.array(row)
+            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(number, pa.int32()), pa.array(v), pa.array(w), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "line", "v", "w", "bands"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "v bigint, buckets array<bigint>")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, line int, v bigint, w bigint, bands binary")
 
 
-def _mates(docs: DataFrame, width: int) -> DataFrame:
-    """``bucket, v`` of the buckets that hold two lines or more; every line is signed once."""
-    signed = staged(_bands(docs, width), "lines-signed")
-    bands = signed.select(F.explode("buckets").alias("bucket"), "v")
-    # staged by itself, so that its shuffle files are gone before those of the join are written
-    held = staged(bands.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket"), "lines-held")
-    mates = staged(bands.join(held, "bucket").select("bucket", "v").distinct(), "cluster-mates")
-    unstage(held)
-    unstage(signed)
-    return mates
+def _keys_of(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, HASHES // ROWS)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``v, line_text`` of lines given by ``doc_id, lines`` (an array of ``line, v``)."""
-    src = wanted.join(docs.select("doc_id", "text"), "doc_id").select("lines", "text")
+    """``v, items`` (the lines) of lines given by ``doc_id, h, lines`` (an array of ``line, v``)."""
+    src = wanted.join(_keyed(docs).dropDuplicates(["doc_id", "h"]), ["doc_id", "h"]).select("lines", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
@@ -176,106 +171,76 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lines, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = (text or "").split("\n")
                 for x in lines:
-                    if x["line"] < len(parts):
-                        vs.append(x["v"])
-                        out.append(parts[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(out, pa.string())], ["v", "line_text"])
+                    vs.append(x["v"])
+                    out.append(parts[x["line"]])
+            yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(out, pa.string())], ["v", "items"])
 
-    return src.mapInArrow(run, "v bigint, line_text string").dropDuplicates(["v"])
+    return src.mapInArrow(run, "v bigint, items string")
 
 
-def similar(a: str, b: str, percent: int, width: int = WIDTH) -> bool:
-    """Exact Jaccard similarity of two lines' shingle sets against the threshold."""
-    x, y = ({s[i : i + width] for i in range(len(s) - width + 1)} for s in (a, b))
-    both = len(x & y)
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+def line_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of lines, and their offsets."""
+    data, offs = text_buffers(col)
+    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
+    row = np.repeat(np.arange(len(col)), np.diff(o))
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    once = np.ones(len(flat), bool)
+    once[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    return flat[once], np.concatenate([[0], np.cumsum(np.bincount(row[once], minlength=len(col)))])
+
+
+def similar_pairs(a: pa.Array, b: pa.Array, percent: int, width: int) -> np.ndarray:
+    """Which pairs of lines reach the threshold: exact Jaccard similarity of their shingle sets."""
+    (fa, oa), (fb, ob) = line_sets(a, width), line_sets(b, width)
+    salt = _mix(np.arange(1, len(a) + 1).astype(np.uint64))  # a hash that two pairs hold counts for each by itself
+    ka = fa ^ np.repeat(salt, np.diff(oa))
+    kb = fb ^ np.repeat(salt, np.diff(ob))
+    shared = np.isin(ka, kb, assume_unique=True)
+    both = np.bincount(np.repeat(np.arange(len(a)), np.diff(oa))[shared], minlength=len(a))
+    return (both > 0) & (100 * both >= percent * (np.diff(oa) + np.diff(ob) - both))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    full = pairs.join(texts.select(F.col("v").alias("a"), F.col("line_text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("line_text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    one, two = (texts.select(F.col("v").alias(c), F.col("items").alias(f"t{c}")) for c in "ab")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(x, y, percent, width) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for b in by_bytes(iter([whole]), "ta", BAND_BYTES):
+                for c in by_bytes(iter([b]), "tb", BAND_BYTES):
+                    yield c.select(["a", "b"]).filter(pa.array(similar_pairs(c.column(2), c.column(3), percent, width)))
 
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def spanning_links(t: pa.Table, percent: int, width: int = WIDTH) -> pa.Table:
-    """Links between two blocks of a bucket: ``i, j, own, v, label, line_text``.
-
-    All pairs of the two blocks are compared exactly; of those that are similar
-    only as many are returned as it takes to join their components.
-    """
-    t = t.combine_chunks()
-    v, label, own = (t[c].to_numpy() for c in ("v", "label", "own"))
-    left, right = (np.flatnonzero(own == t[c][0].as_py()) for c in ("i", "j"))
-    data, offs = text_buffers(t["line_text"])
-    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
-    _, col = np.unique(flat, return_inverse=True)
-    kinds = int(col.max()) + 1 if len(col) else 1
-    cell = np.unique(np.repeat(np.arange(len(v)), np.diff(o)) * kinds + col)
-    row, col = cell // kinds, cell % kinds
-    size = np.bincount(row, minlength=len(v))
-    shared = np.bincount(col, minlength=kinds) > 1  # a shingle of one line is in no intersection
-    row, col = row[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(col, (lo, lo + 4096))
-        has = np.zeros((len(v), 4096), np.float32)
-        has[row[a:b], col[a:b] - lo] = 1
-        both += has[left] @ has[right].T
-    union = size[left][:, None] + size[right][None, :] - both
-    x, y = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :]))
-    root: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while (up := root.get(k, k)) != k:
-            root[k] = root.get(up, up)
-            k = up
-        return k
-
-    out = []
-    for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
-        one, two = find(int(label[p])), find(int(label[q]))
-        if one != two:
-            root[max(one, two)] = min(one, two)
-            out.append((min(v[p], v[q]), max(v[p], v[q])))
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-
 def removals(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``doc_id, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
+    """``doc_id, h, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
     spark = docs.sparkSession
-    lines = staged(_lines(docs), "lines-all")
-    place = F.struct("doc_id", "line")
-    distinct = staged(lines.groupBy("v", "w").agg(F.min(place).alias("first")), "lines-distinct")
-    mates = _mates(docs, width)
+    signed = staged(_signed(docs, width), "lines-signed")
+    lines = signed.select("doc_id", "h", "line", "v", "w")
+    distinct = staged(lines.groupBy("v", "w").agg(F.min(F.struct("doc_id", "h", "line")).alias("first")), "lines-distinct")
+    mates = bucket_mates(signed.where(F.col("bands").isNotNull()).select("v", "bands"), _keys_of)
     collect_garbage(spark)
-    wanted = distinct.join(mates.select("v").distinct(), "v", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
+    one = distinct.groupBy("v").agg(F.min("first").alias("first"))
+    wanted = one.join(mates.select("v").distinct(), "v", "left_semi").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
-
-    def in_blocks(large: DataFrame) -> DataFrame:
-        return large.join(texts, "v").groupBy("bucket", "i", "j").applyInArrow(lambda t: spanning_links(t, percent, width), "a bigint, b bigint")
-
-    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), in_blocks, texts.select("v", F.octet_length("line_text").alias("bytes")))
-    unstage(texts)
+    label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), texts, lambda col: line_sets(col, width), percent)
+    unstage(texts, mates)
     collect_garbage(spark)
     # the line of each component that stays; lines without a link are their own component
     linked = distinct.join(label, "v")
     heads = linked.groupBy("label").agg(F.min("first").alias("head"))
     heads = linked.join(heads, "label").select("v", "w", F.col("head").alias("fuzzy_head"))
     fate = distinct.join(heads, ["v", "w"], "left").select("v", "w", "first", F.coalesce("fuzzy_head", "first").alias("head"))
-    return (
-        lines.join(fate, ["v", "w"])
-        .where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("line") != F.col("head.line")))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sum((F.col("first") != F.col("head")).cast("bigint")).alias("fuzzy"))
-    )
+    here = F.struct("doc_id", "h", "line")
+    marks = lines.join(fate, ["v", "w"]).where(here != F.col("head")).select("doc_id", "h", F.struct("line", (F.col("first") != F.col("head")).alias("fuzzy")).alias("mark"))
+    gone = marks.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
+    gone = staged(gone.select("doc_id", "h", F.col("marks.line").alias("gone"), F.size(F.filter("marks", lambda m: m["fuzzy"])).cast("bigint").alias("fuzzy")), "lines-gone")
+    unstage(signed, distinct, label)
+    collect_garbage(spark)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
@@ -284,13 +249,13 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None
 
     Blank lines are never compared and always stay.  Lines shorter than a
     shingle (``width`` characters) are only compared for equality.  Null text stays null with no line;
-    rows without ``doc_id`` are left alone; rows that repeat a ``doc_id`` lose
-    the same line numbers; an empty table gives an empty result.
+    rows without ``doc_id`` are left alone; rows that repeat both ``doc_id`` and
+    text are one document and lose the same lines, rows that repeat ``doc_id``
+    alone are documents of their own; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    gone = staged(removals(docs, percent, width), "lines-gone")
-    collect_garbage(docs.sparkSession)
-    src = docs.select(F.col("doc_id").alias("__id"), *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "gone", F.coalesce("fuzzy", F.lit(0).cast("bigint")).alias("fuzzy"))
+    gone = removals(docs, percent, width)
+    src = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).join(gone.withColumnsRenamed({"doc_id": "__id", "h": "__h"}), ["__id", "__h"], "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "gone", F.coalesce("fuzzy", F.lit(0).cast("bigint")).alias("fuzzy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keep)

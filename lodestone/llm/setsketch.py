@@ -9,9 +9,10 @@ merge by maximum and agree with probability close to the Jaccard similarity.
 1. Sets with equal fingerprints are one vertex; what follows sees each once.
 2. Bands of registers are bucketed; :mod:`.cluster` says which members of a
    bucket are compared.
-3. A pair's similarity is estimated from the counts of larger, smaller and
-   equal registers by maximum likelihood.  A pair far below the threshold goes;
-   all others are confirmed on their full shingle sets.
+3. The similarity of a member and its bucket's hub is estimated from the counts
+   of larger, smaller and equal registers by maximum likelihood.  A pair far
+   below the threshold goes; all others are confirmed on their full shingle
+   sets.  Members that are still apart are compared on their full sets alone.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.75 shares none with proba
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair goes unconfirmed only if the threshold is less likely than the best estimate by exp(-MARGIN).
 MARGIN = 14.0
-SET_BYTES = 6  # of each shingle's hash in a set that is compared
 
 _rng = np.random.default_rng(5)
 _MUL = (_rng.integers(0, 1 << 63, REGISTERS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -170,19 +170,13 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch binary")
 
 
-def _bands(vertices: DataFrame) -> DataFrame:
-    """``bucket, v``: one row per band of a vertex."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
-            key = np.zeros(k.shape[:2], np.uint64) + np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                key = mix(key * _P + k[:, :, r].astype(np.uint64))
-            v = np.repeat(b.column(0).to_numpy(), REGISTERS // ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(v)], ["bucket", "v"])
-
-    return vertices.select("v", "sketch").mapInArrow(run, "bucket bigint, v bigint")
+def band_keys(col: pa.Array) -> np.ndarray:
+    """One key per band of each sketch."""
+    k = np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
+    key = np.zeros(k.shape[:2], np.uint64) + np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix(key * _P + k[:, :, r].astype(np.uint64))
+    return key
 
 
 def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -203,33 +197,33 @@ def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``v, items``: the full sets of some documents, ``SET_BYTES`` bytes a shingle."""
+    """``v, items``: the full sets of some documents, eight bytes a shingle."""
     src = docs.select(F.col("doc_id").alias("v"), "text").join(ids, "v", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
             flat, offs = shingle_sets(b.column(1), width)
-            wide = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]) if len(flat) else np.zeros((0, SET_BYTES), np.uint8)
-            items = [wide[offs[i] : offs[i + 1]].tobytes() for i in range(b.num_rows)]
+            items = [flat[offs[i] : offs[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], ["v", "items"])
 
-    return src.mapInArrow(run, "v bigint, items binary").dropDuplicates(["v"])
+    return src.mapInArrow(run, "v bigint, items binary").dropDuplicates(["v", "items"])
+
+
+def load_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a column of sets and their offsets."""
+    data, offs = text_buffers(col)
+    return np.frombuffer(data.tobytes(), np.uint64), offs // 8
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with ``100 * intersection >= percent * union`` on the full sets."""
     full = pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("sb")), "b").select("a", "b", "sa", "sb")
 
-    def load(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-        wide[:, 8 - SET_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-        return wide.view(np.uint64).ravel()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for sa, sb in zip(b.column(2), b.column(3), strict=True):
-                x, y = load(sa.as_py()), load(sb.as_py())
+                x, y = (np.frombuffer(raw.as_py(), np.uint64) for raw in (sa, sb))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -237,27 +231,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _compare_blocks(t: pa.Table, percent: int) -> pa.Table:
-    """Plausible pairs of two blocks of a bucket: ``i, j, own, v, label, sketch, n_shingles``."""
-    t = t.combine_chunks()
-    k = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    v, label, own, n = (t[c].to_numpy() for c in ("v", "label", "own", "n_shingles"))
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    out = [np.zeros((2, 0), np.int64)]
-    for x in left:
-        ys = right[label[right] != label[x]]
-        if i == j:
-            ys = ys[v[ys] > v[x]]
-        # registers agree in at least half of the places at any similarity that matters: a cheap first look
-        ys = ys[(k[ys] == k[x]).sum(1) * 2 >= REGISTERS * percent // 150] if len(ys) else ys
-        if len(ys):
-            ys = ys[plausible(np.broadcast_to(k[x], (len(ys), REGISTERS)), k[ys], np.full(len(ys), float(n[x])), n[ys].astype(float), percent)]
-            out.append(np.stack([np.minimum(v[x], v[ys]), np.maximum(v[x], v[ys])]))
-    ab = np.concatenate(out, 1)
-    return pa.table({"a": pa.array(ab[0], pa.int64()), "b": pa.array(ab[1], pa.int64())})
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -269,19 +242,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     base = staged(sketches(docs, width), "setsketch-documents")
     vertices = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("sketch").alias("sketch"))
     vertices = staged(vertices, "setsketch-vertices")
-    mates = bucket_mates(_bands(vertices))
+    mates = bucket_mates(vertices.select("v", "sketch"), band_keys)
     sets = staged(_sets(docs, mates.select("v").distinct(), width), "setsketch-sets")
     collect_garbage(docs.sparkSession)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirm(_likely(pairs, vertices, percent), sets, percent)
-
-    def in_blocks(large: DataFrame) -> DataFrame:
-        rows = large.join(vertices.select("v", "sketch", "n_shingles"), "v")
-        return rows.groupBy("bucket", "i", "j").applyInArrow(lambda t: _compare_blocks(t, percent), "a bigint, b bigint")
-
-    label = cluster(mates, confirm, in_blocks)
-    unstage(sets)
+    label = cluster(mates, lambda pairs: _confirm(_likely(pairs, vertices, percent), sets, percent), sets, load_sets, percent)
+    unstage(sets, mates)
     named = base.join(vertices.select("f1", "f2", "n_shingles", "v"), ["f1", "f2", "n_shingles"], "left")
     out = named.join(label, "v", "left").select("doc_id", "n_shingles", F.coalesce("label", "v", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "setsketch-out")
+    unstage(base, vertices, label)
+    return out

@@ -103,6 +103,13 @@ def near(docs, percent=75):
     return [(d, len(s), links.find(d), links.find(d) == d) for d, s in sorted(sets.items())]
 
 
+def alike_lines(a, b, percent, width=10):
+    """Exact Jaccard similarity of two lines' shingle sets against the threshold."""
+    x, y = ({s[i : i + width] for i in range(len(s) - width + 1)} for s in (a, b))
+    both = len(x & y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def fewer_lines(docs, width=10, percent=80):
     """doc_id, n_removed, text: first line of each component of similar lines stays."""
     at, links, first = {}, Links(), {}

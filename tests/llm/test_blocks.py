@@ -2,9 +2,16 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from lodestone.llm.lines import similar, spanning_links
+import brute
+from lodestone.llm.cluster import common_counts, spanning_links
+from lodestone.llm.lines import line_sets, similar_pairs
+
+
+def load(col):
+    return line_sets(col, 10)
 
 
 def _roots(n, edges):
@@ -30,16 +37,46 @@ def test_spanning_links_join_what_all_similar_pairs_join():
 
     def table(i, j):
         rows = [k for k in range(n) if own[k] in (i, j)]
-        return pa.table({"i": pa.array([i] * len(rows), pa.int32()), "j": pa.array([j] * len(rows), pa.int32()), "own": pa.array([own[k] for k in rows], pa.int32()), "v": rows, "label": rows, "line_text": [texts[k] for k in rows]})
+        return pa.table({"i": pa.array([i] * len(rows), pa.int32()), "j": pa.array([j] * len(rows), pa.int32()), "own": pa.array([own[k] for k in rows], pa.int32()), "bucket": [7] * len(rows), "v": rows, "label": rows, "items": [texts[k] for k in rows]})
 
-    got = [(r["a"], r["b"]) for i, j in ((0, 0), (0, 1), (1, 1)) for r in spanning_links(table(i, j), 80).to_pylist()]
-    want = [(a, b) for a in range(n) for b in range(a + 1, n) if similar(texts[a], texts[b], 80)]
+    got = [(r["a"], r["b"]) for i, j in ((0, 0), (0, 1), (1, 1)) for r in spanning_links(table(i, j), load, 80).to_pylist()]
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if brute.alike_lines(texts[a], texts[b], 80)]
     assert want and set(got) <= set(want)
     assert _roots(n, got) == _roots(n, want)
-    assert len(spanning_links(table(0, 1), 80)) < n
+    assert len(spanning_links(table(0, 1), load, 80)) < n
 
 
 def test_spanning_links_leave_out_what_is_joined_already():
     line = "one line of text that is said twice"
-    t = pa.table({"i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "own": pa.array([0, 0], pa.int32()), "v": [1, 2], "label": [1, 1], "line_text": [line, line + "."]})
-    assert spanning_links(t, 80).num_rows == 0
+    t = pa.table({"i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "own": pa.array([0, 0], pa.int32()), "bucket": [7, 7], "v": [1, 2], "label": [1, 1], "items": [line, line + "."]})
+    assert spanning_links(t, load, 80).num_rows == 0
+
+
+def test_many_buckets_in_one_task():
+    lines = ["one line of text that is said twice", "one line of text that is said twice.", "nothing like any of the others here"]
+    rows = [(b, 10 * b + k, x) for b in (1, 2, 3) for k, x in enumerate(lines)]
+    z = pa.array([0] * 9, pa.int32())
+    t = pa.table({"i": z, "j": z, "own": z, "bucket": [r[0] for r in rows], "v": [r[1] for r in rows], "label": [r[1] for r in rows], "items": [r[2] for r in rows]})
+    assert [(r["a"], r["b"]) for r in spanning_links(t, load, 80).to_pylist()] == [(10, 11), (20, 21), (30, 31)]
+
+
+def test_counts_of_shared_hashes():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 30))).astype(np.uint64) for _ in range(40)]
+    flat, offs = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    left, right = np.arange(0, 25), np.arange(15, 40)
+    want = np.array([[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left])
+    assert ((common_counts(flat, offs, left, right) == want) | (left[:, None] == right[None, :])).all()
+
+
+def test_pairs_of_lines():
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcde ") for _ in range(90))
+    a, b = [], []
+    for n in range(60):
+        one = list(base)
+        for _ in range(n % 9):
+            one[rng.randrange(len(one))] = rng.choice("abcde é")
+        a.append("".join(one))
+        b.append(base[n % 4 :] if n % 11 else "")
+    assert similar_pairs(pa.array(a), pa.array(b), 80, 5).tolist() == [brute.alike_lines(x, y, 80, 5) for x, y in zip(a, b, strict=True)]

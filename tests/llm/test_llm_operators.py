@@ -140,6 +140,20 @@ def test_null_ids_and_repeated_rows(spark, n):
     assert decontaminate.decontaminate(df, bench).where("contaminated").count() >= 1
 
 
+def test_two_texts_of_one_id_do_not_mix(spark):
+    """Line 1 of one text is a copy; line 1 of the other text of that id is not and stays."""
+    docs = [(1, "first line of it all\na line that is said again"), (2, "something else entirely\na line that is said again"), (2, "more of something else\nan innocent line that occurs once")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert got == [(1, docs[0][1], 0), (2, docs[2][1], 0), (2, "something else entirely", 1)]
+
+
+def test_lines_counted(spark):
+    line = "a fuzzy line of some sixty characters that differs by one letter."
+    docs = [(1, line + "\n\nown words"), (2, line.replace("sixty", "sixtX") + "\n" + line), (2, line.replace("sixty", "sixtX") + "\n" + line), (3, None)]
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_fuzzy) for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), width=5).collect())
+    assert got == [(1, 3, 0, 0), (2, 2, 2, 1), (2, 2, 2, 1), (3, 0, 0, 0)]
+
+
 PAGE = (
     "<html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
     "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About</a></li></ul></nav><article><h1>A story of rivers</h1>"
