@@ -32,9 +32,11 @@ FLUSH = 1_500_000
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Shingles that so few members share are counted pair by pair, others by a matrix product.
 FEW = 12
+#: Members of a bucket up to which its pairs are compared one by one, together with those of other buckets.
+SMALL = 32
 
-#: Keys (one row per vertex, one column per band) of a signature column.
-Keys = Callable[[pa.Array], np.ndarray]
+#: Band keys (a row per vertex, a column per band) and the vertices of batches.
+Signed = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
 #: Distinct shingle hashes of a column of sets, and their offsets.
 Load = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -92,19 +94,19 @@ def _meet(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(key, pa.int64()), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64())})
 
 
-def bucket_mates(vertices: DataFrame, keys: Keys) -> DataFrame:
+def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
     """``bucket, v, hub`` of the buckets that two vertices or more share.
 
-    ``vertices``: ``v`` and a signature column; a vertex may come more than once.
+    ``signed`` turns batches of ``rows`` into band keys and vertices; a vertex
+    may come more than once.
     """
-    parts = 4 * partitions(vertices.sparkSession)
+    parts = 4 * partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, vs, n = [], [], 0
-        for b in batches:
-            k = keys(b.column(1))
+        for k, v in signed(batches):
             ks.append(k.ravel())
-            vs.append(np.repeat(b.column(0).to_numpy(), k.shape[1]))
+            vs.append(np.repeat(v, k.shape[1]))
             n += k.size
             if n >= FLUSH:
                 yield _spread(ks, vs, parts)
@@ -112,10 +114,40 @@ def bucket_mates(vertices: DataFrame, keys: Keys) -> DataFrame:
         if n:
             yield _spread(ks, vs, parts)
 
-    packed = vertices.mapInArrow(run, "part int, pack binary")
+    packed = rows.mapInArrow(run, "part int, pack binary")
     return staged(packed.groupBy("part").applyInArrow(_meet, "bucket bigint, v bigint, hub bigint"), "cluster-mates")
 
 
+def pair_counts(flat: np.ndarray, offs: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many hashes the sets ``x[k]`` and ``y[k]`` share, each set's hashes being distinct."""
+    out = np.zeros(len(x), np.int64)
+    size = offs[x + 1] - offs[x] + offs[y + 1] - offs[y]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(x):  # at most 2**14 pairs, and about a million hashes, at once
+        base = ends[at - 1] if at else 0
+        end = min(len(x), at + (1 << 14), max(at + 1, int(np.searchsorted(ends, base + (1 << 20)))))
+        keys = []
+        for side in (x[at:end], y[at:end]):
+            pos, lens = ragged(offs, side)
+            keys.append((np.repeat(np.arange(end - at, dtype=np.uint64), lens) << np.uint64(50)) | (flat[pos] >> np.uint64(14)))
+        k = np.sort(np.concatenate(keys))
+        out[at:end] = np.bincount((k[1:][k[1:] == k[:-1]] >> np.uint64(50)).astype(np.int64), minlength=end - at)
+        at = end
+    return out
+
+
+def _pairs_of(order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows inside each of the small buckets."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size):
+        rows = order[begin[size == n][:, None] + np.arange(n)]
+        one, two = np.triu_indices(n, 1)
+        xs.append(rows[:, one].ravel())
+        ys.append(rows[:, two].ravel())
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def common_counts(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     """How many hashes the sets ``rows`` share with the sets ``other``: a matrix, not valid where a set meets itself."""
     both = np.union1d(rows, other)
@@ -154,7 +186,9 @@ def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
     """
     t = t.combine_chunks()
     v, label, own, i, j, bucket = (t[c].to_numpy() for c in ("v", "label", "own", "i", "j", "bucket"))
-    flat, offs = load(t["items"].combine_chunks() if isinstance(t["items"], pa.ChunkedArray) else t["items"])
+    _, first, row = np.unique(v, return_index=True, return_inverse=True)  # a member of many buckets is read once
+    items = t["items"].take(pa.array(first))
+    flat, offs = load(items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items)
     size = np.diff(offs)
     root: dict[int, int] = {}
 
@@ -165,21 +199,35 @@ def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
         return k
 
     out = []
+
+    def link(p: np.ndarray, q: np.ndarray) -> None:
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            one, two = find(int(label[a])), find(int(label[b]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                out.append((min(v[a], v[b]), max(v[a], v[b])))
+
     order = np.argsort(bucket, kind="stable")
-    cuts = np.append(np.flatnonzero(runs(bucket[order])), len(order))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    begin = np.flatnonzero(runs(bucket[order]))
+    n = np.diff(np.append(begin, len(order)))
+    small = (n <= SMALL) & (i[order[begin]] == j[order[begin]])
+    x, y = _pairs_of(order, begin[small], n[small])
+    apart = label[x] != label[y]
+    x, y = x[apart], y[apart]
+    _, once = np.unique(np.minimum(row[x], row[y]) * len(first) + np.maximum(row[x], row[y]), return_index=True)
+    x, y = x[once], y[once]
+    both = pair_counts(flat, offs, row[x], row[y])
+    near = (both > 0) & (100 * both >= percent * (size[row[x]] + size[row[y]] - both))
+    link(x[near], y[near])
+    for lo, hi in zip(begin[~small], (begin + n)[~small], strict=True):
         rows = order[lo:hi]
         left, right = rows[own[rows] == i[rows[0]]], rows[own[rows] == j[rows[0]]]
         if not len(left) or not len(right) or label[rows].min() == label[rows].max():
             continue
-        both = common_counts(flat, offs, left, right)
-        union = size[left][:, None] + size[right][None, :] - both
+        both = common_counts(flat, offs, row[left], row[right])
+        union = size[row[left]][:, None] + size[row[right]][None, :] - both
         x, y = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :]))
-        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
-            one, two = find(int(label[p])), find(int(label[q]))
-            if one != two:
-                root[max(one, two)] = min(one, two)
-                out.append((min(v[p], v[q]), max(v[p], v[q])))
+        link(left[x], right[y])
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 

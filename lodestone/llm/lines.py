@@ -1,8 +1,10 @@
 """Line dedup with fuzzy lines (operator 9).
 
-Equal lines are one class by a 128-bit hash.  Each distinct line has a MinHash
-signature over its character shingles; bands of it are bucketed for candidates,
-which are confirmed by the exact Jaccard similarity of the lines' shingle sets.
+Equal lines are one class by a 128-bit hash; classes travel as packed arrays by
+ranges of the hash, and a task sends on the first line of each of its classes
+only.  Each distinct line has a MinHash signature over its character shingles;
+bands of it are bucketed for candidates, which are confirmed by the exact
+Jaccard similarity of the lines' shingle sets.
 Links become components by distributed union-find (:mod:`.cluster`,
 :mod:`.components`); of all lines of a component the first in order of
 (``doc_id``, text hash, line number) stays.  Marks are kept per document and
@@ -18,22 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_mates, cluster
-from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
+from .cluster import bucket_mates, cluster, pair_counts
+from .common import by_bytes, collect_garbage, pack, partitions, runs, staged, text_buffers, unpack, unstage
 
 #: Characters of a shingle and percent of Jaccard similarity from which lines are linked, where a caller names none.
 WIDTH, PERCENT = 10, 80
 #: Characters of a shingle in op9 and the pipeline: a changed letter alters 5 shingles, so lines from 49 characters on stay linked.
 SHORT_WIDTH = 5
-#: 24 bands of 6: a pair at 0.8 shares none with probability 7e-4, at 0.9 with 1e-8; one at 0.2, as unrelated lines have short shingles in common, shares one with 2e-3
-HASHES, ROWS = 144, 6
-
+#: 32 bands of 8: a pair at 0.8 shares none with probability 3e-3, at 0.85 with 4e-5; one at 0.15, as unrelated lines have short shingles in common, shares one with 8e-6
+HASHES, ROWS = 256, 8
+#: A line of fewer shingles has one hash function for each place of its signature, one of more has one
+#: function for all places.  As similar sets differ by a fifth in size at most, what lies within that of
+#: the bound is signed both ways; so is a long line of so few different shingles that it fills fewer bins
+#: than ``5 * LONG / 4`` would (119 of 256, with a deviation of 6).
+LONG, FEW_BINS = 128, 145
+#: Lines that a task resolves and packs at once.
+FLUSH = 300_000
 #: Bytes of text whose lines are signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
 
 _rng = np.random.default_rng(9)
-_MUL = (_rng.integers(0, 1 << 31, HASHES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32)
+_ODD = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32) | np.uint32(1)
+_STEP = _rng.integers(0, 1 << 32, 2 * HASHES) | 1  # where an empty bin borrows
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -79,7 +87,7 @@ def shingle_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
     lens = np.maximum(hi - lo - width + 1, 0)
     if len(chars) < width or not lens.sum():
         return np.zeros(0, np.uint64), np.zeros(len(begin) + 1, np.int64)
-    block, size, whole, done = _mix(chars + np.uint64(1)), 1, None, 0
+    block, size, whole, done = chars + np.uint64(1), 1, None, 0
     powers = []
     while size <= width:  # blocks of 1, 2, 4 ... characters
         powers.append((size, block))
@@ -90,28 +98,92 @@ def shingle_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
             n = len(chars) - done - size + 1
             whole = block if whole is None else whole[:n] * np.uint64(pow(int(_P), size, 2**64)) + block[done : done + n]
             done += size
-    whole = _mix(whole)
     ends = np.cumsum(lens)
     pos = np.arange(int(ends[-1])) + np.repeat(lo - (ends - lens), lens)
-    return whole[pos], np.concatenate([[0], ends])
-
-
-def signatures(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash signatures of the lines that have shingles, and which lines those are."""
-    full = np.flatnonzero(np.diff(offs))
-    out = np.zeros((len(full), HASHES), np.uint32)
-    flat = (flat >> np.uint64(32)).astype(np.uint32)
+    return _mix(whole[pos]), np.concatenate([[0], ends])
+
+
+def mixed_shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles from every character on, and where those of each line begin and end."""
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=at[1:], dtype=np.int32)
+    lo, hi = at[begin].astype(np.int64), at[end] - width + 1
+    h = chars[: max(len(chars) - width + 1, 0)] + np.uint32(1)
+    for k in range(1, width):
+        h = h * np.uint32(0x9E3779B1) + chars[k : len(chars) - width + 1 + k]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16)), lo, hi.astype(np.int64)
+
+
+def minhash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Signatures of the lines ``h[lo:hi]`` (not empty): the least hash times an odd number, for each of ``HASHES`` numbers."""
+    out = np.empty((len(lo), HASHES), np.uint32)
+    lens = hi - lo
+    ends = np.cumsum(lens)
+    e = h[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - lens), lens)]
+    cuts = ends - lens
     at = 0
-    while at < len(full):
-        end = max(at + 1, int(np.searchsorted(offs, offs[full[at]] + (1 << 15), "right")))
-        end = min(len(full), max(at + 1, int(np.searchsorted(full, end))))
-        rows = full[at:end]
-        block = flat[offs[rows[0]] : offs[rows[-1] + 1]]
-        cuts = offs[rows] - offs[rows[0]]
+    while at < len(lo):  # blocks that stay in a core's cache
+        end = max(at + 1, int(np.searchsorted(ends, cuts[at] + (1 << 16))))
+        block = e[cuts[at] : ends[end - 1]]
+        part, held = np.empty((HASHES, end - at), np.uint32), np.empty_like(block)
         for j in range(HASHES):
-            out[at:end, j] = np.minimum.reduceat((block ^ _XOR[j]) * _MUL[j], cuts)
+            np.multiply(block, _ODD[j], out=held)
+            np.minimum.reduceat(held, cuts[at:end] - cuts[at], out=part[j])
+        out[at:end] = part.T
         at = end
-    return out, full
+    return out
+
+
+def binned(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures of lines by one permutation, and how many bins each line fills.
+
+    A shingle's hash names one of ``HASHES`` bins, which keeps its least; empty
+    bins borrow from others in an order that is the same for all lines, so two
+    lines agree in a bin with the probability of their similarity.
+    """
+    lens = hi - lo
+    ends = np.cumsum(lens)
+    row = np.repeat(np.arange(len(lo)), lens)
+    e = h[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - lens), lens)]
+    shift = 32 - (HASHES - 1).bit_length()
+    none = np.uint32(0xFFFFFFFF)
+    own = np.full(len(lo) * HASHES, none)
+    np.minimum.at(own, row * HASHES + (e >> np.uint32(shift)), e & np.uint32((1 << shift) - 1))
+    own = own.reshape(-1, HASHES)
+    out = own.copy()
+    r, c = np.nonzero(own == none)
+    filled = HASHES - np.bincount(r, minlength=len(lo))
+    k = 0
+    while len(r):
+        got = own[r, (_STEP[c] + k * _STEP[HASHES + c] >> 7) % HASHES]
+        out[r, c] = got
+        r, c = r[got == none], c[got == none]
+        k += 1
+    return out, filled
+
+
+def band_keys(sig: np.ndarray, salt: int) -> np.ndarray:
+    """One key per band of each signature."""
+    band = sig.reshape(len(sig), HASHES // ROWS, ROWS)
+    key = np.zeros(band.shape[:2], np.uint64) + np.arange(salt << 32, (salt << 32) + HASHES // ROWS, dtype=np.uint64)
+    for r in range(0, ROWS, 2):
+        key = (key + ((band[:, :, r].astype(np.uint64) << np.uint64(32)) | band[:, :, r + 1])) * _P
+        key ^= key >> np.uint64(31)
+    return _mix(key)
+
+
+def signed_lines(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of the lines (bytes ``begin`` to ``end``) that have shingles, and which line each row is of."""
+    h, lo, hi = mixed_shingles(data, begin, end, width)
+    long = np.flatnonzero(hi - lo >= LONG)
+    sig, filled = binned(h, lo[long], hi[long])
+    few = (hi > lo) & (hi - lo <= LONG * 5 // 4)
+    few[long[filled <= FEW_BINS]] = True
+    short = np.flatnonzero(few)
+    return np.concatenate([band_keys(minhash(h, lo[short], hi[short]), 1), band_keys(sig, 2)]), np.concatenate([short, long])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -119,51 +191,88 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One key per band of each signature."""
-    band = sig.reshape(len(sig), HASHES // ROWS, ROWS).astype(np.uint64)
-    key = np.zeros(band.shape[:2], np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = _mix(key * _P + band[:, :, r])
-    return key
+def _part(v: np.ndarray, parts: int) -> np.ndarray:
+    return ((v.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, h, line, v, w, bands`` of every line with a word.
+def _in_order(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """``doc_id, h, line, v, w`` sorted by class and place, each place once, and where a class begins."""
+    doc, h, line, v, w = columns
+    order = np.lexsort((line, h, doc, w, v.view(np.uint64)))
+    order = order[runs(*(x[order] for x in columns))]  # rows that repeat id and text are one document
+    doc, h, line, v, w = (x[order] for x in columns)
+    return [doc, h, line, v, w], runs(v, w)
+
+
+def _spread(rows: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    columns, first = _in_order(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+    out = []
+    if not first.all():  # an equal line comes before: sent to be marked, not to be compared
+        out.append((-1 - int(columns[0][0] % parts), pack(*(x[~first] for x in columns))))
+    columns = [x[first] for x in columns]
+    cuts = np.searchsorted(_part(columns[3], parts), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        out.append((int(p), pack(*(x[cuts[p] : cuts[p + 1]] for x in columns))))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "pack"])
 
-    ``bands`` (the keys as bytes) is null for lines shorter than a shingle and
-    for all but the first of a chunk's equal lines: each is signed once a chunk.
-    """
+
+def _classes(docs: DataFrame, mates: DataFrame) -> DataFrame:
+    """``first, doc_id, h, line, v, w``: the first line of the classes in ``mates`` (``v``), and of all classes the lines that are not the first."""
+    parts = 4 * partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", BAND_BYTES):
+        rows, n = [], 0
+        for b in by_bytes(batches, "text"):
             data, offs = text_buffers(b.column(2))
-            data = np.ascontiguousarray(data)
             row, number, begin, end, ink = line_spans(data, offs)
             row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
-            v, w = line_ids(memoryview(data), begin, end)
-            long = np.flatnonzero(end - begin >= width)
-            first = long[np.unique(v[long], return_index=True)[1]] if len(long) else long
-            flat, o = shingle_hashes(data, begin[first], end[first], width)
-            sig, full = signatures(flat, o)
-            keys = band_keys(sig)
-            bands = np.full(len(v), None, object)
-            for at, k in zip(first[full].tolist(), keys, strict=True):
-                bands[at] = k.tobytes()
-            take = pa.array(row)
-            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(number, pa.int32()), pa.array(v), pa.array(w), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "line", "v", "w", "bands"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, h bigint, line int, v bigint, w bigint, bands binary")
-
-
-def _keys_of(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, HASHES // ROWS)
+            v, w = line_ids(memoryview(np.ascontiguousarray(data)), begin, end)
+            doc, h = (b.column(k).to_numpy()[row] for k in (0, 1))
+            rows.append((doc, h, number.astype(np.int32), v, w))
+            n += len(v)
+            if n >= FLUSH:
+                yield _spread(rows, parts)
+                rows, n = [], 0
+        if n:
+            yield _spread(rows, parts)
+
+    def meet(packed: pa.Table, wanted: pa.Table) -> pa.Table:
+        rows = [unpack(p, np.int64, np.int64, np.int32, np.int64, np.int64) for p in packed["pack"].to_pylist()]
+        if not rows:
+            rows = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64)]]
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        if packed.num_rows and packed["part"][0].as_py() < 0:
+            first = np.zeros(len(columns[0]), bool)
+            keep = ~first
+        else:
+            columns, first = _in_order(*columns)
+            keep = ~first | np.isin(columns[3], wanted["v"].to_numpy())
+        doc, h, line, v, w = (x[keep] for x in columns)
+        return pa.table({"first": pa.array(first[keep]), "doc_id": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "line": pa.array(line, pa.int32()), "v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64())})
+
+    packed = _keyed(docs).mapInArrow(run, "part int, pack binary")
+    part = F.shiftrightunsigned(F.shiftrightunsigned("v", 32) * F.lit(parts), 32).cast("int")
+    wanted = mates.select("v").distinct().select(part.alias("part"), "v")
+    return packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(meet, "first boolean, doc_id bigint, h bigint, line int, v bigint, w bigint")
+
+
+def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Band keys and ids of the lines of ``text``, each line once a chunk."""
+    for b in by_bytes(batches, "text", BAND_BYTES):
+        data, offs = text_buffers(b.column(0))
+        data = np.ascontiguousarray(data)
+        _, _, begin, end, ink = line_spans(data, offs)
+        long = ink & (end - begin >= width)
+        begin, end = begin[long], end[long]
+        if len(begin):
+            v, first = np.unique(line_ids(memoryview(data), begin, end)[0], return_index=True)
+            keys, line = signed_lines(data, begin[first], end[first], width)
+            yield keys, v[line]
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``v, items`` (the lines) of lines given by ``doc_id, h, lines`` (an array of ``line, v``)."""
-    src = wanted.join(_keyed(docs).dropDuplicates(["doc_id", "h"]), ["doc_id", "h"]).select("lines", "text")
+    src = wanted.join(_keyed(docs), ["doc_id", "h"]).select("lines", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
@@ -175,30 +284,29 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(parts[x["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(out, pa.string())], ["v", "items"])
 
-    return src.mapInArrow(run, "v bigint, items string")
+    return src.mapInArrow(run, "v bigint, items string").dropDuplicates(["v"])
 
 
 def line_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of lines, and their offsets."""
-    data, offs = text_buffers(col)
-    flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
-    row = np.repeat(np.arange(len(col)), np.diff(o))
-    order = np.lexsort((flat, row))
-    row, flat = row[order], flat[order]
-    once = np.ones(len(flat), bool)
-    once[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
-    return flat[once], np.concatenate([[0], np.cumsum(np.bincount(row[once], minlength=len(col)))])
+    """Distinct shingle hashes (their upper 48 bits) of lines, and their offsets."""
+    parts, lens = [], []
+    for lo in range(0, len(col), 1 << 16):
+        some = col.slice(lo, 1 << 16)
+        data, offs = text_buffers(some)
+        flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
+        key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(o)) << np.uint64(48)) | (flat >> np.uint64(16)))
+        key = key[runs(key)]
+        parts.append(key << np.uint64(16))
+        lens.append(np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=len(some)))
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(np.concatenate(lens))] if lens else [[0]]).astype(np.int64)
 
 
 def similar_pairs(a: pa.Array, b: pa.Array, percent: int, width: int) -> np.ndarray:
     """Which pairs of lines reach the threshold: exact Jaccard similarity of their shingle sets."""
-    (fa, oa), (fb, ob) = line_sets(a, width), line_sets(b, width)
-    salt = _mix(np.arange(1, len(a) + 1).astype(np.uint64))  # a hash that two pairs hold counts for each by itself
-    ka = fa ^ np.repeat(salt, np.diff(oa))
-    kb = fb ^ np.repeat(salt, np.diff(ob))
-    shared = np.isin(ka, kb, assume_unique=True)
-    both = np.bincount(np.repeat(np.arange(len(a)), np.diff(oa))[shared], minlength=len(a))
-    return (both > 0) & (100 * both >= percent * (np.diff(oa) + np.diff(ob) - both))
+    flat, offs = line_sets(pa.concat_arrays([a, b]), width)
+    x = np.arange(len(a))
+    both, size = pair_counts(flat, offs, x, x + len(a)), np.diff(offs)
+    return (both > 0) & (100 * both >= percent * (size[: len(a)] + size[len(a) :] - both))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -217,28 +325,25 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 def removals(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, h, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
     spark = docs.sparkSession
-    signed = staged(_signed(docs, width), "lines-signed")
-    lines = signed.select("doc_id", "h", "line", "v", "w")
-    distinct = staged(lines.groupBy("v", "w").agg(F.min(F.struct("doc_id", "h", "line")).alias("first")), "lines-distinct")
-    mates = bucket_mates(signed.where(F.col("bands").isNotNull()).select("v", "bands"), _keys_of)
+    mates = bucket_mates(docs.where(F.col("doc_id").isNotNull()).select("text"), lambda batches: _signed(batches, width))
+    classes = staged(_classes(docs, mates), "lines-classes")
     collect_garbage(spark)
-    one = distinct.groupBy("v").agg(F.min("first").alias("first"))
-    wanted = one.join(mates.select("v").distinct(), "v", "left_semi").groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
+    first = classes.where("first").select("v", "w", F.struct("doc_id", "h", "line").alias("first"))
+    wanted = first.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
     label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), texts, lambda col: line_sets(col, width), percent)
     unstage(texts, mates)
     collect_garbage(spark)
-    # the line of each component that stays; lines without a link are their own component
-    linked = distinct.join(label, "v")
+    # of a component the first line stays; the classes of all others lose theirs as well
+    linked = first.join(label, "v")
     heads = linked.groupBy("label").agg(F.min("first").alias("head"))
-    heads = linked.join(heads, "label").select("v", "w", F.col("head").alias("fuzzy_head"))
-    fate = distinct.join(heads, ["v", "w"], "left").select("v", "w", "first", F.coalesce("fuzzy_head", "first").alias("head"))
-    here = F.struct("doc_id", "h", "line")
-    marks = lines.join(fate, ["v", "w"]).where(here != F.col("head")).select("doc_id", "h", F.struct("line", (F.col("first") != F.col("head")).alias("fuzzy")).alias("mark"))
+    losers = linked.join(heads, "label").where(F.col("first") != F.col("head")).select("v", "w", "first.*")
+    again = classes.where("not first").join(losers.select("v", "w", F.lit(True).alias("fuzzy")), ["v", "w"], "left").select("doc_id", "h", "line", F.coalesce("fuzzy", F.lit(False)).alias("fuzzy"))
+    marks = again.unionByName(losers.select("doc_id", "h", "line", F.lit(True).alias("fuzzy"))).select("doc_id", "h", F.struct("line", "fuzzy").alias("mark"))
     gone = marks.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     gone = staged(gone.select("doc_id", "h", F.col("marks.line").alias("gone"), F.size(F.filter("marks", lambda m: m["fuzzy"])).cast("bigint").alias("fuzzy")), "lines-gone")
-    unstage(signed, distinct, label)
+    unstage(classes, label)
     collect_garbage(spark)
     return gone
 
@@ -267,10 +372,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None
                     n_lines.append(0)
                     n_gone.append(0)
                     continue
-                parts = text.split("\n")
-                n_lines.append(len(parts))
+                n_lines.append(text.count("\n") + 1)
                 if cut:
-                    drop = set(cut)
+                    parts, drop = text.split("\n"), set(cut)
                     left = [x for i, x in enumerate(parts) if i not in drop]
                     n_gone.append(len(parts) - len(left))
                     text = "\n".join(left)

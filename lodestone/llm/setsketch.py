@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_mates, cluster
+from .cluster import bucket_mates, cluster, pair_counts
 from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.75 shares none with probability 5e-6
@@ -170,13 +170,14 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch binary")
 
 
-def band_keys(col: pa.Array) -> np.ndarray:
-    """One key per band of each sketch."""
-    k = np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
-    key = np.zeros(k.shape[:2], np.uint64) + np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = mix(key * _P + k[:, :, r].astype(np.uint64))
-    return key
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One key per band of each sketch of ``v, sketch``."""
+    for b in batches:
+        k = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
+        key = np.zeros(k.shape[:2], np.uint64) + np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            key = mix(key * _P + k[:, :, r].astype(np.uint64))
+        yield key, b.column(0).to_numpy()
 
 
 def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -220,13 +221,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for sa, sb in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(raw.as_py(), np.uint64) for raw in (sa, sb))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for half in by_bytes(iter([whole]), "sa"):
+                for b in by_bytes(iter([half]), "sb"):
+                    n = b.num_rows
+                    flat, offs = load_sets(pa.concat_arrays([b.column(2), b.column(3)]))
+                    size, x = np.diff(offs), np.arange(n)
+                    both = pair_counts(flat, offs, x, x + n)
+                    yield b.select(["a", "b"]).filter(pa.array(100 * both >= percent * (size[:n] + size[n:] - both)))
 
     return full.mapInArrow(run, "a bigint, b bigint")
 
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     base = staged(sketches(docs, width), "setsketch-documents")
     vertices = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("sketch").alias("sketch"))
     vertices = staged(vertices, "setsketch-vertices")
-    mates = bucket_mates(vertices.select("v", "sketch"), band_keys)
+    mates = bucket_mates(vertices.select("v", "sketch"), _signed)
     sets = staged(_sets(docs, mates.select("v").distinct(), width), "setsketch-sets")
     collect_garbage(docs.sparkSession)
     label = cluster(mates, lambda pairs: _confirm(_likely(pairs, vertices, percent), sets, percent), sets, load_sets, percent)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import brute
-from lodestone.llm.cluster import common_counts, spanning_links
+from lodestone.llm.cluster import common_counts, pair_counts, spanning_links
 from lodestone.llm.lines import line_sets, similar_pairs
 
 
@@ -67,6 +67,8 @@ def test_counts_of_shared_hashes():
     left, right = np.arange(0, 25), np.arange(15, 40)
     want = np.array([[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left])
     assert ((common_counts(flat, offs, left, right) == want) | (left[:, None] == right[None, :])).all()
+    wide, x, y = flat * np.uint64(0x9E3779B97F4A7C15), np.repeat(left, 25), np.tile(right, 25)
+    assert ((pair_counts(wide, offs, x, y) == want.ravel()) | (x == y)).all()
 
 
 def test_pairs_of_lines():

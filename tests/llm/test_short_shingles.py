@@ -60,3 +60,25 @@ def test_any_width_against_plain_version(spark, width):
     df = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     got = sorted(tuple(x) for x in lines.dedup_lines(df, width=width).select("doc_id", "n_removed", F.coalesce("text", F.lit("\0"))).collect())
     assert got == [(d, n, "\0" if t is None else t) for d, n, t in brute.fewer_lines([tuple(x) for x in df.collect()], width)]
+
+
+def test_lines_of_one_character_are_alike_at_any_length(spark):
+    docs = [(i, "-" * n) for i, n in enumerate((5, 30, 127, 128, 200, 161, 5000))] + [(50, "=" * 300), (51, "abcdef" * 4), (52, "abcdef" * 400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df, width=5).collect())
+    assert got == [(d, n) for d, n, _ in brute.fewer_lines(docs, 5)] and sum(n for _, n in got) == 7
+
+
+def test_bands_catch_pairs_of_all_sizes():
+    """Recall of the bands, no line being confirmed: sets at 0.85, on both sides of the bound between the two ways to sign."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (9, 60, 120, 130, 150, 170, 400):
+        common, hs = int(np.ceil(2 * n * 0.85 / 1.85)), []
+        for _ in range(300):
+            u = r.integers(0, 1 << 32, 2 * n - common, dtype=np.uint64).astype(np.uint32)
+            hs += [u[:n], u[n - common :]]
+        h, lo = np.concatenate(hs), np.arange(600) * n
+        for keys in (lines.band_keys(lines.minhash(h, lo, lo + n), 1), lines.band_keys(lines.binned(h, lo, lo + n)[0], 2)):
+            assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.99, n
