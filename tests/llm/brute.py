@@ -156,7 +156,7 @@ def base_rules(text):
 
 
 def leaks(docs, items, width=13):
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, whether a full window occurs."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall((t or "").translate(UPPER))
     windows = {}
@@ -167,12 +167,13 @@ def leaks(docs, items, width=13):
             windows.setdefault(tuple(ws[i : i + k]), set()).add(str(item))
     sizes, out = {len(w) for w in windows}, []
     for d, text in docs:
-        ws, hit, found = split(text), set(), set()
+        ws, hit, found, full = split(text), set(), set(), False
         for k in sizes:
             for i in range(len(ws) - k + 1):
                 w = windows.get(tuple(ws[i : i + k]))
                 if w:
                     found |= w
+                    full |= k == width
                     hit.update(range(i, i + k))
-        out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
-    return sorted(out)
+        out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws), full))
+    return sorted(out, key=lambda x: (x[0] is not None, x))

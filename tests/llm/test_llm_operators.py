@@ -81,7 +81,7 @@ def test_decontaminate(spark, corpus):
     df, docs = corpus
     items = [tuple(x) for x in table(spark, SF, "benchmark").collect()] + [(900, "one two"), (901, None), (902, ""), (903, " ".join((docs[5][1] or "a b").split()[:40]) if docs else "q")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = rows(decontaminate.decontaminate(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = rows(decontaminate.decontaminate(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "full")
     assert got == brute.leaks(docs, items)
 
 
@@ -91,6 +91,14 @@ def test_decontaminate_without_items(spark, corpus):
     assert rows(decontaminate.decontaminate(df, none), "doc_id", "n_hit") == sorted((d, 0) for d, _ in docs)
 
 
+def test_decontaminate_gives_a_row_for_each_row(spark):
+    docs = [(1, "a b c d"), (1, "a b c d"), (None, "x c d"), (2, "c d"), (2, "e f"), (3, None)]
+    items = [(1, "c d"), (2, "C, d!"), (3, "d"), (None, "a b")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 3, 2, 3), (1, 4, 4, 3), (1, 4, 4, 3), (2, 2, 0, 0), (2, 2, 2, 3), (3, 0, 0, 0)]
+
+
 def test_near(corpus):
     df, docs = corpus
     assert rows(setsketch.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs)
@@ -121,8 +129,58 @@ def test_packing(corpus):
         slots.setdefault(r.shard, []).append(r.slot)
         load[r.shard] += r.size
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+    groups, rows_of = {}, [0] * 24
+    for r in out:
+        text = dict(docs)[r.doc_id] or ""
+        groups.setdefault(text, []).append(r.shard)
+        rows_of[r.shard] += 1
+    tokens = sum(len(brute.SPACE.findall(t)) for t in groups for _ in groups[t])
+    for t, held in groups.items():  # whole, unless no shard has room
+        share = max(len(held) * size(t) / sum(load), len(held) / len(docs), len(held) * len(brute.SPACE.findall(t)) / max(tokens, 1))
+        assert len(set(held)) == 1 or 24 * share > 1
     if len(docs) > 100:
-        assert max(load) - min(load) <= max(size(t) for _, t in docs)
+        largest = max(len(h) for h in groups.values())
+        assert max(rows_of) - min(rows_of) <= max(2, largest)
+        biggest = max(len(h) * size(t) for t, h in groups.items())
+        assert max(load) - min(load) <= max(0.02 * sum(load) / 24, biggest - min(load))
+
+
+def test_packing_takes_the_highest_dot_product():
+    """Item after item against plain sums, and a packing that no move of one item improves."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    for n in (1, 7, 200):
+        sizes = np.stack([r.integers(1, 900, n), r.integers(0, 150, n), r.integers(1, 3, n)], 1)
+        capacity = np.tile(sizes.sum(0) / 5, (5, 1))
+        got = packing.pack(sizes, capacity)
+        total = sizes.sum(0)
+        left = [[c / t for c, t in zip(row, total, strict=True)] for row in capacity.tolist()]
+        share = [[x / t for x, t in zip(row, total, strict=True)] for row in sizes.tolist()]
+        for k in sorted(range(n), key=lambda k: (-max(share[k]), -share[k][0], k)):
+            dots = [sum(a * b for a, b in zip(row, share[k], strict=True)) for row in left]
+            fits = [s for s in range(5) if all(a >= b - 1e-12 for a, b in zip(left[s], share[k], strict=True))] or list(range(5))
+            assert got[k] in fits and dots[got[k]] >= max(dots[s] for s in fits) - 1e-12
+            left[got[k]] = [a - b for a, b in zip(left[got[k]], share[k], strict=True)]
+        after = packing.even(sizes, got, capacity)
+        spread = lambda w, c: np.ptp(np.bincount(w, sizes[:, c], 5))
+        assert spread(after, 2) <= max(2, spread(got, 2)) and (n < 200 or spread(after, 0) <= 5)
+
+
+def test_packing_cuts_only_what_no_shard_holds(spark):
+    rows_ = [(i, "hot text of many rows") for i in range(900)] + [(1000 + i, f"text {i} " * (1 + i % 40)) for i in range(5000)]
+    out = packing.shard_documents(spark.createDataFrame(rows_, "doc_id bigint, text string")).collect()
+    text = dict(rows_)
+    where = {}
+    for r in out:
+        where.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert [t for t, s in where.items() if len(s) > 1] == ["hot text of many rows"]
+    load, slots = [0] * 24, {}
+    for r in out:
+        load[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(load) - min(load) <= 0.002 * sum(load) / 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 12
 
 
 @pytest.mark.parametrize("n", [0, 3])

@@ -34,6 +34,7 @@ def _fixture():
     docs += [" ".join(one), " ".join(one[:100]) + "\n" + " ".join(one[100:])]  # near copies whose lines differ
     item = prose(30)
     docs += [prose(60) + " " + item + "\n" + prose(50)]
+    docs += [prose(600) + " " + " ".join(item.split()[5:18]) + " " + prose(300)]  # a whole window, a small share of a long text
     return [(3 * i + 1, t) for i, t in enumerate(docs)], [(1, item), (2, prose(20))]
 
 
@@ -45,9 +46,10 @@ def test_run_against_plain_versions(spark, tmp_path):
     fewer = [(d, t) for d, n, t in brute.fewer_lines(good, lines.SHORT_WIDTH) if n == 0 or brute.SPACE.search(t)]
     stays = {d for d, _, _, kept in brute.near(fewer) if kept}
     single = [(d, t) for d, t in fewer if d in stays]
-    leaked = {x[0] for x in brute.leaks(single, items) if x[-1]}
+    leaked = {x[0] for x in brute.leaks(single, items) if x[-1] or x[-2]}
     clean = [(d, t) for d, t in single if d not in leaked]
     assert len(docs) > len(good) > len(fewer) > len(single) > len(clean) > 0
+    assert docs[-1][0] in leaked and not next(x for x in brute.leaks(single, items) if x[0] == docs[-1][0])[-2]
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(tuple(x) for x in got) == brute.round_trip(clean)
 
@@ -62,3 +64,24 @@ def test_operator_same_as_its_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted((tuple(x) for x in got.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_odd_rows_pass_through(spark, tmp_path):
+    """Nulls, repeated rows, columns with names that the stages use themselves."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(4000)}" for _ in range(n))
+    one = prose(90)
+    rows = [(1, one, "a", "b", 1), (1, one, "a", "b", 1), (None, prose(80), None, None, None), (2, None, "x", "y", 2), (3, "", "x", "y", 3), (4, prose(70), "r", "s", 4), (4, prose(75), "r", "s", 4)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, __row string, kept string, n_words int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(rows[5][1].split()[:20]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "__row", "kept", "n_words"], name
+    assert sorted((x.doc_id or 0, x.text) for x in docs.collect()) == sorted([(0, rows[2][1]), (1, one), (1, one), (4, rows[6][1])])
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
