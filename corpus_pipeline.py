@@ -41,9 +41,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by a benchmark item."""
-    gone = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents without a full window of a benchmark item and, for items shorter
+    than a window, without a share of them that op4 calls contaminated.
+
+    A long document that holds a whole passage goes as well, however small the passage's share.
+    """
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated or full").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ STAGES = [
     ("bpe", bpe),
 ]
 
-#: SQL cannot express fuzzy lines, near-duplicates or tokenization; tests hold run() against brute force.
+#: SQL cannot express fuzzy lines, near-duplicates or tokenization; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
