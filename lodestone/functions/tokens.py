@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -128,11 +128,21 @@ def _porter_each(words):  # a pandas Series of arrays; Arrow batches
     return words.map(lambda ws: [porter(fold(w)) for w in ws])
 
 
+@F.pandas_udf(StringType())
+def _porter_word(words):
+    return words.map(lambda w: porter(fold(w)))
+
+
 def porter_tokens(c: Column | str) -> Column:
-    """Tokens with diacritics folded and Porter stems; each worker stems a word once."""
+    """Tokens with diacritics folded and Porter stems, for short texts such as queries; an index stems distinct words."""
     return _porter_each(simple_tokens(c))
 
 
+def stem_words(words: DataFrame) -> DataFrame:
+    """``word, token``: the stem of each word (``word``, distinct)."""
+    return words.select("word", _porter_word("word").alias("token"))
+
+
 TOKENIZERS = {"simple": simple_tokens, "porter": porter_tokens}
 
 

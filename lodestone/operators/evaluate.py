@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import is_noise
 from ..functions.text import text_of
+from ..plans.staging import offsets, staged
 from .retrieve import retrieve
 from .search import Index
 
@@ -32,8 +33,7 @@ def strided_sample(pairs: DataFrame, limit: int) -> DataFrame:
     Positions come from counts per session, so no single task orders all pairs.
     """
     total = pairs.agg(F.count(F.lit(1)).alias("total"))
-    per = pairs.groupBy("session").agg(F.count(F.lit(1)).alias("size"))
-    before = per.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("session", "offset")
+    before = offsets(pairs.groupBy("session").agg(F.count(F.lit(1)).alias("size")), [F.col("session")], F.col("size")).select("session", "offset")
     at = F.row_number().over(Window.partitionBy("session").orderBy("ts", "answer_rowid")) - 1
     stride = F.greatest(F.ceil(F.col("total") / F.lit(limit)), F.lit(1))
     return pairs.withColumn("at", at).join(before, "session").crossJoin(F.broadcast(total)).where((F.col("at") + F.col("offset")) % stride == 0).drop("at", "offset", "total")
@@ -45,8 +45,8 @@ def recall_at_k(index: Index, rows: DataFrame, k: int = 3, limit: int = 400, cro
     ``cross_session`` leaves out the question's own session, where its answer is,
     so it counts only answers repeated elsewhere.
     """
-    pairs = qa_pairs(rows)
-    sample = strided_sample(pairs, limit)
+    pairs = staged(qa_pairs(rows), "recall-pairs")
+    sample = staged(strided_sample(pairs, limit), "recall-sample")
     asked = sample.select("qid", F.col("question").alias("prompt"), (F.col("session") if cross_session else F.lit("")).alias("exclude"))
     hits = retrieve(index, rows, asked, k, **options)
     marked = hits.join(sample.select("qid", "answer_rowid"), "qid").groupBy("qid").agg(F.min(F.when(F.col("rowid") == F.col("answer_rowid"), F.col("rank"))).alias("at"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import date_of, fib_sphere, jitter, squeeze, text_of, wikilinks
+from ..plans.staging import offsets
 
 # Fixed values of the layout: ring radius, height step, shell sizes.
 RING, STEP = 300.0, 46.0
@@ -27,10 +28,10 @@ def places(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Numbers are given to the distinct projects and sessions, not to rows.
     """
     newest = rows.groupBy("project").agg(F.max("rowid").alias("last"))
-    k = F.row_number().over(Window.orderBy(F.desc("last"))) - 1
+    numbered = offsets(newest, [F.desc("last")], F.lit(1), "k")
     slots = newest.agg(F.count(F.lit(1)).alias("slots"))
     x, y, z = ring(F.col("k"), F.col("slots"))
-    projects = newest.withColumn("k", k).crossJoin(F.broadcast(slots)).select("project", "k", x.alias("px"), y.alias("py"), z.alias("pz"))
+    projects = numbered.crossJoin(F.broadcast(slots)).select("project", "k", x.alias("px"), y.alias("py"), z.alias("pz"))
     seen = rows.where(text_of("session") != "").groupBy("session").agg(F.max("rowid").alias("last"), F.max_by("project", "rowid").alias("project"))
     w = Window.partitionBy("project")
     seen = seen.withColumn("i", F.row_number().over(w.orderBy(F.desc("last"))) - 1).withColumn("n", F.count(F.lit(1)).over(w))

@@ -29,17 +29,19 @@ def similar_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a, b`` with ``a`` before ``b``: pairs of ``id, tokens`` whose Jaccard reaches ``percent``.
 
     Two such sets share a token among the ``n - ceil(percent * n / 100) + 1``
-    rarest of each.
+    rarest of each.  At their first common one, in places ``i`` and ``j`` of that
+    order, what is left of both has to be able to reach the threshold.
     """
     each = sets.select("id", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
     n = F.size("ts")
     prefix = F.slice("ts", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    keys = ranked.select("id", n.alias("n"), F.explode(prefix).alias("t")).select("id", "n", F.col("t.token").alias("token"))
-    left, right = keys.toDF("a", "na", "token"), keys.toDF("b", "nb", "token")
+    keys = ranked.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "t")).select("id", "n", "at", F.col("t.token").alias("token"))
+    left, right = keys.toDF("a", "na", "i", "token"), keys.toDF("b", "nb", "j", "token")
     fits = (100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    within = (100 + percent) * F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= percent * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits & within).select("a", "b").distinct()
     both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")

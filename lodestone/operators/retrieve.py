@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.predicates import content_terms, is_noise, term_overlap
 from ..functions.text import ascii_lower, date_of, squeeze, stable_key, text_of
-from .search import Index, document_frequency, ranked_batch
+from ..plans.staging import staged
+from .search import Index, score_batch, term_frequencies
 
 MIN_TERMS, MIN_OVERLAP, CANDIDATES, ECHO_BYTES = 2, 2, 40, 25
 MIN_CORPUS, DF_PERCENT, DF_FLOOR = 200, 6, 5
@@ -19,18 +20,18 @@ def prompt_terms(prompts: DataFrame) -> DataFrame:
     return prompts.where(~is_noise("prompt")).select("qid", content_terms("prompt").alias("terms")).where(F.size("terms") >= MIN_TERMS)
 
 
-def rare_terms(index: Index, asked: DataFrame) -> DataFrame:
+def rare_terms(index: Index, asked: DataFrame, tf: DataFrame) -> DataFrame:
     """``qid, terms`` cut to the terms rare enough to mean something.
 
-    Below ``MIN_CORPUS`` rows all pass; else a term has to occur in at least one
-    row and in no more than ``DF_PERCENT`` of them (``DF_FLOOR`` rows at least).
+    ``tf``: frequencies of all terms asked for (``term, rowid, ...``).  Below
+    ``MIN_CORPUS`` rows all pass; else a term has to occur in at least one row
+    and in no more than ``DF_PERCENT`` of them (``DF_FLOOR`` rows at least).
     Prompts left with fewer than two terms ask nothing.
     """
     each = asked.select("qid", F.posexplode("terms").alias("at", "term"))
-    df = document_frequency(index, each.select("term").distinct())
-    n = index.tokens.agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ceiling = F.greatest(F.lit(DF_FLOOR), F.floor(F.col("n") * DF_PERCENT / 100))
-    kept = each.join(df, "term", "left").crossJoin(F.broadcast(n)).where((F.col("n") < MIN_CORPUS) | (F.col("df") <= ceiling))
+    kept = index.with_totals(each.join(df, "term", "left")).where((F.col("n") < MIN_CORPUS) | (F.col("df") <= ceiling))
     terms = F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])
     return kept.groupBy("qid").agg(terms.alias("terms")).where(F.size("terms") >= MIN_TERMS)
 
@@ -68,8 +69,12 @@ def retrieve(
     excluded session whose first 400 characters hold two of the terms and that
     do not echo the prompt.  Ranks count what is left, from 1.
     """
-    asked = rare_terms(index, prompt_terms(prompts))
-    ranked = ranked_batch(index, asked.select("qid", F.explode("terms").alias("term")), CANDIDATES, "text" if text_only else None)
+    asked = staged(prompt_terms(prompts), "retrieve-asked")
+    tf = staged(term_frequencies(index, asked.select(F.explode("terms").alias("term")).distinct(), "text" if text_only else None), "retrieve-tf")
+    asked = staged(rare_terms(index, asked, tf), "retrieve-rare")
+    if text_only:  # the gate counts all columns, matching and scores one
+        tf = tf.where(F.col("tf_in") > 0).select("term", "rowid", "dl", F.col("tf_in").alias("tf"))
+    ranked = score_batch(index, asked.select("qid", F.explode("terms").alias("term")), tf, CANDIDATES)
     if vectors is not None:
         ranked = _with_vectors(ranked, vectors, ungated)
     head = F.substring(text_of("text"), 1, 400)
@@ -78,7 +83,7 @@ def retrieve(
         .join(rows.select("rowid", "ts", "role", "project", "session", head.alias("text"), stable_key("session", "ts", "role", "text").alias("key")), "rowid")
         .join(asked, "qid")
         .join(prompts.select("qid", "prompt", "exclude"), "qid")
-        .where((text_of("exclude") == "") | (F.col("session") != F.col("exclude")))
+        .where((text_of("exclude") == "") | (text_of("session") != F.col("exclude")))
         .where(term_overlap("text", "terms") >= MIN_OVERLAP)
         .where(~echoes(F.col("text"), F.col("prompt")))
     )
@@ -97,13 +102,15 @@ def scene_hits(scene_index: Index, row_index: Index, scenes: DataFrame, prompts:
 
     Rarity is judged by the conversation lane, ranking by the scenes' own.
     """
-    asked = rare_terms(row_index, prompt_terms(prompts))
-    ranked = ranked_batch(scene_index, asked.select("qid", F.explode("terms").alias("term")), CANDIDATES)
+    asked = staged(prompt_terms(prompts), "scene-asked")
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    asked = staged(rare_terms(row_index, asked, term_frequencies(row_index, terms)), "scene-rare")
+    ranked = score_batch(scene_index, asked.select("qid", F.explode("terms").alias("term")), staged(term_frequencies(scene_index, terms), "scene-tf"), CANDIDATES)
     found = (
         ranked.join(scenes.select("rowid", "title", "summary", "outcome", "session", "ts_end"), "rowid")
         .join(asked, "qid")
         .join(prompts.select("qid", "exclude"), "qid")
-        .where((text_of("exclude") == "") | (F.col("session") != F.col("exclude")))
+        .where((text_of("exclude") == "") | (text_of("session") != F.col("exclude")))
         .where(term_overlap(F.concat(text_of("title"), F.lit(" "), text_of("summary")), "terms") >= MIN_OVERLAP)
     )
     order = Window.partitionBy("qid").orderBy("rank")

@@ -34,6 +34,40 @@ def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rowid"), "text", F.lit("").alias("asks"), "role", name("p", F.col("conv_id") % 7).alias("project"), name("s", F.col("conv_id")).alias("session"), ts.alias("ts"), name("f", F.col("conv_id")).alias("file"))
 
 
+#: What the stand-in conversations lack, by ``rowid % 23``: a text put before the row's own, or (with False) in its place.
+SPLICES = (
+    (1, "<system-reminder> ", True), (2, "No, that's wrong: ", True), (3, "From now on ", True), (4, "We decided to ", True), (5, "I think the fix is ", True),
+    (6, "See https://example.org/x ", True), (7, "**OK!**", False), (8, " \t ", False), (9, "three words only", False), (10, "x", False), (11, "hook success: ", True),
+)
+
+
+def spoken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with envelopes, corrections, preferences and acknowledgements spliced in."""
+    text = F.col("text")
+    for k, piece, before in SPLICES:
+        text = F.when(F.col("rowid") % 23 == k, F.concat(F.lit(piece), text_of("text")) if before else F.lit(piece)).otherwise(text)
+    return memory_rows(spark, sf_dir).withColumn("text", text)
+
+
+def asked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User rows, and a third of them asked again later in another session, with two more words."""
+    asks = memory_rows(spark, sf_dir).where(F.col("role") == "user").select("rowid", "text", "session", "ts")
+    again = asks.where(F.col("rowid") % 3 == 0).select((F.col("rowid") + 1_000_000_000).alias("rowid"), F.concat(text_of("text"), F.lit(" once more")).alias("text"), F.concat(F.lit("r"), "session").alias("session"), F.concat(F.lit("3"), "ts").alias("ts"))
+    return asks.unionByName(again)
+
+
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("text",), tokenizer: str = "simple") -> search.Index:
+    """The lane's index, staged once for a session and read by all its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, columns, tokenizer)
+    if key not in _INDEXES:
+        rows = memory_rows(spark, sf_dir).withColumn("asks", F.when(F.col("rowid") % 3 == 0, F.substring(text_of("text"), 1, 40)).otherwise(F.lit("")))
+        _INDEXES[key] = search.build_index(rows, columns, tokenizer).stage()
+    return _INDEXES[key]
+
+
 def gists(rows: DataFrame) -> DataFrame:
     """A stand-in for verdicts: the first words of assistant rows with an even turn."""
     return rows.where((F.col("role") == "assistant") & (F.col("rowid") % 2 == 1)).groupBy(stable_key("session", "ts", "role", "text").alias("key")).agg(F.max(squeeze("text", 60)).alias("gist"))
@@ -94,7 +128,7 @@ _DISTINCT_TERMS = f"(SELECT rowid, list(t ORDER BY i)[1:12] AS terms FROM (SELEC
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over all rows: every term has to occur; all matches with their scores."""
-    return search.match(search.build_index(memory_rows(spark, sf_dir)), ["the", "of", "that"]).select("rowid", micro(F.col("score")).alias("score_micro"))
+    return search.match(index_of(spark, sf_dir), ["the", "of", "that"]).select("rowid", micro(F.col("score")).alias("score_micro"))
 
 
 _KEYWORD = f"""WITH {_ROWS}, {_TOKENS},
@@ -107,14 +141,34 @@ FROM tf JOIN df USING (term) JOIN dls USING (rowid), totals GROUP BY rowid HAVIN
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The printed search: the best 60, then a project filter, then twelve lines."""
     rows = memory_rows(spark, sf_dir)
-    return search.search(search.build_index(rows), rows, ["the", "of"], gists=gists(rows), project="P3", limit=12).select("rowid", "line")
+    return search.search(index_of(spark, sf_dir), rows, ["the", "of"], gists=gists(rows), project="P3", limit=12).select("rowid", "line")
+
+
+def _scored(terms: list[str]) -> str:
+    return f"""tf AS (SELECT rowid, t AS term, count(*) AS tf FROM (SELECT rowid, unnest(ts) AS t FROM toks) WHERE t IN ({_q(terms)}) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT rowid, sum(({_BM25}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM tf JOIN df USING (term) JOIN dls USING (rowid), totals GROUP BY rowid HAVING count(*) = {len(terms)})"""
+
+
+_GISTS = f"g AS (SELECT {_key()} AS key, max({_squeeze('text', 60)}) AS gist FROM rows_ WHERE role = 'assistant' AND rowid % 2 = 1 GROUP BY ALL)"
+
+
+def _padded(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) < {n} THEN rpad({x}, {n}, ' ') ELSE {x} END"
+
+
+_LINES = f"""WITH {_ROWS}, {_TOKENS}, {_scored(["the", "of"])}, {_GISTS},
+c AS (SELECT * FROM s ORDER BY s DESC, rowid LIMIT 60),
+f AS (SELECT rowid, s, left(ts, 10) || ' ' || {_padded('role', 9)} || ' ' || {_padded('project', 14)} || ' ' || left(session, 8) || ' | ' || {_squeeze("coalesce(nullif(gist, ''), left(coalesce(text, ''), 170))", 170)} AS line
+  FROM c JOIN rows_ r USING (rowid) LEFT JOIN g ON g.key = {_key('r.')} WHERE contains(project, 'p3') ORDER BY s DESC, rowid LIMIT 12)
+SELECT rowid, line FROM f"""
 
 
 def batch_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every prompt the five best rows by BM25 over any of its content terms."""
     rows = memory_rows(spark, sf_dir)
     asked = rows.where(F.col("rowid") % 100 == 0).select(F.col("rowid").alias("qid"), F.explode(content_terms("text")).alias("term"))
-    return search.ranked_batch(search.build_index(rows), asked, 5).select("qid", F.col("rank").cast("bigint").alias("rank"), micro(F.col("score")).alias("score_micro"))
+    return search.ranked_batch(index_of(spark, sf_dir), asked, 5).select("qid", F.col("rank").cast("bigint").alias("rank"), micro(F.col("score")).alias("score_micro"))
 
 
 _BATCH = f"""WITH {_ROWS}, {_TOKENS},
@@ -130,7 +184,7 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many rows every term occurs that a prompt asks for."""
     rows = memory_rows(spark, sf_dir)
     asked = rows.where(F.col("rowid") % 100 == 0).select(F.explode(content_terms("text")).alias("term")).distinct()
-    return search.document_frequency(search.build_index(rows), asked)
+    return search.document_frequency(index_of(spark, sf_dir), asked)
 
 
 _DF = f"""WITH {_ROWS}, {_TOKENS},
@@ -140,8 +194,7 @@ SELECT asked.term, count(DISTINCT rowid) AS df FROM (SELECT rowid, unnest(ts) AS
 
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many rows every term of the index occurs: all terms of all rows."""
-    tokens = search.build_index(memory_rows(spark, sf_dir)).tokens
-    return tokens.select(F.explode(F.array_distinct("t_text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index_of(spark, sf_dir).postings.groupBy(F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("df"))
 
 
 _ALL_DF = f"WITH {_ROWS}, {_TOKENS} SELECT term, count(DISTINCT rowid) AS df FROM (SELECT rowid, unnest(ts) AS term FROM toks) GROUP BY term"
@@ -151,12 +204,36 @@ def gated_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates for all prompts, their own session left out."""
     rows = memory_rows(spark, sf_dir)
     asked = rows.where(F.col("rowid") % 100 == 0).select(F.col("rowid").alias("qid"), F.col("text").alias("prompt"), F.col("session").alias("exclude"))
-    return retrieve.retrieve(search.build_index(rows), rows, asked, 3, gists=gists(rows)).select("qid", "rowid", "rank", "line")
+    return retrieve.retrieve(index_of(spark, sf_dir), rows, asked, 3, gists=gists(rows)).select("qid", "rowid", "rank", "line")
 
 
 def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memory_rows(spark, sf_dir)
-    return evaluate.recall_at_k(search.build_index(rows), rows)
+    return evaluate.recall_at_k(index_of(spark, sf_dir), rows)
+
+
+def _gated(prompts: str) -> str:
+    """Common table expressions from ``prompts`` (``qid, prompt, exclude``) to ``hits`` (``qid, rowid, rank, line``)."""
+    terms = _TERMS.replace("coalesce(text, '')", "coalesce(prompt, '')")
+    low, echo = _low("head"), lambda x: _squeeze(_low(x), 400)
+    return f"""prompts AS MATERIALIZED ({prompts}),
+given AS (SELECT qid, list(t ORDER BY i)[1:12] AS terms FROM (SELECT qid, t, min(i) AS i FROM (SELECT qid, unnest({terms}) AS t, generate_subscripts({terms}, 1) AS i FROM prompts WHERE NOT {_noise('prompt')}) GROUP BY qid, t) GROUP BY qid HAVING count(*) >= 2),
+tf AS MATERIALIZED (SELECT rowid, t AS term, count(*) AS tf FROM (SELECT rowid, unnest(ts) AS t FROM toks) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+rare AS (SELECT qid, list(e.term ORDER BY i) AS terms FROM (SELECT qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM given) e LEFT JOIN df ON df.term = lower(e.term), totals
+  WHERE n < 200 OR df <= greatest(5, floor(n * 6 / 100)) GROUP BY qid HAVING count(*) >= 2),
+s AS (SELECT qid, rowid, sum(({_BM25}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM (SELECT qid, unnest(terms) AS term FROM rare) a JOIN df ON df.term = lower(a.term) JOIN tf ON tf.term = df.term JOIN dls USING (rowid), totals GROUP BY ALL),
+c AS (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS r FROM s QUALIFY r <= 40),
+found AS (SELECT qid, rowid, r, rows_.ts, role, project, session, left(coalesce(text, ''), 400) AS head, {_key('rows_.')} AS key, prompt, exclude, terms FROM c JOIN rows_ USING (rowid) JOIN rare USING (qid) JOIN prompts USING (qid)),
+{_GISTS},
+hits AS (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY r)::INT AS rank, left(ts, 10) || ' ' || role || '/' || project || ': ' || {_squeeze("coalesce(nullif(gist, ''), head)", 160)} AS line
+  FROM found LEFT JOIN g USING (key)
+  WHERE (exclude = '' OR session <> exclude) AND len(list_filter(terms, lambda t: contains({low}, t))) >= 2
+    AND NOT (strlen({echo('prompt')}) >= 25 AND (contains({echo('head')}, {echo('prompt')}) OR contains({echo('prompt')}, {echo('head')}))) QUALIFY rank <= 3)"""
+
+
+_GATED = f"""WITH {_ROWS}, {_TOKENS}, {_gated("SELECT rowid AS qid, text AS prompt, session AS exclude FROM rows_ WHERE rowid % 100 = 0")} SELECT qid, rowid, rank, line FROM hits"""
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +247,18 @@ SELECT rowid AS qid, strlen(question)::BIGINT AS question_bytes, session, rowid
 WHERE role = 'assistant' AND before = 'user' AND strlen(text) >= 80 AND strlen(question) >= 20 AND NOT {_noise('question')}"""
 
 
+_RECALL = f"""WITH {_ROWS}, {_TOKENS},
+talk AS (SELECT rowid, role, session, ts, coalesce(text, '') AS text, lag(role) OVER w AS before, lag(coalesce(text, '')) OVER w AS question
+  FROM rows_ WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session ORDER BY ts, rowid)),
+pairs AS MATERIALIZED (SELECT rowid, question, session, ts FROM talk WHERE role = 'assistant' AND before = 'user' AND strlen(text) >= 80 AND strlen(question) >= 20 AND NOT {_noise('question')}),
+sample AS (SELECT rowid, question FROM (SELECT *, row_number() OVER (ORDER BY session, ts, rowid) - 1 AS i, count(*) OVER () AS n FROM pairs) WHERE i % greatest(ceil(n / 400), 1)::BIGINT = 0),
+{_gated("SELECT rowid AS qid, question AS prompt, '' AS exclude FROM sample")},
+m AS (SELECT count(*) AS fired, count(hit) AS hit_at_k, count(*) FILTER (hit = 1) AS hit_at_1 FROM (SELECT qid, min(rank) FILTER (rowid = qid) AS hit FROM hits GROUP BY qid)),
+z AS (SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM sample) AS sampled, fired, hit_at_k, hit_at_1 FROM m)
+SELECT *, CASE WHEN sampled > 0 THEN 100.0::DOUBLE * fired / sampled ELSE 0 END AS fired_pct, CASE WHEN sampled > 0 THEN 100.0::DOUBLE * hit_at_k / sampled ELSE 0 END AS recall_k_pct,
+  CASE WHEN sampled > 0 THEN 100.0::DOUBLE * hit_at_1 / sampled ELSE 0 END AS recall_1_pct FROM z"""
+
+
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ten nearest neighbours of every vector whose id is divisible by 100."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding")
@@ -185,7 +274,7 @@ SELECT qid, rank, round(d * 1000000)::BIGINT AS distance_micro FROM (SELECT *, r
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword ranks fused with a second ranking (longest rows first), which only re-ranks."""
     rows = memory_rows(spark, sf_dir)
-    one = search.top(search.match(search.build_index(rows), ["the", "of"]))
+    one = search.top(search.match(index_of(spark, sf_dir), ["the", "of"]))
     two = search.top(rows.select("rowid", F.char_length(text_of("text")).cast("double").alias("score")))
     return vectors.fuse(one, two).select("rowid", micro(F.col("score")).alias("score_micro"))
 
@@ -201,27 +290,28 @@ SELECT a.rowid, round((1.0::DOUBLE / (60 + a.r) + coalesce(1.0::DOUBLE / (60 + b
 
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise, correction, category and signal floor of every row."""
-    return memory_rows(spark, sf_dir).select("rowid", is_noise("text").alias("noise"), looks_like_correction("text").alias("correction"), classify_prompt("text").alias("category"), above_floor("role", "text").alias("above_floor"))
+    return spoken_rows(spark, sf_dir).select("rowid", is_noise("text").alias("noise"), looks_like_correction("text").alias("correction"), classify_prompt("text").alias("category"), above_floor("role", "text").alias("above_floor"))
 
 
 _PADDED = "(' ' || " + _low("coalesce(text, '')") + " || ' ')"
 _WORDS = rf"CASE WHEN {_trim('coalesce(text, $$$$)')} = '' THEN 0 ELSE len(regexp_split_to_array({_trim('coalesce(text, $$$$)')}, '[ \t\n\r\f\v]+')) END".replace("$$$$", "''")
+_SPOKEN = "(SELECT rowid, role, CASE rowid % 23 " + " ".join(f"WHEN {k} THEN {_q([piece])}" + " || coalesce(text, '')" * before for k, piece, before in SPLICES) + " ELSE text END AS text FROM rows_)"
 _PREDICATES = f"""WITH {_ROWS}
 SELECT rowid, {_noise('text')} AS noise, {_has(_folded('text'), CORRECTIONS)} AS correction,
   CASE WHEN {_has(_folded('text'), CORRECTIONS)} THEN 'correction' {' '.join(f"WHEN {_has(_PADDED, ps)} THEN '{name}'" for name, ps in CATEGORIES)} END AS category,
   length({_trim("coalesce(text, '')")}) >= 4 AND (role <> 'assistant' OR length({_trim("coalesce(text, '')")}) >= 80) AND (role <> 'user' OR {_WORDS} >= 4) AS above_floor
-FROM rows_"""
+FROM {_SPOKEN}"""
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar functions on every document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(squeeze("text", 100), 256).alias("squeezed"), word_count("text").cast("bigint").alias("words"), F.sha2(head_of_command("text"), 256).alias("command"), F.size(wikilinks("text")).cast("bigint").alias("links"))
+    return d.select("doc_id", F.sha2(squeeze("text", 100), 256).alias("squeezed"), word_count("text").cast("bigint").alias("words"), F.sha2(head_of_command("text"), 256).alias("command"), F.size(wikilinks(F.replace("text", F.lit("The "), F.lit("[[ The ]] [[]] ")))).cast("bigint").alias("links"))
 
 
 _SCALARS = rf"""SELECT doc_id, sha256({_squeeze('text', 100)}) AS squeezed, ({_WORDS})::BIGINT AS words,
   sha256({_squeeze("list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\n;]'), lambda x: regexp_replace(x, '^[ \t\n\r\f\v]+', '')), lambda x: x <> '' AND NOT starts_with(x, '#'))[1]", 48)}) AS command,
-  len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?s)\[\[(.*?)\]\]', 1), lambda x: trim(x)), lambda x: strlen(x) BETWEEN 1 AND 99))::BIGINT AS links FROM documents"""
+  len(list_filter(list_transform(regexp_extract_all(replace(coalesce(text, ''), 'The ', '[[ The ]] [[]] '), '(?s)\[\[(.*?)\]\]', 1), lambda x: trim(x)), lambda x: strlen(x) BETWEEN 1 AND 99))::BIGINT AS links FROM documents"""
 
 
 def content_term_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +366,12 @@ def newest_gists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.newest_gists(rows, gists(rows))
 
 
+_NEWEST = f"""WITH {_ROWS}, {_GISTS},
+t AS (SELECT *, {_key()} AS key, row_number() OVER (PARTITION BY project ORDER BY ts DESC, rowid DESC) AS i FROM rows_ WHERE role IN ('assistant', 'user') QUALIFY i <= 36),
+k AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY i)::INT AS nth, left(ts, 10) || ' ' || {_squeeze('gist', 160)} AS line FROM t JOIN g USING (key) WHERE strlen(gist) >= 20 AND NOT starts_with(coalesce(text, ''), '# Learning inbox'))
+SELECT project, nth, line FROM k WHERE nth <= 3"""
+
+
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of each key, with two sessions known and one project forgotten."""
     rows = memory_rows(spark, sf_dir)
@@ -287,14 +383,13 @@ _DEDUPE = f"WITH {_ROWS}, k AS (SELECT *, {_key()} AS key FROM rows_) SELECT min
 
 
 def recurring_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The group (founding row) of every user row of five tokens or more."""
-    asks = memory_rows(spark, sf_dir).where(F.col("role") == "user").select("rowid", "text", "session", "ts")
-    return recurrence.group_asks(asks)
+    """The group (founding row) of every ask of five tokens or more."""
+    return recurrence.group_asks(asked_rows(spark, sf_dir))
 
 
 def similar_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many other distinct user texts each one resembles."""
-    return _links(memory_rows(spark, sf_dir).where(F.col("role") == "user"))
+    """How many other distinct asks each one resembles."""
+    return _links(asked_rows(spark, sf_dir))
 
 
 def _links(rows: DataFrame) -> DataFrame:
@@ -306,10 +401,32 @@ def _links(rows: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
-_SIMILAR = f"""WITH {_ROWS}, t AS (SELECT rowid, list_sort(list_distinct(regexp_extract_all({_low("coalesce(text, '')")}, '[a-z0-9]{{2,}}'))) AS ts FROM rows_ WHERE role = 'user'),
-s AS (SELECT ts, min(rowid) AS id FROM t WHERE len(ts) >= 5 GROUP BY ts),
-p AS (SELECT a.id AS a, b.id AS b FROM s a, s b WHERE a.id <> b.id AND 100 * len(list_intersect(a.ts, b.ts)) >= 60 * (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))))
-SELECT a AS id, count(*) AS n_links FROM p GROUP BY a"""
+def _sets(asks: str) -> str:
+    """Common table expressions from ``asks`` (``rowid, text, ts``) to pairs ``p`` of distinct token sets ``o``, numbered in order of time."""
+    return f"""asks AS ({asks}),
+t AS MATERIALIZED (SELECT rowid, ts, list_sort(list_distinct(regexp_extract_all({_low("coalesce(text, '')")}, '[a-z0-9]{{2,}}'))) AS toks FROM asks),
+o AS MATERIALIZED (SELECT toks, len(toks) AS n, min_by(rowid, (ts, rowid)) AS id, min(rowid) AS least, row_number() OVER (ORDER BY min((ts, rowid))) AS i FROM t WHERE len(toks) >= 5 GROUP BY toks),
+k AS (SELECT i, n, unnest(toks) AS token FROM o),
+p AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM k a JOIN k b USING (token) WHERE a.i < b.i GROUP BY a.i, b.i, a.n, b.n HAVING 100 * count(*) >= 60 * (a.n + b.n - count(*)))"""
+
+
+def _recurring(asks: str) -> str:
+    """First-fit grouping in order of time: a set founds a group unless a founder before it resembles it."""
+    return f"""WITH RECURSIVE {_ROWS}, {_sets(asks)},
+l AS MATERIALIZED (SELECT b, list(a) AS near FROM p GROUP BY b),
+f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS founders UNION ALL
+  SELECT f.i + 1, CASE WHEN near IS NOT NULL AND list_has_any(founders, near) THEN founders ELSE list_append(founders, f.i + 1) END FROM f LEFT JOIN l ON l.b = f.i + 1 WHERE f.i < (SELECT count(*) FROM o)),
+d AS (SELECT unnest(founders) AS i FROM f WHERE i = (SELECT count(*) FROM o)),
+h AS (SELECT o.toks, coalesce(min(p.a) FILTER (p.a IN (SELECT i FROM d)), o.i) AS home FROM o LEFT JOIN p ON p.b = o.i AND o.i NOT IN (SELECT i FROM d) GROUP BY o.toks, o.i)
+SELECT t.rowid, o.id AS founder FROM t JOIN h USING (toks) JOIN o ON o.i = h.home"""
+
+
+_ASKED = """SELECT rowid, text, ts FROM rows_ WHERE role = 'user' UNION ALL SELECT rowid + 1000000000, coalesce(text, '') || ' once more', '3' || ts FROM rows_ WHERE role = 'user' AND rowid % 3 = 0"""
+_DOCUMENT_ASKS = "SELECT doc_id AS rowid, text, lpad(doc_id::VARCHAR, 20, '0') AS ts FROM documents"
+
+
+def _similar(asks: str) -> str:
+    return f"WITH {_ROWS}, {_sets(asks)}, e AS (SELECT a AS i FROM p UNION ALL SELECT b FROM p) SELECT least AS id, count(*) AS n_links FROM e JOIN o USING (i) GROUP BY ALL"
 
 
 def _documents_as_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,23 +444,27 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(_documents_as_asks(spark, sf_dir))
 
 
-_SIMILAR_DOCUMENTS = f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all({_low("coalesce(text, '')")}, '[a-z0-9]{{2,}}'))) AS ts FROM documents),
-s AS (SELECT ts, len(ts) AS n, min(doc_id) AS id FROM t WHERE len(ts) >= 5 GROUP BY ts),
-k AS (SELECT id, n, unnest(ts) AS token FROM s),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM k a JOIN k b USING (token) WHERE a.id <> b.id GROUP BY a.id, b.id)
-SELECT a AS id, count(*) AS n_links FROM p WHERE 100 * shared >= 60 * (na + nb - shared) GROUP BY a"""
+#: Words of the stand-in logs that flag a line, as none of the real needles occurs in them.
+LOG_NEEDLES = (*logs.NEEDLES, "hewh", "onsh", "reble", "chsch")
+
+
+def log_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document taken as a log: a line a sentence, lines that begin with A to M indented."""
+    lines = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(lines, "\n([A-M])", "\n  $1").alias("body"))
 
 
 def condensed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document taken as a log."""
-    out = logs.condense(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
+    """The logs condensed: edges, flagged lines, what hangs on them, and marks for what is left out."""
+    out = logs.condense(log_bodies(spark, sf_dir), needles=LOG_NEEDLES)
     return out.select("doc_id", "elided", "flagged", "grew", F.sha2(text_of("text"), 256).alias("text_sha256"))
 
 
-_CONDENSED = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+_LOGS = r"regexp_replace(replace(coalesce(text, ''), '. ', '.' || chr(10)), '\n([A-M])', chr(10) || '  \1', 'g')"
+_CONDENSED = f"""WITH d AS (SELECT doc_id, {_LOGS} AS body, string_split({_LOGS}, chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, body, CASE WHEN ls[-1] = '' THEN ls[1:-2] ELSE ls END AS ls FROM d),
 l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM e),
-a AS (SELECT *, {_has(_low('line'), logs.NEEDLES)} AS needle, line[1:1] IN (' ', chr(9)) AS ind FROM l),
+a AS (SELECT *, {_has(_low('line'), LOG_NEEDLES)} AS needle, line[1:1] IN (' ', chr(9)) AS ind FROM l),
 b AS (SELECT *, sum(CASE WHEN ind THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM a),
 c AS (SELECT *, max(needle::INT) OVER (PARTITION BY doc_id, island ORDER BY i) = 1 AS seed FROM b),
 k AS (SELECT *, i < 5 OR i + 15 >= n OR seed OR (coalesce(lead(seed) OVER (PARTITION BY doc_id ORDER BY i), false) AND line <> '') AS keep FROM c),
@@ -414,8 +535,14 @@ SQL: dict[str, str] = {
     "project_rollup": f"WITH {_ROWS} SELECT project, count(DISTINCT session) AS sessions, max(ts) AS last_ts, count(*) AS n_rows FROM rows_ GROUP BY project",
     "stats": _STATS,
     "dedupe_rows": _DEDUPE,
-    "similar_asks": _SIMILAR,
-    "similar_documents": _SIMILAR_DOCUMENTS,
+    "similar_asks": _similar(_ASKED),
+    "similar_documents": _similar(_DOCUMENT_ASKS),
+    "recurring_asks": _recurring(_ASKED),
+    "recurring_documents": _recurring(_DOCUMENT_ASKS),
+    "search_lines": _LINES,
+    "gated_retrieval": _GATED,
+    "recall_report": _RECALL,
+    "newest_gists": _NEWEST,
     "condensed_logs": _CONDENSED,
     "graph_layout": _LAYOUT,
 }

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own: list[str] = []
 
@@ -35,3 +37,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def offsets(df: DataFrame, order: list[Column], size: Column, name: str = "offset", parts: int | None = None) -> DataFrame:
+    """``df`` with the sum of ``size`` over all rows before each, in a total ``order``.
+
+    Rows are dealt by ranges of the order; a range sums its own rows, and only
+    one sum a range meets in one place.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = staged(df.withColumn("__size", size.cast("bigint")).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "offsets")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__part").agg(F.sum("__size").alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select("__part", "__base")
+    inside = F.coalesce(F.sum("__size").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(sums), "__part").withColumn(name, F.col("__base") + F.col("__inside")).drop("__part", "__size", "__inside", "__base")

@@ -36,3 +36,17 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["rowid", "score_micro"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_branch_is_reached(db):
+    """The checks above compare more than empty or constant results."""
+    one = lambda name, what: db.execute(f"SELECT {what} FROM ({SQL[name]})").fetchone()
+    noise, correction, low, kinds = one("predicates", "count(*) FILTER (noise), count(*) FILTER (correction), count(*) FILTER (NOT above_floor), list(DISTINCT category)")
+    assert min(noise, correction, low) > 0 and set(kinds) >= {"correction", "preference", "decision", "method", "reference"}
+    assert min(one("condensed_logs", "count(*) FILTER (flagged > 0), count(*) FILTER (elided > 0), count(*) FILTER (grew), count(*) FILTER (NOT grew)")) > 0
+    assert one("scalars", "count(*) FILTER (links > 0)")[0] > 0
+    assert one("similar_asks", "count(*)")[0] > 0
+    for name in ("recurring_asks", "recurring_documents"):
+        groups, rows = one(name, "count(DISTINCT founder), count(*)")
+        assert 0 < groups < rows
+    assert one("gated_retrieval", "count(*)")[0] > 0 and one("recall_report", "hit_at_k")[0] > 0 and one("search_lines", "count(*)")[0] > 0
