@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.predicates import any_of, condensable
-from ..functions.text import ascii_lower, indented, plural, split_lines, text_of
+from ..functions.text import ascii_lower, indented, plain_name, plural, split_lines, text_of
 
 # Lines kept at both ends, and what flags a line.
 HEAD, TAIL = 5, 15
@@ -84,15 +84,47 @@ def condense_tools(events: DataFrame) -> DataFrame:
     return condense(events.where(condensable("tool", "body")).select("doc_id", "body"))
 
 
-def calibrate(bodies: DataFrame, drags: bool = True) -> DataFrame:
-    """``needle, lines, survived``: of the lines that only this needle flags, how many stay without it."""
-    lines = flagged_lines(bodies)
+def spill(events: DataFrame, path: str) -> DataFrame:
+    """``events`` (``session, tool_use_id, tool, body``) that could be kept whole below ``path``, with ``spill``, where.
+
+    Both names have to be plain path components.  What was written is read back
+    and compared, so nothing is condensed whose original is not there.
+    """
+    named = events.where(plain_name("session") & plain_name("tool_use_id"))
+    named.select("session", "tool_use_id", text_of("body").alias("body")).write.mode("append").partitionBy("session").parquet(path)
+    kept = events.sparkSession.read.schema("session string, tool_use_id string, body string").parquet(path).select("session", "tool_use_id", F.md5("body").alias("sum")).distinct()
+    held = named.withColumn("sum", F.md5(text_of("body"))).join(kept, ["session", "tool_use_id", "sum"], "left_semi")
+    return held.drop("sum").withColumn("spill", F.concat(F.lit(path.rstrip("/") + "/session="), "session", F.lit("#"), "tool_use_id"))
+
+
+def condense_events(events: DataFrame, path: str) -> DataFrame:
+    """``session, tool_use_id, reply``: replies to tool events worth condensing; all others pass through unanswered."""
+    held = spill(events.where(condensable("tool", "body")), path).withColumn("doc_id", F.struct("session", "tool_use_id"))
+    made = condense(held.select("doc_id", "body", "spill"), F.col("spill")).where(~F.col("grew"))
+    out = F.struct(F.lit("PostToolUse").alias("hookEventName"), F.col("text").alias("updatedToolOutput"))
+    return made.select("doc_id.session", "doc_id.tool_use_id", F.to_json(F.struct(F.lit(True).alias("continue"), out.alias("hookSpecificOutput"))).alias("reply"))
+
+
+def calibrate(bodies: DataFrame, drags: bool = True, needles: tuple[str, ...] = NEEDLES) -> DataFrame:
+    """``needle, lines, survived``: of the lines that only this needle flags, how many stay without it.
+
+    Bodies are judged once for each needle that alone flags a line of theirs.
+    """
     low = ascii_lower("line")
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(n)) for n in NEEDLES]))
-    out = None
-    for n in NEEDLES:  # a fixed list: one branch a needle
-        others = tuple(x for x in NEEDLES if x != n)
-        kept = kept_lines(lines.withColumn("sole", (F.size(hits) == 1) & (hits[0] == n)).withColumn("needle", any_of(low, others)), drags)
-        part = kept.where("sole").agg(F.count(F.lit(1)).alias("lines"), F.count_if("keep").alias("survived")).select(F.lit(n).alias("needle"), "lines", "survived")
-        out = part if out is None else out.unionByName(part)
-    return out
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(n)) for n in needles]))
+    lines = flagged_lines(bodies, needles).withColumn("hits", hits)
+    sole = lines.where(F.size("hits") == 1).select("doc_id", F.col("hits")[0].alias("without")).distinct()
+    lines = lines.join(sole, "doc_id").withColumn("doc_id", F.struct("doc_id", "without"))
+    lines = lines.withColumn("sole", F.coalesce((F.size("hits") == 1) & (F.get("hits", F.lit(0)) == F.col("without")), F.lit(False))).withColumn("needle", F.size(F.array_remove("hits", F.col("without"))) > 0)
+    kept = kept_lines(lines, drags).where("sole").groupBy("without").agg(F.count(F.lit(1)).alias("lines"), F.count_if("keep").alias("survived"))
+    listed = F.explode(F.array(*[F.lit(n) for n in needles])).alias("needle")
+    zero = F.lit(0).cast("bigint")
+    return bodies.sparkSession.range(1).select(listed).join(kept.withColumnRenamed("without", "needle"), "needle", "left").select("needle", F.coalesce("lines", zero).alias("lines"), F.coalesce("survived", zero).alias("survived"))
+
+
+def savings(bodies: DataFrame, needles: tuple[str, ...] = NEEDLES) -> DataFrame:
+    """One row ``bodies, before, after``: bytes of the bodies large enough, whole and condensed."""
+    large = bodies.where(F.octet_length(text_of("body")) >= 2048)
+    made = condense(large, needles=needles).select("doc_id", F.octet_length("text").alias("after"))
+    both = large.select("doc_id", F.octet_length("body").alias("before")).join(made, "doc_id")
+    return both.agg(F.count(F.lit(1)).alias("bodies"), F.coalesce(F.sum("before"), F.lit(0)).alias("before"), F.coalesce(F.sum("after"), F.lit(0)).alias("after"))

@@ -121,8 +121,10 @@ def scene_hits(scene_index: Index, row_index: Index, scenes: DataFrame, prompts:
 def recall_slots(scene: DataFrame, talk: DataFrame, work: DataFrame, prompts: DataFrame, seen: DataFrame | None = None, slots: int = 3) -> DataFrame:
     """``qid, slot, lane, key, line``: at most ``slots`` lines a prompt.
 
-    A scene takes one slot; conversation fills up to one less while the work lane
-    has something; work fills what is left, marked as run.  Lines already given
+    A scene takes one slot; conversation comes up to all slots less the scene's
+    and less one more while the work lane has something (the scene's line counts
+    there again, so beside both a scene and work no talk is left); work fills
+    what is left, marked as run.  Lines already given
     in the prompt's session (``seen``: ``session, key``) are passed over.  Prompts
     are taken to be of different sessions; repeats within a batch are the
     streaming form's business.
@@ -138,7 +140,7 @@ def recall_slots(scene: DataFrame, talk: DataFrame, work: DataFrame, prompts: Da
     within = Window.partitionBy("qid", "lane").orderBy("rank")
     scenes_given = F.max(F.when(F.col("lane") == 0, F.lit(1)).otherwise(F.lit(0))).over(Window.partitionBy("qid"))
     lanes = lanes.withColumn("nth", F.row_number().over(within)).withColumn("scenes", scenes_given)
-    lanes = lanes.where((F.col("lane") != 1) | (F.col("nth") <= F.lit(slots) - F.col("scenes") * 2 - F.col("reserved") + F.col("scenes")))
+    lanes = lanes.where((F.col("lane") != 1) | (F.col("nth") <= F.lit(slots) - F.col("scenes") * 2 - F.col("reserved")))
     order = Window.partitionBy("qid").orderBy("lane", "nth")
     line = F.when(F.col("lane") == 2, F.concat(F.lit("(ran) "), F.col("line"))).otherwise(F.col("line"))
     return lanes.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= slots).select("qid", "slot", "lane", "key", line.alias("line"))

@@ -22,20 +22,6 @@ def turn_final(entries: DataFrame) -> DataFrame:
     return entries.withColumn("final", (F.col("kind") == "AssistantText") & F.coalesce(following.isin("UserHuman", "Summary"), F.lit(True)))
 
 
-def last_turn(entries: DataFrame) -> DataFrame:
-    """``file, ask, outcome, tools, results`` of each file's last turn; a real user message opens one."""
-    order = Window.partitionBy("file").orderBy("line_no")
-    turn = F.sum((F.col("kind") == "UserHuman").cast("int")).over(order)
-    rows = entries.withColumn("turn", turn).withColumn("last", F.max("turn").over(Window.partitionBy("file"))).where(F.col("turn") == F.col("last"))
-    said = (F.col("kind") == "AssistantText") & ~blank("text")
-    return rows.groupBy("file").agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "UserHuman", F.col("text"))), F.lit("")).alias("ask"),
-        F.coalesce(squeeze(F.max_by("text", F.when(said, F.col("line_no"))), 220), F.lit("")).alias("outcome"),
-        F.count_if(F.col("kind") == "AssistantTool").alias("tools"),
-        F.count_if(F.col("kind") == "UserTool").alias("results"),
-    )
-
-
 def rollup(rows: DataFrame, done: DataFrame | None = None, least: int = MIN_ROWS, roles: tuple[str, ...] = TALK) -> DataFrame:
     """``session, project, ts_start, ts_end, n_rows`` of sessions of ``least`` rows; those in ``done`` are left out."""
     talk = rows.where((text_of("session") != "") & F.col("role").isin(*roles))
@@ -92,11 +78,16 @@ def newest_gists(rows: DataFrame, gists: DataFrame, per_project: int = 3, window
     return known.withColumn("nth", F.row_number().over(Window.partitionBy("project").orderBy("at"))).where(F.col("nth") <= per_project).select("project", "nth", line.alias("line"))
 
 
-def brief(rows: DataFrame, gists: DataFrame, open_lines: DataFrame, budget: int = 1400) -> DataFrame:
-    """``project, brief``: a header, what is open (``project, nth, line``) and what was done, within ``budget`` bytes."""
-    head = project_rollup(rows).where(text_of("project") != "").select("project", F.concat(F.lit("[state] "), F.col("project"), F.lit(" — "), F.col("sessions").cast("string"), F.lit(" session(s) on file, last "), date_of("last_ts", "?"), F.lit(":")).alias("head"))
-    label = lambda df, order, name: df.select("project", F.lit(order).alias("part"), "nth", F.concat(F.lit(f"\n{name} · "), "line").alias("line"))
-    lines = label(open_lines, 0, "open").unionByName(label(newest_gists(rows, gists), 1, "done")).join(head, "project")
-    used = F.sum(F.octet_length("line")).over(Window.partitionBy("project").orderBy("part", "nth"))
-    lines = lines.withColumn("used", F.octet_length("head") + used).where(F.col("used") <= budget)
-    return lines.groupBy("project", "head").agg(F.concat("head", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "nth", "line"))), lambda x: x["line"]), "")).alias("brief")).select("project", "brief")
+def coverage(rows: DataFrame, vectors: DataFrame, distilled: DataFrame, forgotten: DataFrame, recalled: DataFrame) -> DataFrame:
+    """One row: how far each lane reaches (rows, with vectors, with asks; judged, with gist; forgotten; sessions and lines recalled)."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(text_of("asks") != "").alias("with_asks"))
+    kept = distilled.agg(F.count(F.lit(1)).alias("judged"), F.count_if(text_of("gist") != "").alias("with_gist"))
+    given = recalled.agg(F.count_distinct("session").alias("recall_sessions"), F.count(F.lit(1)).alias("recalled"))
+    return one.crossJoin(count(vectors, "embedded")).crossJoin(kept).crossJoin(count(forgotten, "forgotten")).crossJoin(given)  # one row each
+
+
+def scene_worklist(rows: DataFrame, scenes: DataFrame, limit: int | None = None, roles: tuple[str, ...] = TALK) -> DataFrame:
+    """Sessions without a scene, newest first."""
+    todo = rollup(rows, scenes, roles=roles).orderBy(F.desc("ts_end"), "session")
+    return todo.limit(limit) if limit else todo

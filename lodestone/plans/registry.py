@@ -333,14 +333,18 @@ def session_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.digests(memory_rows(spark, sf_dir), cap=900).select("session", F.sha2("digest", 256).alias("digest_sha256"))
 
 
-_DIGESTS = f"""WITH {_ROWS},
-l AS (SELECT session, role || ': ' || {_squeeze("left(coalesce(text, ''), 300)", 300)} AS line, row_number() OVER (PARTITION BY session ORDER BY ts, rowid) - 1 AS i FROM rows_ WHERE role IN ('user', 'assistant', 'system')),
+def _digest_of(rows: str, cap: int = 900) -> str:
+    """``session, digest`` as SQL."""
+    return f"""WITH l AS (SELECT session, role || ': ' || {_squeeze("left(coalesce(text, ''), 300)", 300)} AS line, row_number() OVER (PARTITION BY session ORDER BY ts, rowid) - 1 AS i FROM {rows} WHERE role IN ('user', 'assistant', 'system')),
 b AS (SELECT *, strlen(line) + 1 AS n FROM l),
 c AS (SELECT *, sum(n) OVER (PARTITION BY session) AS total, sum(CASE WHEN i < 2 THEN n ELSE 0 END) OVER (PARTITION BY session) AS head, sum(n) OVER (PARTITION BY session ORDER BY i DESC) AS rest FROM b),
-k AS (SELECT *, total <= 900 OR i < 2 OR head + rest <= 900 AS keep FROM c)
-SELECT session, sha256(coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i < 2), '') ||
+k AS (SELECT *, total <= {cap} OR i < 2 OR head + rest <= {cap} AS keep FROM c)
+SELECT session, coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i < 2), '') ||
   CASE WHEN count(*) FILTER (NOT keep) > 0 THEN '[... ' || count(*) FILTER (NOT keep) || ' turns omitted ...]' || chr(10) ELSE '' END ||
-  coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i >= 2 AND keep), '')) AS digest_sha256 FROM k GROUP BY session"""
+  coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i >= 2 AND keep), '') AS digest FROM k GROUP BY session"""
+
+
+_DIGESTS = f"WITH {_ROWS} SELECT session, sha256(digest) AS digest_sha256 FROM ({_digest_of('rows_')})"
 
 
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,21 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import above_floor, is_noise
-from ..functions.text import blank, iso_date, text_of
+from ..functions.text import blank, clip_bytes, iso_date, text_of
 from ..operators.sessions import turn_final
 
 TOOL_BYTES = 1200
-BLOCKS = "array<struct<type string, text string, name string, input map<string, string>, is_error boolean, content string>>"
+#: A line's fields; ``input`` keeps the order in which a tool's arguments stand.
+HEAD = "type string, summary string, timestamp string, sessionId string, isSidechain boolean, message struct<role string, content variant>"
+BLOCKS = "message struct<content array<struct<type string, text string, name string, input map<string, variant>, is_error boolean, content variant>>>"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value`` of every ``*.jsonl`` right below the project folders of ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{path.rstrip('/')}/*")
+def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line_no, value`` of every ``*.jsonl`` right below the project folders of ``path``, or of a list of files."""
+    reader = spark.read.format("binaryFile")
+    files = reader.load(path) if isinstance(path, list) else reader.option("pathGlobFilter", "*.jsonl").load(f"{path.rstrip('/')}/*")
     return files.select(F.col("path").alias("file"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line_no", "value"))
 
 
-def _joined(blocks: Column, kind: str, field: str) -> Column:
-    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == kind), lambda b: b[field]), " ")
+def _text(v: Column) -> Column:
+    """A variant's text where it is one, else null."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _texts_in(v: Column) -> Column:
+    """Texts of a tool result: itself, or those of its blocks."""
+    inner = F.transform(F.coalesce(F.try_variant_get(v, "$", "array<struct<text string>>"), F.array().cast("array<struct<text string>>")), lambda b: b["text"])
+    return F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(inner)
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """``file, line_no, type, role, summary, ts, session, text, blocks`` of the lines that are messages or summaries.
+
+    Broken JSON and sidechains give nothing.  ``text`` joins a message's text
+    blocks; ``blocks`` is empty for plain texts.
+    """
+    e = lines.withColumn("e", F.from_json("value", HEAD)).withColumn("b", F.from_json("value", BLOCKS)["message"]["content"]).where(F.try_parse_json("value").isNotNull())
+    e = e.where(~F.coalesce(F.col("e.isSidechain"), F.lit(False)))
+    blocks = F.coalesce("b", F.from_json(F.lit("[]"), BLOCKS[len("message struct<content ") : -1]))
+    said = F.coalesce(_text(F.col("e.message.content")), F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), " "))
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.jsonl$", "")
+    session = F.when(text_of(F.col("e.sessionId")) == "", stem).otherwise(F.col("e.sessionId"))
+    return e.select("file", "line_no", F.col("e.type").alias("type"), F.col("e.message.role").alias("role"), F.col("e.summary").alias("summary"), text_of(F.col("e.timestamp")).alias("ts"), session.alias("session"), stem.alias("stem"), (F.col("e.message.content").isNotNull()).alias("has_content"), said.alias("text"), blocks.alias("blocks"))
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
@@ -28,16 +53,11 @@ def parse_entries(lines: DataFrame) -> DataFrame:
 
     An assistant message with a tool call is AssistantTool, a user message with
     a result UserTool; sidechains, blank texts and broken JSON give nothing.
+    Tool text is the tool's name and its arguments that are texts, in their
+    order, or what came back, cut to ``TOOL_BYTES`` bytes.
     """
-    v = F.try_parse_json("value")
-    get = lambda p, t: F.try_variant_get("v", p, t)
-    e = lines.withColumn("v", v).where(F.col("v").isNotNull())
-    e = e.withColumn("type", get("$.type", "string")).withColumn("plain", F.when(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING", get("$.message.content", "string")))
-    e = e.withColumn("blocks", F.from_json(F.to_json(F.try_variant_get("v", "$.message.content", "variant")), BLOCKS))
-    e = e.where(F.col("type").isin("summary", "user", "assistant") & ~F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)))
-    blocks = F.coalesce("blocks", F.array().cast(BLOCKS))
-    said = F.coalesce("plain", _joined(blocks, "text", "text"))
-    has = lambda kind: F.exists(blocks, lambda b: F.coalesce(b["type"] == kind, F.lit(False)))
+    e = messages(lines).where((F.col("type") == "summary") | (F.col("type").isin("user", "assistant") & F.col("has_content")))
+    has = lambda kind: F.exists("blocks", lambda b: F.coalesce(b["type"] == kind, F.lit(False)))
     kind = (
         F.when(F.col("type") == "summary", "Summary")
         .when((F.col("type") == "assistant") & has("tool_use"), "AssistantTool")
@@ -45,12 +65,15 @@ def parse_entries(lines: DataFrame) -> DataFrame:
         .when(has("tool_result"), "UserTool")
         .otherwise("UserHuman")
     )
-    used = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: F.concat_ws(" ", b["name"], F.array_join(F.map_values(b["input"]), " "))), " ")
-    text = F.when(kind == "Summary", get("$.summary", "string")).when(kind == "AssistantTool", F.substring(used, 1, TOOL_BYTES)).when(kind == "UserTool", F.substring(_joined(blocks, "tool_result", "content"), 1, TOOL_BYTES)).otherwise(said)
-    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.jsonl$", "")
-    session = F.when((kind == "Summary") | (text_of(get("$.sessionId", "string")) == ""), stem).otherwise(get("$.sessionId", "string"))
-    ts = F.when(kind == "Summary", F.lit("")).otherwise(text_of(get("$.timestamp", "string")))
-    out = e.select("file", "line_no", kind.alias("kind"), text_of(text).alias("text"), ts.alias("ts"), session.alias("session"))
+    args = lambda b: F.filter(F.transform(F.map_values(b["input"]), _text), lambda x: x.isNotNull())
+    of = lambda name, parts: F.flatten(F.transform(F.filter("blocks", lambda b: b["type"] == name), parts))
+    none = F.array().cast("array<string>")
+    used = of("tool_use", lambda b: F.concat(F.array_compact(F.array(b["name"])), F.coalesce(args(b), none)))
+    result = F.filter(of("tool_result", lambda b: F.coalesce(_texts_in(b["content"]), none)), lambda x: x.isNotNull())
+    capped = lambda parts: clip_bytes(F.array_join(parts, " "), TOOL_BYTES)
+    text = F.when(kind == "Summary", F.col("summary")).when(kind == "AssistantTool", capped(used)).when(kind == "UserTool", capped(result)).otherwise(F.col("text"))
+    summary = F.col("type") == "summary"
+    out = e.select("file", "line_no", kind.alias("kind"), text_of(text).alias("text"), F.when(summary, F.lit("")).otherwise(F.col("ts")).alias("ts"), F.when(summary, F.col("stem")).otherwise(F.col("session")).alias("session"))
     return out.where(F.col("kind").isin("AssistantTool", "UserTool") | ~blank("text"))
 
 

@@ -25,6 +25,13 @@ def hints(events: DataFrame) -> DataFrame:
     return found.dropDuplicates(["session_id", "category"]).select("session_id", "category", F.concat(F.lit("[hint] this "), advice[F.col("category")]).alias("reply"))
 
 
-def once(lines: DataFrame) -> DataFrame:
-    """Recalled lines (``session, key, ...``) not given in their session before."""
-    return lines.dropDuplicates(["session", "key"])
+def once(lines: DataFrame, ttl: str | None = None, at: str = "ts") -> DataFrame:
+    """Recalled lines (``session, key, ...``) not given in their session before; without a session all are given.
+
+    A stream keeps what it has given; with ``ttl`` (say ``"7 days"``) it forgets
+    it that long after its time ``at``, so its state is bounded.
+    """
+    named = F.coalesce(F.col("session"), F.lit("")) != ""
+    keyed = lines.withColumn("__once", F.when(named, F.struct(F.col("session"), F.col("key"), F.lit("").alias("n"))).otherwise(F.struct(F.lit("").alias("session"), F.col("key"), F.uuid().alias("n"))))
+    first = keyed.withWatermark(at, ttl).dropDuplicatesWithinWatermark(["__once"]) if ttl else keyed.dropDuplicates(["__once"])
+    return first.drop("__once")

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.plans.registry import QUERIES, SQL
+from lodestone.plans import more, registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "conversations", "benchmark", "pages")
+QUERIES, SQL = registry.QUERIES | more.QUERIES, registry.SQL | more.SQL
+TABLES = ("documents", "embeddings", "conversations", "benchmark", "pages", "labels", "events")
 
 
 @pytest.fixture(scope="module")
