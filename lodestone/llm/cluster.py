@@ -27,7 +27,7 @@ from .common import collect_garbage, pack, partitions, ragged, runs, staged, unp
 from .components import components
 
 #: Entries (key, vertex) that a task resolves and packs at once.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Members, and bytes of their sets, of a block of a large bucket; what small buckets are gathered to.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Shingles that so few members share are counted pair by pair, others by a matrix product.
@@ -42,18 +42,19 @@ Load = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def _resolve(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct entries in order of (key, v), the hub of each and the size of its bucket."""
-    order = np.lexsort((v, key))
+    """Order of the entries by key, the hub of each (its bucket's smallest member) and the size of its bucket."""
+    order = np.argsort(key, kind="stable")
     key, v = key[order], v[order]
-    once = runs(key, v)
-    key, v = key[once], v[once]
     begin = np.flatnonzero(runs(key))
     size = np.diff(np.append(begin, len(key)))
-    return key, v, np.repeat(v[begin], size), np.repeat(size, size)
+    hub = np.minimum.reduceat(v, begin) if len(begin) else v
+    return key, v, np.repeat(hub, size), np.repeat(size, size)
 
 
 def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    key, v, hub, size = _resolve(np.concatenate(keys), np.concatenate(vs))
+    keys, v = np.concatenate(keys), np.concatenate(vs)
+    _, once = np.unique(keys[:, 0] + v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)  # a vertex that came twice has the same keys
+    key, v, hub, size = _resolve(keys[once].ravel(), np.repeat(v[once], keys.shape[1]))
     rest = v != hub
     out = []
     if rest.any():  # known to have a mate; sent to be written, not to be compared
@@ -68,34 +69,32 @@ def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.Reco
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """``bucket, v, hub`` of one range of keys."""
+    """``bucket, v, hub`` of one range of keys; of a bucket of two only the pair, without ``bucket``."""
     part, packs = t["part"][0].as_py(), t["pack"].to_pylist()
     if part < 0:
         key, v, hub = (np.concatenate(x) for x in zip(*(unpack(p, np.int64, np.int64, np.int64) for p in packs), strict=True))
+        pair = np.zeros(len(key), bool)
     else:
-        keys, vs, held = [], [], []
+        keys, vs, helds = [], [], []
         for p in packs:
             k, v, h = unpack(p, np.uint64, np.int64, np.uint8)
             keys.append(np.cumsum(k, dtype=np.uint64))
             vs.append(v)
-            held.append(h)
-        key, v, held = np.concatenate(keys), np.concatenate(vs), np.concatenate(held)
-        order = np.lexsort((v, key))
-        key, v, held = key[order], v[order], held[order]
-        once = runs(key, v)
-        at = np.flatnonzero(once)
-        held = np.maximum.reduceat(held, at) > 0 if len(at) else held.astype(bool)
-        key, v = key[once], v[once]
+            helds.append(h)
+        key, v, held = np.concatenate(keys), np.concatenate(vs), np.concatenate(helds) > 0
+        order = np.argsort(key, kind="stable")
+        held = held[order]
+        key, v, hub, size = _resolve(key, v)
         begin = np.flatnonzero(runs(key))
-        size = np.diff(np.append(begin, len(key)))
-        hub, size = np.repeat(v[begin], size), np.repeat(size, size)
-        shared = (size > 1) | held
-        key, v, hub = key[shared].view(np.int64), v[shared], hub[shared]
-    return pa.table({"bucket": pa.array(key, pa.int64()), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64())})
+        held = np.repeat(np.logical_or.reduceat(held, begin), size[begin]) if len(begin) else held
+        pair = (size == 2) & ~held
+        shared = ((size > 1) | held) & ~(pair & (v == hub))
+        key, v, hub, pair = key[shared].view(np.int64), v[shared], hub[shared], pair[shared]
+    return pa.table({"bucket": pa.array(key, pa.int64(), mask=pair), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64())})
 
 
 def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
-    """``bucket, v, hub`` of the buckets that two vertices or more share.
+    """``bucket, v, hub`` of the buckets that two vertices or more share, without ``bucket`` where they are two.
 
     ``signed`` turns batches of ``rows`` into band keys and vertices; a vertex
     may come more than once.
@@ -105,8 +104,8 @@ def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, vs, n = [], [], 0
         for k, v in signed(batches):
-            ks.append(k.ravel())
-            vs.append(np.repeat(v, k.shape[1]))
+            ks.append(k)
+            vs.append(v)
             n += k.size
             if n >= FLUSH:
                 yield _spread(ks, vs, parts)
@@ -148,6 +147,11 @@ def _pairs_of(order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
     return np.concatenate(xs), np.concatenate(ys)
 
 
+def vertices_of(mates: DataFrame) -> DataFrame:
+    """``v`` of all vertices in ``mates``."""
+    return mates.select(F.explode(F.array("v", "hub")).alias("v")).distinct()
+
+
 def common_counts(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     """How many hashes the sets ``rows`` share with the sets ``other``: a matrix, not valid where a set meets itself."""
     both = np.union1d(rows, other)
@@ -178,14 +182,14 @@ def common_counts(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray, other: n
 
 
 def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
-    """``a, b``: links that join the components of buckets: ``bucket, i, j, own, v, label, items``.
+    """``a, b``: links that join the components of buckets: ``bucket, i, j, own, v, hub, label, items``.
 
     All pairs of the two blocks ``i`` and ``j`` of a bucket (one bucket after the
     other) are compared exactly; of those that are similar only as many are
     returned as it takes to join their components.
     """
     t = t.combine_chunks()
-    v, label, own, i, j, bucket = (t[c].to_numpy() for c in ("v", "label", "own", "i", "j", "bucket"))
+    v, hub, label, own, i, j, bucket = (t[c].to_numpy() for c in ("v", "hub", "label", "own", "i", "j", "bucket"))
     _, first, row = np.unique(v, return_index=True, return_inverse=True)  # a member of many buckets is read once
     items = t["items"].take(pa.array(first))
     flat, offs = load(items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items)
@@ -212,7 +216,7 @@ def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
     n = np.diff(np.append(begin, len(order)))
     small = (n <= SMALL) & (i[order[begin]] == j[order[begin]])
     x, y = _pairs_of(order, begin[small], n[small])
-    apart = label[x] != label[y]
+    apart = (label[x] != label[y]) & (v[x] != hub[y]) & (hub[x] != v[y])  # pairs with a hub are refuted already
     x, y = x[apart], y[apart]
     _, once = np.unique(np.minimum(row[x], row[y]) * len(first) + np.maximum(row[x], row[y]), return_index=True)
     x, y = x[once], y[once]
@@ -242,14 +246,14 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     ``a, b``.  ``sets``: ``v, items`` (what ``load`` reads) of all vertices in ``mates``.
     """
     spark = mates.sparkSession
-    stars = staged(mates.where(F.col("v") != F.col("hub")).groupBy(F.col("v").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "cluster-stars")
+    stars = mates.where(F.col("v") != F.col("hub")).select(F.col("v").alias("a"), F.col("hub").alias("b"))
 
-    # each vertex first with the hub that it shares most buckets with, then with the others outside its component
-    first = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
+    # each vertex first with the smallest of its hubs, then with the others outside its component
+    first = stars.groupBy("a").agg(F.min("b").alias("b"))
     links = staged(confirm(first), "cluster-links")
     label = components(links)
-    apart = _labelled(_labelled(stars.join(first, ["a", "b"], "left_anti"), label, "a", "la"), label, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b")
-    more = staged(confirm(apart), "cluster-links")
+    apart = _labelled(_labelled(stars, label, "a", "la"), label, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b").distinct()
+    more = staged(confirm(apart.join(first, ["a", "b"], "left_anti")), "cluster-links")
     if not more.isEmpty():
         unstage(label)
         links = links.unionByName(more)
@@ -257,7 +261,7 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     collect_garbage(spark)
 
     # buckets of three or more that still hold several components
-    members = _labelled(mates.select("bucket", "v").distinct(), label, "v", "label")
+    members = _labelled(mates.where(F.col("bucket").isNotNull()).groupBy("bucket", "v").agg(F.min("hub").alias("hub")), label, "v", "label")
     mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > 2)).select("bucket", "n")
     members = staged(members.join(mixed, "bucket"), "cluster-mixed")
     if not members.isEmpty():
@@ -272,12 +276,12 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             # a bucket of one block shares its task with others; of a larger one each pair of blocks has its own
             .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("bucket"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
-            .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "label", "items")
+            .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label", "items")
         )
         more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")
         unstage(sized)
         if not more.isEmpty():
             unstage(label)
             label = components(links.unionByName(more))
-    unstage(members, stars)
+    unstage(members)
     return label

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_mates, cluster, pair_counts
+from .cluster import bucket_mates, cluster, pair_counts, vertices_of
 from .common import by_bytes, collect_garbage, pack, partitions, runs, staged, text_buffers, unpack, unstage
+from .decontaminate import bloom_filter
 
 #: Characters of a shingle and percent of Jaccard similarity from which lines are linked, where a caller names none.
 WIDTH, PERCENT = 10, 80
@@ -36,7 +37,7 @@ HASHES, ROWS = 256, 8
 LONG, FEW_BINS = 128, 145
 #: Lines that a task resolves and packs at once.
 FLUSH = 300_000
-#: Bytes of text whose lines are signed at once (a dozen 64-bit numbers for each character).
+#: Bytes of text whose lines are found or signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
 
 _rng = np.random.default_rng(9)
@@ -222,7 +223,7 @@ def _classes(docs: DataFrame, mates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", BAND_BYTES):
             data, offs = text_buffers(b.column(2))
             row, number, begin, end, ink = line_spans(data, offs)
             row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
@@ -252,7 +253,7 @@ def _classes(docs: DataFrame, mates: DataFrame) -> DataFrame:
 
     packed = _keyed(docs).mapInArrow(run, "part int, pack binary")
     part = F.shiftrightunsigned(F.shiftrightunsigned("v", 32) * F.lit(parts), 32).cast("int")
-    wanted = mates.select("v").distinct().select(part.alias("part"), "v")
+    wanted = vertices_of(mates).select(part.alias("part"), "v")
     return packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(meet, "first boolean, doc_id bigint, h bigint, line int, v bigint, w bigint")
 
 
@@ -272,7 +273,8 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``v, items`` (the lines) of lines given by ``doc_id, h, lines`` (an array of ``line, v``)."""
-    src = wanted.join(_keyed(docs), ["doc_id", "h"]).select("lines", "text")
+    here = bloom_filter(wanted.select(F.xxhash64("doc_id", "h").alias("key")))  # documents without such a line are not shuffled
+    src = wanted.join(_keyed(docs).where(here(F.xxhash64("doc_id", "h"))), ["doc_id", "h"]).select("lines", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
@@ -329,11 +331,11 @@ def removals(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
     classes = staged(_classes(docs, mates), "lines-classes")
     collect_garbage(spark)
     first = classes.where("first").select("v", "w", F.struct("doc_id", "h", "line").alias("first"))
-    wanted = first.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines"))
+    wanted = staged(first.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines")), "lines-wanted")
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
     label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), texts, lambda col: line_sets(col, width), percent)
-    unstage(texts, mates)
+    unstage(texts, mates, wanted)
     collect_garbage(spark)
     # of a component the first line stays; the classes of all others lose theirs as well
     linked = first.join(label, "v")

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, text_buffers
 
+#: Bytes of text whose statistics are found at once (a dozen 64-bit numbers for each byte).
+CHUNK_BYTES = 1 << 20
+
 #: Rows on which costs and selectivities are estimated (the bound of the sample).
 SAMPLE_ROWS = 1000
 
@@ -162,7 +165,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     """Order the rules by rejections per second, measured on at most ``sample_rows`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
+        for b in by_bytes(batches, "text", CHUNK_BYTES):
             chunk = Chunk(b.column(0))
             rows = np.flatnonzero(~base_failed(chunk))
             for k, rule in enumerate(rules):
@@ -188,7 +191,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "__text"):
+        for b in by_bytes(batches, "__text", CHUNK_BYTES):
             chunk = Chunk(b.column(len(keep)))
             bad = base_failed(chunk)
             cols = [b.column(k) for k in range(len(keep))]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_mates, cluster, pair_counts
+from .cluster import bucket_mates, cluster, pair_counts, vertices_of
 from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.75 shares none with probability 5e-6
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     vertices = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("sketch").alias("sketch"))
     vertices = staged(vertices, "setsketch-vertices")
     mates = bucket_mates(vertices.select("v", "sketch"), _signed)
-    sets = staged(_sets(docs, mates.select("v").distinct(), width), "setsketch-sets")
+    sets = staged(_sets(docs, vertices_of(mates), width), "setsketch-sets")
     collect_garbage(docs.sparkSession)
     label = cluster(mates, lambda pairs: _confirm(_likely(pairs, vertices, percent), sets, percent), sets, load_sets, percent)
     unstage(sets, mates)

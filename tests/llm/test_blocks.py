@@ -37,7 +37,7 @@ def test_spanning_links_join_what_all_similar_pairs_join():
 
     def table(i, j):
         rows = [k for k in range(n) if own[k] in (i, j)]
-        return pa.table({"i": pa.array([i] * len(rows), pa.int32()), "j": pa.array([j] * len(rows), pa.int32()), "own": pa.array([own[k] for k in rows], pa.int32()), "bucket": [7] * len(rows), "v": rows, "label": rows, "items": [texts[k] for k in rows]})
+        return pa.table({"i": pa.array([i] * len(rows), pa.int32()), "j": pa.array([j] * len(rows), pa.int32()), "own": pa.array([own[k] for k in rows], pa.int32()), "bucket": [7] * len(rows), "v": rows, "hub": [-1] * len(rows), "label": rows, "items": [texts[k] for k in rows]})
 
     got = [(r["a"], r["b"]) for i, j in ((0, 0), (0, 1), (1, 1)) for r in spanning_links(table(i, j), load, 80).to_pylist()]
     want = [(a, b) for a in range(n) for b in range(a + 1, n) if brute.alike_lines(texts[a], texts[b], 80)]
@@ -48,7 +48,7 @@ def test_spanning_links_join_what_all_similar_pairs_join():
 
 def test_spanning_links_leave_out_what_is_joined_already():
     line = "one line of text that is said twice"
-    t = pa.table({"i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "own": pa.array([0, 0], pa.int32()), "bucket": [7, 7], "v": [1, 2], "label": [1, 1], "items": [line, line + "."]})
+    t = pa.table({"i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "own": pa.array([0, 0], pa.int32()), "bucket": [7, 7], "v": [1, 2], "hub": [0, 0], "label": [1, 1], "items": [line, line + "."]})
     assert spanning_links(t, load, 80).num_rows == 0
 
 
@@ -56,7 +56,7 @@ def test_many_buckets_in_one_task():
     lines = ["one line of text that is said twice", "one line of text that is said twice.", "nothing like any of the others here"]
     rows = [(b, 10 * b + k, x) for b in (1, 2, 3) for k, x in enumerate(lines)]
     z = pa.array([0] * 9, pa.int32())
-    t = pa.table({"i": z, "j": z, "own": z, "bucket": [r[0] for r in rows], "v": [r[1] for r in rows], "label": [r[1] for r in rows], "items": [r[2] for r in rows]})
+    t = pa.table({"i": z, "j": z, "own": z, "bucket": [r[0] for r in rows], "v": [r[1] for r in rows], "hub": [0] * 9, "label": [r[1] for r in rows], "items": [r[2] for r in rows]})
     assert [(r["a"], r["b"]) for r in spanning_links(t, load, 80).to_pylist()] == [(10, 11), (20, 21), (30, 31)]
 
 
