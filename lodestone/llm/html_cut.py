@@ -1,79 +1,109 @@
 """Main text of web pages by minimum-cut labelling (operator 7).
 
-A page becomes a row of text blocks.  A linear model over each block's tags,
-names, length and share of link text gives its two costs: calling it content
-and calling it boilerplate.  These are the capacities to the source and the
-sink; neighbours in page order and blocks of one parent are tied by smoothness
-edges whose weight falls with their distance in the tree.  The minimum cut,
-found by maximum flow, is the cheapest labelling; what stays with the source is
-the main text.
+A page becomes a row of text blocks.  A logistic model over each block's
+elements, names, length, punctuation and share of link text, fitted on labelled
+pages (:mod:`.html_pages`), gives its two costs: calling it content and calling
+it boilerplate.  These are the capacities to the source and the sink;
+neighbours in page order and blocks of one parent are tied by smoothness edges
+whose weight falls with their distance in the tree.  The minimum cut, found by
+maximum flow, is the cheapest labelling; what stays with the source is the main
+text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quoted value may hold ``>``, but only if what follows the closing quote can stand there: a stray quote ends nothing.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>=\s*+"[^"<]*+"(?=[\s/>])|=\s*+'[^'<]*+'(?=[\s/>])|[^>])*+)(?:>|\Z)""",
+    re.S,
+)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END = re.compile(r"[.!?…。！？](?=\s|$|[\"'”’)])")
 
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option head".split())
+RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
-#: Elements that a new one of the set closes.
-CLOSES = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
-}
+#: Elements that a new one closes, if one of them is open.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+LISTS = frozenset("ul ol dl table".split())
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("p div ul ol dl table section article aside header footer nav main form fieldset h1 h2 h3 h4 h5 h6 pre blockquote hr figure address details".split())
 
-#: Evidence of an element or of a word in its class, id or role: below 0 boilerplate, above 0 content.
-TAG_WEIGHT = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "button": -6.0, "header": -5.0, "article": 7.0, "main": 4.0, "figcaption": 1.0, "blockquote": 1.0}
-NAME_WEIGHT = {
-    **dict.fromkeys("nav navigation navbar menu menubar breadcrumb breadcrumbs sidebar footer masthead banner ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended widget pagination pager toolbar copyright comment comments respond replies disqus complementary contentinfo search".split(), -9.0),
-    "header": -5.0, **dict.fromkeys("article content main post entry story body text".split(), 2.0),
-}
+#: Elements and names (words of a class, id or role) that the model counts; their weights are fitted.
+BOILER = frozenset("nav footer aside form menu dialog button".split())
+ARTICLE = frozenset("article main".split())
+BAD_NAMES = frozenset("nav navigation navbar menu menubar breadcrumb breadcrumbs sidebar footer masthead banner ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended widget pagination pager toolbar copyright disqus complementary contentinfo search".split())
+GOOD_NAMES = frozenset("article content main post entry story body text prose".split())
+COMMENT_NAMES = frozenset("comment comments respond replies reply discussion".split())
+#: Evidence about a block, as bits that elements hand down.
+IN_ARTICLE, IN_BOILER, IN_HEADER, BAD, GOOD, COMMENTS, HIDDEN = (1 << k for k in range(7))
 
 ADJACENT, SIBLING = 1.0, 1.5
 
 
-class Block:
-    __slots__ = ("text", "link", "path", "weight", "tag")
+class Element:
+    """An open element: its evidence (with all that its parents have) and the sign of the innermost."""
 
-    def __init__(self, text: str, link: int, path: tuple, weight: float, tag: str):
-        self.text, self.link, self.path, self.weight, self.tag = text, link, path, weight, tag
+    __slots__ = ("name", "parent", "depth", "bits", "near", "inline")
 
+    def __init__(self, name: str, parent: Element | None, attrs: str):
+        self.name, self.parent, self.inline = name, parent, name in INLINE
+        self.depth = parent.depth + (not self.inline) if parent else 0
+        bits, sign = 0, 0
+        if name in ARTICLE:
+            bits, sign = IN_ARTICLE, 1
+        elif name in BOILER:
+            bits, sign = IN_BOILER, -1
+        elif name == "header":
+            bits = IN_HEADER
+        if attrs:
+            if name not in ("article", "main", "body", "html"):  # there names tell of the page's state
+                words = {w for m in _NAMES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+                good, bad, said = bool(words & GOOD_NAMES), bool(words & BAD_NAMES), bool(words & COMMENT_NAMES)
+                bits |= GOOD * good | BAD * bad | COMMENTS * said | IN_HEADER * ("header" in words)
+                sign = -1 if (bad or said) and not (good and not said) else 1 if good and not said else sign
+            if _HIDDEN.search(attrs):
+                bits |= HIDDEN
+        self.bits = bits | (parent.bits if parent else 0)
+        self.near = sign or (parent.near if parent else 0)
 
-def _weight(tag: str, attrs: str) -> float:
-    w = TAG_WEIGHT.get(tag, 0.0)
-    if attrs:
-        for m in _NAMES.finditer(attrs):
-            for word in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-                w += NAME_WEIGHT.get(word, 0.0)
-        if _HIDDEN.search(attrs):
-            w -= 9.0
-    return w
+
+_ROOT = Element("", None, "")
+
+
+class Block:
+    """A run of text inside one block element."""
+
+    __slots__ = ("text", "link", "element")
+
+    def __init__(self, text: str, link: int, element: Element):
+        self.text, self.link, self.element = text, link, element
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, from the raw markup (broken markup included)."""
+    """The page's text blocks in order, from the raw markup (broken markup included); time and space follow its length."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # name, serial number, weight so far
+    stack: list[Element] = [_ROOT]
+    solid: list[int] = [0]  # where in the stack the block elements are
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    link = 0
-    serial = 0
-    at = 0
+    link = at = 0
     n = len(page)
 
     def flush() -> None:
@@ -81,165 +111,230 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = [s for s in stack if s[0] not in INLINE]
-                out.append(Block(text, link, tuple(s[1] for s in outer), stack[-1][2] if stack else 0.0, outer[-1][0] if outer else ""))
+                out.append(Block(text, link, stack[solid[-1]]))
         parts, link = [], 0
 
     def pop(k: int) -> None:
-        if any(s[0] not in INLINE for s in stack[k:]):
+        if solid[-1] >= k:
             flush()
+            while solid[-1] >= k:
+                solid.pop()
+        for e in stack[k:]:
+            opened[e.name] -= 1
         del stack[k:]
 
+    def close(names: tuple[str, ...], until: frozenset[str] = frozenset()) -> bool:
+        if not any(opened[x] for x in names):
+            return False
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                pop(k)
+                return True
+            if stack[k].name in until:
+                return False
+        return False
+
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
             piece = page[at:end]
             parts.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if opened["a"]:
                 link += len(piece.strip())
         if not m:
             break
-        at = m.end()
-        if at == m.start():
-            at += 1
-        name = m[3]
-        if name is None:
+        at = max(m.end(), m.start() + 1)
+        if m[3] is None:
             if m[1]:
                 parts.append(html.escape(m[1]))
             continue
-        name = name.lower()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-            else:
-                if name == "br":
-                    parts.append(" ")
-                elif name not in INLINE:
-                    flush()
-            continue
+        name = m[3].lower()
         if name == "br":
             parts.append(" ")
-            continue
-        if name in VOID:
+        elif m[2]:
+            if not close((name,)) and name not in INLINE:
+                flush()
+        elif name in VOID:
             if name == "hr":
                 flush()
-            continue
-        if name in RAW and name != "head":
+        elif name in RAW:
             if not m[4].rstrip().endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else (n if name in ("script", "style", "textarea", "title") else at)
-            continue
-        if name not in INLINE:
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            if name in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[name]:
-                        pop(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
-                        break
-            flush()
-        serial += 1
-        stack.append((name, serial, (stack[-1][2] if stack else 0.0) + _weight(name, m[4])))
+                done = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = done.end() if done else (n if name in ("script", "style", "textarea", "title") else at)
+        else:
+            if name not in INLINE:
+                if name in ENDS_P and stack[solid[-1]].name == "p":
+                    pop(solid[-1])
+                if name in CLOSES:
+                    close(CLOSES[name], LISTS)
+                flush()
+            stack.append(Element(name, stack[-1], m[4]))
+            opened[name] += 1
+            if name not in INLINE:
+                solid.append(len(stack) - 1)
     flush()
     return out
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """Costs of calling a block boilerplate and of calling it content."""
-    n = len(b.text)
-    score = b.weight + min(n, 400) / 100 - 6.0 * min(1.0, b.link / n) - (1.0 if n < 25 else 0.0)
-    if b.tag == "li":
-        score -= 0.5
-    elif b.tag in ("p", "pre", "blockquote"):
-        score += 0.5
-    elif b.tag in ("h1", "h2", "h3"):
-        score += 1.0
-    return max(score, 0.0), max(-score, 0.0)
-
-
-def labels(blocks: list[Block]) -> list[bool]:
-    """Whether each block is content: the source side of a minimum cut."""
-    n = len(blocks)
-    excess = []
-    for b in blocks:
-        keep, drop = costs(b)
-        excess.append(keep - drop)
-    cap: list[dict[int, float]] = [{} for _ in range(n)]
-
-    def tie(i: int, j: int, w: float) -> None:
-        cap[i][j] = cap[i].get(j, 0.0) + w
-        cap[j][i] = cap[j].get(i, 0.0) + w
-
-    last: dict[tuple, int] = {}
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row of evidence a block, the last column being 1."""
+    out = np.zeros((len(blocks), 20))
+    for k, b in enumerate(blocks):
+        e, n = b.element, len(b.text)
+        bits = e.bits
+        article, header = bool(bits & IN_ARTICLE), bool(bits & IN_HEADER)
+        out[k] = (
+            article, bool(bits & IN_BOILER), header and not article, header and article, bool(bits & BAD), bool(bits & GOOD), bool(bits & COMMENTS), bool(bits & HIDDEN),
+            e.near > 0, e.near < 0, min(1.0, b.link / n), min(np.log1p(n) / 6, 1.2), n < 25, e.name == "li", e.name in ("p", "pre", "blockquote", "dd"),
+            e.name in ("h1", "h2", "h3", "h4"), min(len(_END.findall(b.text[:2000])), 5) / 5, "©" in b.text or " | " in b.text, article and e.near < 0, 1.0,
+        )
+    return out
+
+
+def fit(rows: np.ndarray, content: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic model by Newton's method."""
+    w = np.zeros(rows.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(w)), rows.T @ (p - content) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+@lru_cache(maxsize=1)
+def fitted() -> np.ndarray:
+    """Weights from the labelled pages of :mod:`.html_pages` (at most ``FIT_PAGES``), fitted once, on the driver."""
+    from .html_pages import FIT_PAGES, labelled
+
+    xs, ys = [], []
+    for seed in range(FIT_PAGES):
+        page, truth = labelled(seed)
+        blocks = blocks_of(page)
+        xs.append(features(blocks))
+        ys += [truth.get(b.text, False) for b in blocks]
+    return fit(np.concatenate(xs), np.array(ys, float))
+
+
+def distance(a: Element, b: Element) -> int:
+    """Steps between two elements in the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth and a.parent is not None:
+            steps += not a.inline
+            a = a.parent
+        else:
+            steps += not b.inline
+            b = b.parent
+    return steps
+
+
+def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: neighbours by their distance, and the blocks of one parent."""
+    out = []
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            p = blocks[i - 1].path
-            same = 0
-            for x, y in zip(p, b.path):
-                if x != y:
-                    break
-                same += 1
-            tie(i - 1, i, ADJACENT / (1 + len(p) + len(b.path) - 2 * same))
-        parent = b.path[:-1]
-        if parent in last:
-            tie(last[parent], i, SIBLING)
-        last[parent] = i
-    # maximum flow: from blocks with capacity left to the source to blocks with capacity left to the sink
-    sources = [i for i in range(n) if excess[i] > 0]
+            out.append((i - 1, i, ADJACENT / (1 + distance(blocks[i - 1].element, b.element))))
+        up = b.element.parent
+        while up is not None and up.inline:
+            up = up.parent
+        if id(up) in last:
+            out.append((last[id(up)], i, SIBLING))
+        last[id(up)] = i
+    return out
+
+
+def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source side of a minimum cut: a score above 0 is a capacity from the source, below 0 one to the sink.
+
+    Flow goes along shortest paths, all of one length at a time (Dinic).
+    """
+    n = len(score)
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def edge(a: int, b: int, c: float, back: float) -> None:
+        for x, y, z in ((a, b, c), (b, a, back)):
+            out[x].append(len(to))
+            to.append(y)
+            cap.append(z)
+
+    for i, s in enumerate(score):
+        edge(n, i, max(s, 0.0), 0.0)
+        edge(i, n + 1, max(-s, 0.0), 0.0)
+    for a, b, w in edges:
+        edge(a, b, w, w)
+    eps = 1e-9
     while True:
-        back: dict[int, int] = {i: -1 for i in sources if excess[i] > 1e-9}
-        queue = deque(back)
-        sink = -1
-        while queue:
-            i = queue.popleft()
-            if excess[i] < -1e-9:
-                sink = i
+        level = [-1] * (n + 2)
+        level[n] = 0
+        queue = [n]
+        for x in queue:
+            for e in out[x]:
+                if cap[e] > eps and level[to[e]] < 0:
+                    level[to[e]] = level[x] + 1
+                    queue.append(to[e])
+        if level[n + 1] < 0:
+            return [level[i] >= 0 for i in range(n)]
+        nxt = [0] * (n + 2)
+        path: list[int] = []
+        x = n
+        while True:
+            if x == n + 1:
+                flow = min(cap[e] for e in path)
+                cut = next(k for k, e in enumerate(path) if cap[e] - flow <= eps)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                x = to[path[cut] ^ 1]
+                del path[cut:]
+            while nxt[x] < len(out[x]):
+                e = out[x][nxt[x]]
+                if cap[e] > eps and level[to[e]] == level[x] + 1:
+                    break
+                nxt[x] += 1
+            if nxt[x] < len(out[x]):
+                path.append(out[x][nxt[x]])
+                x = to[path[-1]]
+            elif path:
+                x = to[path.pop() ^ 1]
+                nxt[x] += 1
+            else:
                 break
-            for j, c in cap[i].items():
-                if c > 1e-9 and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        if sink < 0:
-            return [i in back for i in range(n)]
-        path = [sink]
-        while back[path[-1]] >= 0:
-            path.append(back[path[-1]])
-        flow = min([excess[path[-1]], -excess[sink], *(cap[a][b] for b, a in zip(path, path[1:]))])
-        for b, a in zip(path, path[1:]):
-            cap[a][b] -= flow
-            cap[b][a] += flow
-        excess[path[-1]] -= flow
-        excess[sink] += flow
-
-
-def main_text(page: str | None) -> str:
+
+
+def labels(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+    """Whether each block is content."""
+    if not blocks:
+        return []
+    score = np.clip(features(blocks) @ weights, -12, 12)
+    return minimum_cut(score.tolist(), ties(blocks))
+
+
+def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
     """The main text, its blocks joined by line feeds; empty if there is none."""
     found = blocks_of(page or "")
-    return "\n".join(b.text for b, keep in zip(found, labels(found)) if keep)
+    return "\n".join(b.text for b, keep in zip(found, labels(found, fitted() if weights is None else weights), strict=True) if keep)
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``pages``: ``keep`` (default ``page_id``, ``url``), ``text``, ``n_chars``.
 
     Null or empty html gives an empty text; whole pages are read, nothing is
-    capped.  No shuffle.
+    capped; repeated rows are rows of their own; an empty table gives an empty
+    result.  No shuffle.
     """
     keep = ["page_id", "url"] if keep is None else keep
     src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("__html"))
+    weights = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "__html"):
-            texts = [main_text(x) for x in b.column(len(keep)).to_pylist()]
+            texts = [main_text(x, weights) for x in b.column(len(keep)).to_pylist()]
             cols = [b.column(k) for k in range(len(keep))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "text", "n_chars"])
 
