@@ -92,18 +92,20 @@ tri AS (
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
 ),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM tri) WHERE n >= 2),
+g AS (SELECT doc_id, count(*) AS n, count(DISTINCT x) AS kinds FROM (SELECT doc_id, substr(text, i::BIGINT, 12) AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) - 10)) AS i FROM d)) GROUP BY doc_id),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 s AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
-    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS al
-  FROM w LEFT JOIN cov USING (doc_id)
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS al,
+    length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, coalesce(g.n, 0) AS grams, coalesce(g.kinds, 0) AS gram_kinds
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN g USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
-    OR word_chars > 12 * n_words OR 10 * n_dup_lines > 6 * greatest(n_lines, 1) OR 10 * up > 6 * greatest(al, 1)) AS kept
+    OR word_chars > 12 * n_words OR 10 * n_dup_lines > 6 * greatest(n_lines, 1) OR 10 * up > 6 * greatest(al, 1) OR 10 * letters < 7 * word_chars OR 10 * gram_kinds < 6 * grams) AS kept
 FROM s
 """
 

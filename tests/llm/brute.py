@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -155,6 +156,20 @@ def base_rules(text):
     )
 
 
+def passes(text):
+    """The verdict of all quality rules."""
+    text = text or ""
+    words, chars, symbols, dup, _, failed = base_rules(text)
+    n_lines = sum(bool(SPACE.search(x)) for x in text.split("\n"))
+    up, latin = sum("A" <= c <= "Z" for c in text), sum(c.isascii() and c.isalpha() for c in text)
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+    grams = [text[i : i + 12] for i in range(len(text) - 11)]
+    return not (
+        failed or 10 * symbols > words or chars < 2 * words or chars > 12 * words or 10 * dup > 6 * max(n_lines, 1)
+        or 10 * up > 6 * max(latin, 1) or 10 * letters < 7 * chars or 10 * len(set(grams)) < 6 * len(grams)
+    )
+
+
 def leaks(docs, items, width=13):
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, whether a full window occurs."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -67,6 +67,36 @@ def test_quality(corpus):
     assert quality.quality(df).where("kept and base_failed").count() == 0
 
 
+def test_quality_verdict(corpus):
+    df, docs = corpus
+    assert rows(quality.quality(df), "doc_id", "kept") == sorted((d, brute.passes(t)) for d, t in docs)
+
+
+def test_each_rule_rejects_something_of_its_own():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    word = lambda n=6: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prose = " ".join(word() for _ in range(80))
+    texts = {
+        "symbols": prose + " #" * 20, "word_length": " ".join(word(1) + str(k % 10) * 0 for k in range(90)), "line_copies": prose + "\nsame" * 30, "shouting": prose.upper(),
+        "few_letters": " ".join(word(3) + str(1000 + k) for k in range(80)), "gram_copies": prose + " " + " ".join((word(2) + "z" * 60) for _ in range(40)),
+    }
+    chunk = quality.Chunk(pa.array([*texts.values(), prose]))
+    gone = {rule.name: rule.rejects(chunk, quality.np.arange(7)).tolist() for rule in quality.RULES}
+    assert all(gone[name][k] for k, name in enumerate(texts)) and not any(g[-1] for g in gone.values())
+
+
+def test_cascade_order_counts_what_is_left():
+    """The second rule rejects the same rows as the first, the third others: it goes second although it rejects fewer."""
+    import numpy as np
+
+    gone = np.zeros((100, 3), bool)
+    gone[:50, 0] = gone[:49, 1] = gone[60:70, 2] = True
+    assert quality.best_order(gone, np.array([1.0, 1.0, 1.0])) == [0, 2, 1]
+    assert quality.best_order(gone, np.array([100.0, 1.0, 1.0])) == [1, 2, 0]
+
+
 def test_quality_order_does_not_matter(corpus):
     df, _ = corpus
     assert rows(quality.quality(df), "doc_id", "kept") == rows(quality.quality(df, tuple(reversed(quality.RULES)), 1), "doc_id", "kept")

@@ -14,14 +14,6 @@ from lodestone.plans import more, registry
 SF = "/root/testdata/sf0.001"
 
 
-def _kept(text):
-    text = text or ""
-    words, chars, symbols, dup, _, failed = brute.base_rules(text)
-    n_lines = sum(bool(brute.SPACE.search(x)) for x in text.split("\n"))
-    up, letters = sum("A" <= c <= "Z" for c in text), sum(c.isascii() and c.isalpha() for c in text)
-    return not (failed or 10 * symbols > words or chars < 2 * words or chars > 12 * words or 10 * dup > 6 * max(n_lines, 1) or 10 * up > 6 * max(letters, 1))
-
-
 def _fixture():
     """Documents of which every stage drops some, and benchmark items."""
     r = random.Random(17)
@@ -42,7 +34,7 @@ def test_run_against_plain_versions(spark, tmp_path):
     docs, items = _fixture()
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    good = [(d, t) for d, t in docs if _kept(t)]
+    good = [(d, t) for d, t in docs if brute.passes(t)]
     fewer = [(d, t) for d, n, t in brute.fewer_lines(good, lines.SHORT_WIDTH) if n == 0 or brute.SPACE.search(t)]
     stays = {d for d, _, _, kept in brute.near(fewer) if kept}
     single = [(d, t) for d, t in fewer if d in stays]
