@@ -12,11 +12,12 @@ an equal beginning elsewhere:
    settles its windows at once; anchors of one document alone are dropped.
 2. *Suffixes.*  What is left are windows around anchors that documents share
    while the surroundings differ.  Their suffixes, cut at ``WIDTH`` bytes, are
-   range-partitioned by their leading eight bytes with splitters from a bounded
+   range-partitioned by their bytes with splitters from a bounded
    sample, sorted in each bucket by multikey quicksort on words of eight bytes,
    and compared with their neighbours: in a run of equal suffixes all but those
-   of the smallest document are marked.  Splitters lie between different
-   leading words, so runs never cross a boundary.
+   of the smallest document are marked.  Splitters are whole strings of ``WIDTH``
+   bytes, so a beginning that very many suffixes share is cut as finely as any,
+   and equal strings fall on one side of a boundary.
 
 Both steps first resolve equal strings inside a task and send only those of the
 task's smallest document, so a passage that a third of all documents share
@@ -32,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import by_bytes, collect_garbage, partitions, staged, text_buffers, unstage
+from .common import by_bytes, collect_garbage, pack, partitions, runs, staged, text_buffers, unpack, unstage
 
 WIDTH, GRAM = 50, 16
 LEFT = WIDTH - GRAM  # windows around an anchor start up to so many bytes before it
@@ -47,7 +49,6 @@ SAMPLE_DOCS = 400
 PAD = 0xFF  # no byte of UTF-8
 
 _P = 0x9E3779B97F4A7C15
-_codec = pa.Codec("zstd", 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,25 +72,6 @@ def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(x[: len(x) - (w - n)], x[w - n :]) if n < w else x
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    parts = []
-    for a in arrays:
-        raw = np.ascontiguousarray(a).view(np.uint8).ravel()
-        squeezed = _codec.compress(raw, asbytes=True) if len(raw) else b""
-        parts.append(np.array([len(raw), len(squeezed)], np.int64).tobytes() + squeezed)
-    return b"".join(parts)
-
-
-def _unpack(blob: bytes, *types) -> list[np.ndarray]:
-    out, at = [], 0
-    for t in types:
-        n, m = np.frombuffer(blob, np.int64, 2, at)
-        at += 16
-        out.append(np.frombuffer(_codec.decompress(blob[at : at + m], int(n)), t) if n else np.zeros(0, t))
-        at += int(m)
-    return out
-
-
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, position, hash, hash of the surroundings and the hashes (one byte each) of
     the nearer left and right of every anchor."""
@@ -127,15 +109,6 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, p - at[row], key[p], around, near_left.astype(np.uint8), near_right.astype(np.uint8)
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal keys (given in sorted order) begins."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 def _least(doc: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Smallest document of each entry's run."""
     return np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(doc) else doc
@@ -143,13 +116,20 @@ def _least(doc: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 #: What a shuffled row holds: a pack for a bucket, or finished marks.
 PACKED = "bucket int, pack binary"
-MARKS = "doc_id bigint, pos int, kind int"
+MARKS = "doc_id bigint, tag int, pos int, kind int"
 COVERED, TRY_LEFT, TRY_RIGHT, WINDOW = 0, 1, 2, 4  # kinds of marks; TRY_* may be added up
 
 
+def _place(pos: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A position with the tag of its text (0 but for texts that share a ``doc_id``) above it."""
+    return pos.astype(np.uint64) | (tag.astype(np.uint64) << np.uint64(32))
+
+
 def _marks(doc: np.ndarray, pos: np.ndarray, kind) -> pa.RecordBatch:
     kind = np.broadcast_to(np.asarray(kind, np.int32), len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.ascontiguousarray(kind))], ["doc_id", "pos", "kind"])
+    pos = pos.astype(np.uint64)
+    tag, pos = (pos >> np.uint64(32)).astype(np.int32), (pos & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(tag), pa.array(pos), pa.array(np.ascontiguousarray(kind))], ["doc_id", "tag", "pos", "kind"])
 
 
 def _spread(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -160,12 +140,12 @@ def _pack_anchors(parts: list[tuple[np.ndarray, ...]], buckets: int) -> list[tup
     doc, pos, key, around, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, around, key))
     doc, pos, key, around, lo, hi = (x[order] for x in (doc, pos, key, around, lo, hi))
-    keep = doc == _least(doc, _runs(key, around))
+    keep = doc == _least(doc, runs(key, around))
     out = []
     if (~keep).any():  # settled inside the task
         gone = doc[~keep]
         ids, at = np.unique(gone, return_inverse=True)
-        out.append((-1 - int(ids[0] % buckets), _pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[~keep].astype(np.uint32))))
+        out.append((-1 - int(ids[0] % buckets), pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[~keep])))
     doc, pos, key, around, lo, hi = (x[keep] for x in (doc, pos, key, around, lo, hi))
     bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -173,7 +153,7 @@ def _pack_anchors(parts: list[tuple[np.ndarray, ...]], buckets: int) -> list[tup
         s = slice(cuts[b], cuts[b + 1])
         if s.start < s.stop:
             ids, at = np.unique(doc[s], return_inverse=True)
-            out.append((b, _pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[s].astype(np.uint32), np.diff(key[s], prepend=np.uint64(0)), around[s], lo[s], hi[s])))
+            out.append((b, pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[s], np.diff(key[s], prepend=np.uint64(0)), around[s], lo[s], hi[s])))
     return out
 
 
@@ -181,12 +161,12 @@ def _shared(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Marks of one hash range: settled anchors, and those whose suffixes have to be sorted."""
     parts = []
     for p in packs:
-        ids, at, pos, key, around, lo, hi = _unpack(p, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint8, np.uint8)
+        ids, at, pos, key, around, lo, hi = unpack(p, np.int64, np.uint32, np.uint64, np.uint64, np.uint64, np.uint8, np.uint8)
         parts.append((np.cumsum(ids)[at], pos, np.cumsum(key, dtype=np.uint64), around, lo, hi))
     doc, pos, key, around, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key, kind="stable")
     doc, pos, key, around, lo, hi = (x[order] for x in (doc, pos, key, around, lo, hi))
-    new = _runs(key)
+    new = runs(key)
     begin = np.flatnonzero(new)
     several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[np.cumsum(new) - 1]
     doc, pos, key, around, lo, hi = (x[several] for x in (doc, pos, key, around, lo, hi))
@@ -194,13 +174,13 @@ def _shared(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
         return
     order = np.lexsort((doc, around, key))
     doc, pos, key, around, lo, hi = (x[order] for x in (doc, pos, key, around, lo, hi))
-    first = doc == _least(doc, _runs(key, around))
+    first = doc == _least(doc, runs(key, around))
     yield _marks(doc[~first], pos[~first], COVERED)
     doc, pos, key, lo, hi = (x[first] for x in (doc, pos, key, lo, hi))
     kind = np.zeros(len(doc), np.int32)
     for near, bit in ((lo, TRY_LEFT), (hi, TRY_RIGHT)):
         order = np.lexsort((near, key))
-        new = _runs(key[order], near[order])
+        new = runs(key[order], near[order])
         begin = np.flatnonzero(new)
         d = doc[order]
         kind[order] |= bit * (np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin))[np.cumsum(new) - 1]
@@ -239,27 +219,27 @@ def _words(strings: np.ndarray) -> np.ndarray:
 
 
 def _sorted(strings: np.ndarray, doc: np.ndarray, pos: np.ndarray):
-    """Suffixes in order, their leading words, and the smallest document of each run of equal ones."""
+    """Suffixes in order, and the smallest document of each run of equal ones."""
     words = _words(strings)
     order = multikey_order(words)
     words = words[order]
-    new = _runs(*words.T)
-    return strings[order], doc[order], pos[order], words[:, 0], _least(doc[order], new)
+    new = runs(*words.T)
+    return strings[order], doc[order], pos[order], _least(doc[order], new)
 
 
 def _pack_suffixes(strings: np.ndarray, doc: np.ndarray, pos: np.ndarray, splitters: np.ndarray) -> list[tuple[int, bytes]]:
-    strings, doc, pos, lead, least = _sorted(strings, doc, pos)
+    strings, doc, pos, least = _sorted(strings, doc, pos)
     out, keep = [], doc == least
     if (~keep).any():
         ids, at = np.unique(doc[~keep], return_inverse=True)
-        out.append((-1 - int(ids[0] % (len(splitters) + 1)), _pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[~keep].astype(np.uint32))))
-    strings, doc, pos, lead = strings[keep], doc[keep], pos[keep], lead[keep]
-    cuts = [0, *np.searchsorted(lead, splitters, "left").tolist(), len(lead)]
+        out.append((-1 - int(ids[0] % (len(splitters) + 1)), pack(np.diff(ids, prepend=0), at.astype(np.uint32), pos[~keep])))
+    strings, doc, pos = np.ascontiguousarray(strings[keep]), doc[keep], pos[keep]
+    cuts = [0, *np.searchsorted(strings.view(f"S{WIDTH}").ravel(), splitters, "left").tolist(), len(doc)]
     for b in range(len(cuts) - 1):
         s = slice(cuts[b], cuts[b + 1])
         if s.start < s.stop:
             ids, at = np.unique(doc[s], return_inverse=True)
-            out.append((b, _pack(strings[s], np.diff(ids, prepend=0), at.astype(np.uint32), pos[s].astype(np.uint32))))
+            out.append((b, pack(strings[s], np.diff(ids, prepend=0), at.astype(np.uint32), pos[s])))
     return out
 
 
@@ -267,9 +247,9 @@ def _compared(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Marks of one bucket of the suffix array."""
     parts = []
     for p in packs:
-        strings, ids, at, pos = _unpack(p, np.uint8, np.int64, np.uint32, np.uint32)
+        strings, ids, at, pos = unpack(p, np.uint8, np.int64, np.uint32, np.uint64)
         parts.append((strings.reshape(-1, WIDTH), np.cumsum(ids)[at], pos))
-    _, doc, pos, _, least = _sorted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    _, doc, pos, least = _sorted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     yield _marks(doc[doc > least], pos[doc > least], WINDOW)
 
 
@@ -281,7 +261,7 @@ def _reduce(packed: DataFrame, solve, settled_kind: int) -> DataFrame:
         out = []
         if bucket < 0:
             for p in packs:
-                ids, at, pos = _unpack(p, np.int64, np.uint32, np.uint32)
+                ids, at, pos = unpack(p, np.int64, np.uint32, np.uint64)
                 out.append(_marks(np.cumsum(ids)[at], pos, settled_kind))
         else:
             out = list(solve(packs))
@@ -290,35 +270,63 @@ def _reduce(packed: DataFrame, solve, settled_kind: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, MARKS)
 
 
-def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Leading words that cut the suffixes of a bounded sample into even ranges."""
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__tag``: 0, or a number for each of several texts that share a ``doc_id``."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h")).where(F.col("doc_id").isNotNull())
+    several = staged(keyed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("lo") < F.col("hi")).select("doc_id"), "suffixes-shared-ids")
+    if several.isEmpty():
+        unstage(several)
+        return docs.withColumn("__tag", F.lit(0))
+    tag = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    tags = staged(keyed.join(several, "doc_id", "left_semi").distinct().withColumn("tag", tag), "suffixes-tags").select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), "tag")
+    return docs.join(tags, (docs["doc_id"] == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__g")), "left").withColumn("__tag", F.coalesce("tag", F.lit(0))).drop("__d", "__g", "tag")
+
+
+def _windows(text: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Starts of a text's windows around anchors ``p`` of the kinds ``k``."""
+    left, right = np.arange(HALF, LEFT + 1), np.arange(0, HALF)
+    starts = np.unique(np.concatenate([(p[k & TRY_LEFT > 0][:, None] - left).ravel(), (p[k & TRY_RIGHT > 0][:, None] - right).ravel()]))
+    return starts[(starts >= 0) & (starts <= len(text) - WIDTH)]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows that are to be sorted, their documents and places, of ``doc_id, __tag, text, tries``."""
+    for b in by_bytes(batches, "text"):
+        data, offs = text_buffers(b.column(2))
+        lists = b.column(3)
+        at = lists.offsets.to_numpy()
+        p_all, k_all = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "kind"))
+        ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for i in range(b.num_rows):
+            text = data[offs[i] : offs[i + 1]]
+            starts = _windows(text, p_all[at[i] : at[i + 1]], k_all[at[i] : at[i + 1]])
+            if len(starts):
+                yield np.lib.stride_tricks.sliding_window_view(text, WIDTH)[starts], np.full(len(starts), ids[i]), _place(starts, np.full(len(starts), tags[i]))
+
+
+def _splitters(tried: DataFrame, buckets: int) -> np.ndarray:
+    """Strings that cut the windows of a bounded sample of documents into even ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
-            data, offs = text_buffers(b.column(0))
-            starts = np.arange(0, max(len(data) - WIDTH, 0), 37)
-            lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[starts]).view(">u8").ravel() if len(starts) else np.zeros(0, ">u8")
-            lead = np.sort(lead.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(lead[:: max(1, len(lead) // 2000)].view(np.int64))], ["lead"])
+        for strings, _, _ in _candidates(batches):
+            some = np.ascontiguousarray(strings[:: max(1, len(strings) // 50)])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in some], pa.binary())], ["s"])
 
-    found = docs.select("text").limit(SAMPLE_DOCS).mapInArrow(run, "lead bigint").collect()
-    lead = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
-    if not len(lead):
-        return np.zeros(0, np.uint64)
-    return np.unique(lead[(np.arange(1, buckets) * len(lead)) // buckets])
+    found = np.sort(np.array([bytes(r[0]) for r in tried.limit(SAMPLE_DOCS).mapInArrow(run, "s binary").collect()], f"S{WIDTH}"))
+    return np.unique(found[(np.arange(1, buckets) * len(found)) // buckets]) if len(found) else found
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: per document with repeated bytes an array of marks ``pos, kind``."""
+    """``doc_id, tag, marks``: per text with repeated bytes an array of marks ``pos, kind``; ``docs`` has ``__tag``."""
     spark = docs.sparkSession
-    src = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
+    src = docs.select("doc_id", "__tag", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
     buckets = 4 * partitions(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in by_bytes(batches, "text", ANCHOR_BYTES):
-            row, pos, key, around, lo, hi = anchors(*text_buffers(b.column(1)))
-            parts.append((b.column(0).to_numpy()[row], pos, key, around, lo, hi))
+            row, pos, key, around, lo, hi = anchors(*text_buffers(b.column(2)))
+            parts.append((b.column(0).to_numpy()[row], _place(pos, b.column(1).to_numpy()[row]), key, around, lo, hi))
             held += len(row)
             if held >= FLUSH_ANCHORS:
                 yield _spread(_pack_anchors(parts, buckets))
@@ -329,39 +337,24 @@ def repeated(docs: DataFrame) -> DataFrame:
     marks = staged(_reduce(src.mapInArrow(find, PACKED), _shared, COVERED), "suffixes-anchors")
     collect_garbage(spark)
 
-    splitters = _splitters(src, buckets)
-    tries = marks.where(F.col("kind") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kind")).alias("tries"))
-    left, right = np.arange(HALF, LEFT + 1), np.arange(0, HALF)
+    tries = marks.where(F.col("kind") > 0).groupBy("doc_id", F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("pos", "kind")).alias("tries"))
+    tried = src.join(tries, ["doc_id", "__tag"]).select("doc_id", "__tag", "text", "tries")
+    splitters = _splitters(tried, buckets)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, docs_, poss, held = [], [], [], 0
-        for b in by_bytes(batches, "text"):
-            data, offs = text_buffers(b.column(1))
-            lists = b.column(2)
-            at = lists.offsets.to_numpy()
-            p_all, k_all = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "kind"))
-            ids = b.column(0).to_numpy()
-            for i in range(b.num_rows):
-                p, k = p_all[at[i] : at[i + 1]], k_all[at[i] : at[i + 1]]
-                starts = np.unique(np.concatenate([(p[k & TRY_LEFT > 0][:, None] - left).ravel(), (p[k & TRY_RIGHT > 0][:, None] - right).ravel()]))
-                n = int(offs[i + 1] - offs[i])
-                starts = starts[(starts >= 0) & (starts <= n - WIDTH)]
-                if not len(starts):
-                    continue
-                strings.append(np.lib.stride_tricks.sliding_window_view(data[offs[i] : offs[i + 1]], WIDTH)[starts])
-                docs_.append(np.full(len(starts), ids[i]))
-                poss.append(starts)
-                held += len(starts)
-                if held >= FLUSH_SUFFIXES:
-                    yield _spread(_pack_suffixes(np.concatenate(strings), np.concatenate(docs_), np.concatenate(poss), splitters))
-                    strings, docs_, poss, held = [], [], [], 0
+        parts, held = [], 0
+        for part in _candidates(batches):
+            parts.append(part)
+            held += len(part[1])
+            if held >= FLUSH_SUFFIXES:
+                yield _spread(_pack_suffixes(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters))
+                parts, held = [], 0
         if held:
-            yield _spread(_pack_suffixes(np.concatenate(strings), np.concatenate(docs_), np.concatenate(poss), splitters))
+            yield _spread(_pack_suffixes(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters))
 
-    packed = src.join(tries, "doc_id").select("doc_id", "text", "tries").mapInArrow(windows, PACKED)
-    more = staged(_reduce(packed, _compared, WINDOW), "suffixes-windows")
+    more = staged(_reduce(tried.mapInArrow(windows, PACKED), _compared, WINDOW), "suffixes-windows")
     collect_garbage(spark)
-    return marks.where(F.col("kind") == COVERED).unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kind")).alias("marks"))
+    return marks.where(F.col("kind") == COVERED).unionByName(more).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "kind")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -369,13 +362,14 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     ``n_spans``, ``kept_sha256``; on request the ``kept`` bytes.
 
     Null text counts as empty; texts of fewer than ``WIDTH`` bytes lose nothing;
-    rows without ``doc_id`` neither give nor take; a ``doc_id`` names one text
-    (rows that repeat both lose the same bytes); an empty table gives an empty
-    result.
+    rows without ``doc_id`` neither give nor take; rows that repeat ``doc_id`` and
+    text lose the same bytes, texts that share a ``doc_id`` neither give nor take
+    between them; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    found = repeated(docs).withColumnRenamed("doc_id", "__id")
-    src = docs.select(F.col("doc_id").alias("__id"), *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).join(found, "__id", "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "marks")
+    tagged = _tagged(docs.select("doc_id", *[F.col(f"`{c}`").alias(f"__keep{k}") for k, c in enumerate(keep)], "text"))
+    found = repeated(tagged).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    src = tagged.select(F.col("doc_id").alias("__id"), "__tag", *[F.col(f"__keep{k}").alias(c) for k, c in enumerate(keep)], F.col("text").alias("__text")).join(found, ["__id", "__tag"], "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = len(keep)

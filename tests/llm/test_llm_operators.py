@@ -107,6 +107,22 @@ def test_suffixes(corpus):
     assert rows(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(docs)
 
 
+def test_suffixes_of_texts_that_share_an_id(spark):
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared, own = prose(120), prose(300)
+    docs = [(1, shared + prose(80)), (2, own + shared), (2, prose(50) + own), (2, prose(50) + own), (3, own)]
+    got = sorted((x.n_bytes, x.doc_id, x.n_removed) for x in suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert [(d, n) for _, d, n in got] == [(1, 0), (3, 300), (2, 0), (2, 0), (2, 120)]
+
+
+def test_suffixes_with_one_beginning(spark):
+    """Very many strings that share their first words, cut between buckets all the same."""
+    docs = [(i, "the same eight words stand before every line of it " + f"{i % 40:03d} and then something else, different {i % 7} times over") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(docs)
+
+
 def test_decontaminate(spark, corpus):
     df, docs = corpus
     items = [tuple(x) for x in table(spark, SF, "benchmark").collect()] + [(900, "one two"), (901, None), (902, ""), (903, " ".join((docs[5][1] or "a b").split()[:40]) if docs else "q")]
