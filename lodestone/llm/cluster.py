@@ -28,6 +28,8 @@ from .components import components
 
 #: Entries (key, vertex) that a task resolves and packs at once.
 FLUSH = 600_000
+#: Low bits of a key that are left out, so that a vertex's place has room there (2**16 vertices a flush at most).
+DROPPED_BITS = 16
 #: Members, and bytes of their sets, of a block of a large bucket; what small buckets are gathered to.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Shingles that so few members share are counted pair by pair, others by a matrix product.
@@ -41,20 +43,18 @@ Signed = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndar
 Load = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def _resolve(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the entries by key, the hub of each (its bucket's smallest member) and the size of its bucket."""
-    order = np.argsort(key, kind="stable")
-    key, v = key[order], v[order]
-    begin = np.flatnonzero(runs(key))
-    size = np.diff(np.append(begin, len(key)))
-    hub = np.minimum.reduceat(v, begin) if len(begin) else v
-    return key, v, np.repeat(hub, size), np.repeat(size, size)
-
-
 def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.RecordBatch:
     keys, v = np.concatenate(keys), np.concatenate(vs)
     _, once = np.unique(keys[:, 0] + v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)  # a vertex that came twice has the same keys
-    key, v, hub, size = _resolve(keys[once].ravel(), np.repeat(v[once], keys.shape[1]))
+    keys, v = keys[once], v[once]
+    # sorted as one number: a key without its last bits, and there the vertex's place
+    bits = np.uint64(max(1, (len(v) - 1).bit_length()))
+    key = np.sort(((keys >> bits << bits) | np.arange(len(v), dtype=np.uint64)[:, None]).ravel())
+    v = v[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+    key = key >> np.uint64(DROPPED_BITS) << np.uint64(DROPPED_BITS)
+    begin = np.flatnonzero(runs(key))
+    size = np.diff(np.append(begin, len(key)))
+    hub, size = np.repeat(np.minimum.reduceat(v, begin), size), np.repeat(size, size)
     rest = v != hub
     out = []
     if rest.any():  # known to have a mate; sent to be written, not to be compared
@@ -64,7 +64,7 @@ def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.Reco
     cuts = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[p], cuts[p + 1])
-        out.append((int(p), pack(np.diff(key[s], prepend=np.uint64(0)), v[s], held[s].astype(np.uint8))))
+        out.append((int(p), pack(np.diff(key[s] >> np.uint64(DROPPED_BITS), prepend=np.uint64(0)), v[s], held[s].astype(np.uint8))))
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "pack"])
 
 
@@ -78,15 +78,26 @@ def _meet(t: pa.Table) -> pa.Table:
         keys, vs, helds = [], [], []
         for p in packs:
             k, v, h = unpack(p, np.uint64, np.int64, np.uint8)
-            keys.append(np.cumsum(k, dtype=np.uint64))
+            keys.append(np.cumsum(k, dtype=np.uint64) << np.uint64(DROPPED_BITS))
             vs.append(v)
             helds.append(h)
         key, v, held = np.concatenate(keys), np.concatenate(vs), np.concatenate(helds) > 0
         order = np.argsort(key, kind="stable")
-        held = held[order]
-        key, v, hub, size = _resolve(key, v)
+        key, held = key[order], held[order]
+        same = key[1:] == key[:-1]
+        some = held.copy()
+        some[1:] |= same
+        some[:-1] |= same
+        key, v, held = key[some], v[order[some]], held[some]  # most keys are one vertex's alone
+        order = np.lexsort((v, key))
+        key, v, held = key[order], v[order], held[order]
+        once = np.flatnonzero(runs(key, v))  # a vertex may have been signed by several tasks
+        held = np.logical_or.reduceat(held, once) if len(once) else held
+        key, v = key[once], v[once]
         begin = np.flatnonzero(runs(key))
-        held = np.repeat(np.logical_or.reduceat(held, begin), size[begin]) if len(begin) else held
+        size = np.diff(np.append(begin, len(key)))
+        hub, held = np.repeat(v[begin], size), np.repeat(np.logical_or.reduceat(held, begin), size) if len(begin) else held
+        size = np.repeat(size, size)
         pair = (size == 2) & ~held
         shared = ((size > 1) | held) & ~(pair & (v == hub))
         key, v, hub, pair = key[shared].view(np.int64), v[shared], hub[shared], pair[shared]
@@ -107,7 +118,7 @@ def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
             ks.append(k)
             vs.append(v)
             n += k.size
-            if n >= FLUSH:
+            if n >= FLUSH or sum(map(len, vs)) >= 1 << (DROPPED_BITS - 1):
                 yield _spread(ks, vs, parts)
                 ks, vs, n = [], [], 0
         if n:
