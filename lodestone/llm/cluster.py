@@ -37,8 +37,8 @@ FEW = 12
 #: Members of a bucket up to which its pairs are compared one by one, together with those of other buckets.
 SMALL = 32
 
-#: Band keys (a row per vertex, a column per band) and the vertices of batches.
-Signed = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
+#: Band keys (a row per vertex, a column per band) and the vertices of batches, and packs that ride along (part, bytes).
+Signed = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]]]
 #: Distinct shingle hashes of a column of sets, and their offsets.
 Load = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -65,12 +65,19 @@ def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.Reco
     for p in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[p], cuts[p + 1])
         out.append((int(p), pack(np.diff(key[s] >> np.uint64(DROPPED_BITS), prepend=np.uint64(0)), v[s], held[s].astype(np.uint8))))
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "pack"])
+    return pa.RecordBatch.from_arrays([pa.array([False] * len(out)), pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["rides", "part", "pack"])
+
+
+MATES = "bucket bigint, v bigint, hub bigint, part int, pack binary"
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """``bucket, v, hub`` of one range of keys; of a bucket of two only the pair, without ``bucket``."""
+    """``bucket, v, hub`` of one range of keys; of a bucket of two only the pair, without ``bucket``; what rides along as it is."""
     part, packs = t["part"][0].as_py(), t["pack"].to_pylist()
+    if t["rides"][0].as_py():
+        n = len(packs)
+        none = pa.nulls(n, pa.int64())
+        return pa.table({"bucket": none, "v": none, "hub": none, "part": pa.array([part] * n, pa.int32()), "pack": pa.array(packs, pa.binary())})
     if part < 0:
         key, v, hub = (np.concatenate(x) for x in zip(*(unpack(p, np.int64, np.int64, np.int64) for p in packs), strict=True))
         pair = np.zeros(len(key), bool)
@@ -101,20 +108,26 @@ def _meet(t: pa.Table) -> pa.Table:
         pair = (size == 2) & ~held
         shared = ((size > 1) | held) & ~(pair & (v == hub))
         key, v, hub, pair = key[shared].view(np.int64), v[shared], hub[shared], pair[shared]
-    return pa.table({"bucket": pa.array(key, pa.int64(), mask=pair), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64())})
+    n = len(key)
+    return pa.table({"bucket": pa.array(key, pa.int64(), mask=pair), "v": pa.array(v, pa.int64()), "hub": pa.array(hub, pa.int64()), "part": pa.nulls(n, pa.int32()), "pack": pa.nulls(n, pa.binary())})
 
 
 def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
     """``bucket, v, hub`` of the buckets that two vertices or more share, without ``bucket`` where they are two.
 
     ``signed`` turns batches of ``rows`` into band keys and vertices; a vertex
-    may come more than once.
+    may come more than once.  Packs that ride along come back as rows ``part,
+    pack``, without the other columns.
     """
     parts = 4 * partitions(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, vs, n = [], [], 0
-        for k, v in signed(batches):
+        for k, v, extra in signed(batches):
+            if extra:
+                yield pa.RecordBatch.from_arrays([pa.array([True] * len(extra)), pa.array([p for p, _ in extra], pa.int32()), pa.array([x for _, x in extra], pa.binary())], ["rides", "part", "pack"])
+            if not len(v):
+                continue
             ks.append(k)
             vs.append(v)
             n += k.size
@@ -124,8 +137,8 @@ def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
         if n:
             yield _spread(ks, vs, parts)
 
-    packed = rows.mapInArrow(run, "part int, pack binary")
-    return staged(packed.groupBy("part").applyInArrow(_meet, "bucket bigint, v bigint, hub bigint"), "cluster-mates")
+    packed = rows.mapInArrow(run, "rides boolean, part int, pack binary")
+    return staged(packed.groupBy("rides", "part").applyInArrow(_meet, MATES), "cluster-mates")
 
 
 def pair_counts(flat: np.ndarray, offs: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -231,6 +244,8 @@ def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
     x, y = x[apart], y[apart]
     _, once = np.unique(np.minimum(row[x], row[y]) * len(first) + np.maximum(row[x], row[y]), return_index=True)
     x, y = x[once], y[once]
+    fits = 100 * np.minimum(size[row[x]], size[row[y]]) >= percent * np.maximum(size[row[x]], size[row[y]])  # the intersection is no larger than either set
+    x, y = x[fits], y[fits]
     both = pair_counts(flat, offs, row[x], row[y])
     near = (both > 0) & (100 * both >= percent * (size[row[x]] + size[row[y]] - both))
     link(x[near], y[near])

@@ -46,7 +46,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     that survives lost executors.
 
     Once the table is there its shuffle files serve nothing, so Spark drops them
-    at the end of the write and not at some later garbage collection.
+    at the end of the write and not at some later garbage collection.  What no
+    caller deletes before goes when the driver ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -56,6 +57,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

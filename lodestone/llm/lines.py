@@ -33,16 +33,16 @@ HASHES, ROWS = 256, 8
 #: A line of fewer shingles has one hash function for each place of its signature, one of more has one
 #: function for all places.  As similar sets differ by a fifth in size at most, what lies within that of
 #: the bound is signed both ways; so is a long line of so few different shingles that it fills fewer bins
-#: than ``5 * LONG / 4`` would (119 of 256, with a deviation of 6).
-LONG, FEW_BINS = 128, 145
+#: than ``5 * LONG / 4`` would (76 of 256, with a deviation of 5).
+LONG, FEW_BINS = 72, 100
 #: Lines that a task resolves and packs at once.
-FLUSH = 300_000
+FLUSH = 200_000
 #: Bytes of text whose lines are found or signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
 
 _rng = np.random.default_rng(9)
 _ODD = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32) | np.uint32(1)
-_STEP = _rng.integers(0, 1 << 32, 2 * HASHES) | 1  # where an empty bin borrows
+_LENDERS = _rng.permuted(np.tile(np.arange(HASHES), (HASHES, 1)), axis=1).T.copy()  # from which bins an empty one borrows, in order
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -67,8 +67,9 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         end[:-1] = np.where(row[1:] == row[:-1], begin[1:] - 1, offs[row[:-1] + 1])
         end[-1] = offs[row[-1] + 1]
     number = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] if len(row) else np.zeros(0, np.int64)
-    ink = np.concatenate([[0], np.cumsum(~_SPACE[data])])
-    return row, number, begin, end, ink[end] > ink[begin]
+    # lines lie one after the other, so what follows a line's begin up to the next is the line and its break
+    ink = np.logical_or.reduceat(np.append(~_SPACE[data], False), begin) & (end > begin) if len(begin) else np.zeros(0, bool)
+    return row, number, begin, end, ink
 
 
 def line_ids(raw: memoryview, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +154,18 @@ def binned(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, n
     none = np.uint32(0xFFFFFFFF)
     own = np.full(len(lo) * HASHES, none)
     np.minimum.at(own, row * HASHES + (e >> np.uint32(shift)), e & np.uint32((1 << shift) - 1))
-    own = own.reshape(-1, HASHES)
     out = own.copy()
-    r, c = np.nonzero(own == none)
-    filled = HASHES - np.bincount(r, minlength=len(lo))
-    k = 0
-    while len(r):
-        got = own[r, (_STEP[c] + k * _STEP[HASHES + c] >> 7) % HASHES]
-        out[r, c] = got
-        r, c = r[got == none], c[got == none]
+    empty = np.flatnonzero(own == none)
+    filled = HASHES - np.bincount(empty // HASHES, minlength=len(lo))
+    bin_, k = empty % HASHES, 0
+    base = empty - bin_
+    while len(empty):
+        got = own[base + _LENDERS[k][bin_]]
+        out[empty] = got
+        left = got == none
+        empty, base, bin_ = empty[left], base[left], bin_[left]
         k += 1
-    return out, filled
+    return out.reshape(-1, HASHES), filled
 
 
 def band_keys(sig: np.ndarray, salt: int) -> np.ndarray:
@@ -205,37 +207,45 @@ def _in_order(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [doc, h, line, v, w], runs(v, w)
 
 
-def _spread(rows: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+def _packed_classes(rows: list[tuple[np.ndarray, ...]], parts: int) -> list[tuple[int, bytes]]:
+    """Packs of lines by range of their hash; lower than 0 the lines that have an equal one before them in this task."""
     columns, first = _in_order(*(np.concatenate(x) for x in zip(*rows, strict=True)))
     out = []
-    if not first.all():  # an equal line comes before: sent to be marked, not to be compared
+    if not first.all():  # sent to be marked, not to be compared
         out.append((-1 - int(columns[0][0] % parts), pack(*(x[~first] for x in columns))))
     columns = [x[first] for x in columns]
     cuts = np.searchsorted(_part(columns[3], parts), np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         out.append((int(p), pack(*(x[cuts[p] : cuts[p + 1]] for x in columns))))
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "pack"])
-
+    return out
 
-def _classes(docs: DataFrame, mates: DataFrame) -> DataFrame:
-    """``first, doc_id, h, line, v, w``: the first line of the classes in ``mates`` (``v``), and of all classes the lines that are not the first."""
-    parts = 4 * partitions(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n = [], 0
-        for b in by_bytes(batches, "text", BAND_BYTES):
-            data, offs = text_buffers(b.column(2))
-            row, number, begin, end, ink = line_spans(data, offs)
-            row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
-            v, w = line_ids(memoryview(np.ascontiguousarray(data)), begin, end)
-            doc, h = (b.column(k).to_numpy()[row] for k in (0, 1))
-            rows.append((doc, h, number.astype(np.int32), v, w))
-            n += len(v)
-            if n >= FLUSH:
-                yield _spread(rows, parts)
-                rows, n = [], 0
-        if n:
-            yield _spread(rows, parts)
+def _signed(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]]:
+    """Band keys and ids of the lines of ``doc_id, h, text``, each line once a chunk, and packs of all lines."""
+    rows, n = [], 0
+    for b in by_bytes(batches, "text", BAND_BYTES):
+        data, offs = text_buffers(b.column(2))
+        data = np.ascontiguousarray(data)
+        row, number, begin, end, ink = line_spans(data, offs)
+        row, number, begin, end = row[ink], number[ink], begin[ink], end[ink]
+        if not len(begin):
+            continue
+        v, w = line_ids(memoryview(data), begin, end)
+        rows.append((b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], number.astype(np.int32), v, w))
+        n += len(v)
+        long = np.flatnonzero(end - begin >= width)
+        first = long[np.unique(v[long], return_index=True)[1]] if len(long) else long
+        keys, line = signed_lines(data, begin[first], end[first], width)
+        packs = []
+        if n >= FLUSH:
+            packs, rows, n = _packed_classes(rows, parts), [], 0
+        yield keys, v[first][line], packs
+    if rows:
+        yield np.zeros((0, HASHES // ROWS), np.uint64), np.zeros(0, np.int64), _packed_classes(rows, parts)
+
+
+def _classes(mates: DataFrame, parts: int) -> DataFrame:
+    """``first, doc_id, h, line, v, w``: the first line of the classes that have mates, and of all classes the lines that are not the first."""
 
     def meet(packed: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = [unpack(p, np.int64, np.int64, np.int32, np.int64, np.int64) for p in packed["pack"].to_pylist()]
@@ -251,26 +261,12 @@ def _classes(docs: DataFrame, mates: DataFrame) -> DataFrame:
         doc, h, line, v, w = (x[keep] for x in columns)
         return pa.table({"first": pa.array(first[keep]), "doc_id": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "line": pa.array(line, pa.int32()), "v": pa.array(v, pa.int64()), "w": pa.array(w, pa.int64())})
 
-    packed = _keyed(docs).mapInArrow(run, "part int, pack binary")
+    packed = mates.where(F.col("pack").isNotNull()).select("part", "pack")
     part = F.shiftrightunsigned(F.shiftrightunsigned("v", 32) * F.lit(parts), 32).cast("int")
-    wanted = vertices_of(mates).select(part.alias("part"), "v")
+    wanted = vertices_of(mates.where(F.col("pack").isNull())).select(part.alias("part"), "v")
     return packed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(meet, "first boolean, doc_id bigint, h bigint, line int, v bigint, w bigint")
 
 
-def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Band keys and ids of the lines of ``text``, each line once a chunk."""
-    for b in by_bytes(batches, "text", BAND_BYTES):
-        data, offs = text_buffers(b.column(0))
-        data = np.ascontiguousarray(data)
-        _, _, begin, end, ink = line_spans(data, offs)
-        long = ink & (end - begin >= width)
-        begin, end = begin[long], end[long]
-        if len(begin):
-            v, first = np.unique(line_ids(memoryview(data), begin, end)[0], return_index=True)
-            keys, line = signed_lines(data, begin[first], end[first], width)
-            yield keys, v[line]
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``v, items`` (the lines) of lines given by ``doc_id, h, lines`` (an array of ``line, v``)."""
     here = bloom_filter(wanted.select(F.xxhash64("doc_id", "h").alias("key")))  # documents without such a line are not shuffled
@@ -327,15 +323,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 def removals(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, h, gone, fuzzy``: numbers of the lines to remove, and how many only resemble what stays."""
     spark = docs.sparkSession
-    mates = bucket_mates(docs.where(F.col("doc_id").isNotNull()).select("text"), lambda batches: _signed(batches, width))
-    classes = staged(_classes(docs, mates), "lines-classes")
+    parts = 4 * partitions(spark)
+    whole = bucket_mates(_keyed(docs), lambda batches: _signed(batches, width, parts))
+    mates = whole.where(F.col("pack").isNull())
+    classes = staged(_classes(whole, parts), "lines-classes")
     collect_garbage(spark)
     first = classes.where("first").select("v", "w", F.struct("doc_id", "h", "line").alias("first"))
     wanted = staged(first.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "v")).alias("lines")), "lines-wanted")
     texts = staged(_texts(docs, wanted), "lines-texts")
     collect_garbage(spark)
     label = cluster(mates, lambda pairs: _confirm(pairs, texts, percent, width), texts, lambda col: line_sets(col, width), percent)
-    unstage(texts, mates, wanted)
+    unstage(texts, whole, wanted)
     collect_garbage(spark)
     # of a component the first line stays; the classes of all others lose theirs as well
     linked = first.join(label, "v")

@@ -170,14 +170,14 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch binary")
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """One key per band of each sketch of ``v, sketch``."""
     for b in batches:
         k = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
         key = np.zeros(k.shape[:2], np.uint64) + np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64)
         for r in range(ROWS):
             key = mix(key * _P + k[:, :, r].astype(np.uint64))
-        yield key, b.column(0).to_numpy()
+        yield key, b.column(0).to_numpy(), []
 
 
 def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:

@@ -354,7 +354,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     more = staged(_reduce(tried.mapInArrow(windows, PACKED), _compared, WINDOW), "suffixes-windows")
     collect_garbage(spark)
-    return marks.where(F.col("kind") == COVERED).unionByName(more).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "kind")).alias("marks"))
+    found = staged(marks.where(F.col("kind") == COVERED).unionByName(more).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "kind")).alias("marks")), "suffixes-found")
+    unstage(marks, more)
+    return found
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:

@@ -238,8 +238,8 @@ _arrow = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
-    Shard totals (one row per shard) are summed up in order; the documents'
-    own rows never meet in one task.
+    Totals are summed up in order, first of the files of one writer, then of the
+    writers (one row each); the documents' own rows never meet in one task.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
 
@@ -258,8 +258,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     rows = files.mapInArrow(run, "shard bigint, part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    writers = files.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", before(Window.orderBy("shard"), "total").alias("ahead"))
+    parts = files.select("shard", "part", before(Window.partitionBy("shard").orderBy("part"), "n_tokens").alias("inside"))
+    bases = parts.join(writers, "shard").select("shard", "part", (F.col("ahead") + F.col("inside")).alias("base"))
     return rows.join(bases, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -49,6 +49,18 @@ def test_wavelet(spark, corpus):
     assert rows(wavelet.read_documents(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == brute.encoded(docs)
 
 
+def test_lookup_in_shards(spark):
+    docs = [(i, "the cat and the dog " * (i % 5)) for i in range(40)]
+    path = new_path(spark, "wavelet-lookup")
+    wavelet.write_shards(spark.createDataFrame(docs, "doc_id bigint, text string"), vocabulary("byte_bpe_50k.json"), path, shard_tokens=100)
+    t = brute.tokenizer("byte_bpe_50k.json")
+    ids = [x for _, text in docs for x in [*t.encode(text, add_special_tokens=False).ids, 0]]
+    for token in (0, t.encode(" the", add_special_tokens=False).ids[0], 49999):
+        found = wavelet.lookup(spark, path, token).collect()
+        assert sum(r.n for r in found) == ids.count(token)
+        assert all((r.first_at is None) == (r.n == 0) for r in found)
+
+
 def test_wavelet_matrix():
     import numpy as np
 
