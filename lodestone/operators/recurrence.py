@@ -18,6 +18,8 @@ from ..functions.text import ascii_lower, squeeze, text_of
 from ..plans.staging import staged
 
 MIN_TOKENS, PERCENT = 5, 60
+# Fixed value: how a recurring ask is printed (number of sessions, first day, first words).
+LINE = "carried across {} sessions since {}: {}"
 
 
 def ask_tokens(c: Column | str) -> Column:
@@ -74,7 +76,7 @@ def recurring(asks: DataFrame, min_sessions: int = 2, percent: int = PERCENT) ->
     """``founder, sessions, first_ts, first_text, line`` of the groups seen in several sessions."""
     held = asks.join(group_asks(asks, percent), "rowid").select("founder", "session", text_of("ts").alias("ts"), "rowid", "text")
     groups = held.groupBy("founder").agg(F.count_distinct("session").alias("sessions"), F.min_by(F.struct("ts", "text"), F.struct("ts", "rowid")).alias("first")).where(F.col("sessions") >= min_sessions)
-    line = F.concat(F.lit("carried across "), F.col("sessions").cast("string"), F.lit(" sessions since "), F.substring("first.ts", 1, 10), F.lit(": "), squeeze("first.text", 110))
+    line = F.format_string(LINE.replace("{}", "%s"), F.col("sessions").cast("string"), F.substring("first.ts", 1, 10), squeeze("first.text", 110))
     return groups.select("founder", "sessions", F.col("first.ts").alias("first_ts"), F.col("first.text").alias("first_text"), line.alias("line"))
 
 

@@ -149,6 +149,6 @@ def recall_slots(scene: DataFrame, talk: DataFrame, work: DataFrame, prompts: Da
 def recall_message(slots: DataFrame) -> DataFrame:
     """``qid, reply``: the hook reply as JSON; prompts without lines pass through unanswered."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("slot", "line"))), lambda x: F.concat(F.lit("\n· "), x["line"]))
-    text = F.concat(F.lit("[recall] from your own history; it was true when written, so check it before relying on it:"), F.array_join(lines, ""))
+    text = F.concat(F.lit("[recall] notes of earlier sessions that touch on this. Each is as old as its date; look again where it matters."), F.array_join(lines, ""))
     reply = F.to_json(F.struct(F.lit(True).alias("continue"), F.struct(F.lit("UserPromptSubmit").alias("hookEventName"), F.col("text").alias("additionalContext")).alias("hookSpecificOutput")))
     return slots.groupBy("qid").agg(text.alias("text")).select("qid", reply.alias("reply"))

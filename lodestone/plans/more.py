@@ -14,7 +14,7 @@ from ..functions.predicates import CORRECTIONS
 from ..functions.text import squeeze, stable_key, text_of
 from ..functions.tokens import porter
 from ..functions.wordpiece import WordPiece
-from ..operators import briefing, condense, curate, encoders, graph, search, sessions, work
+from ..operators import briefing, condense, curate, encoders, graph, retrieve, search, sessions, work
 from ..sources.transcripts import messages
 from ..streaming.events import ADVICE, hints
 from . import registry as base
@@ -194,6 +194,75 @@ _PADDED = "(' ' || " + _low("coalesce(text, '')") + " || ' ')"
 _HINTS = f"""WITH {_ROWS}, c AS (SELECT DISTINCT 's' || (rowid // 1000) AS session_id, CASE WHEN {_has(base._folded('text'), CORRECTIONS)} THEN 'correction' {' '.join(f"WHEN {_has(_PADDED, ps)} THEN '{name}'" for name, ps in base.CATEGORIES)} END AS category FROM {_SPOKEN})
 SELECT session_id, category, '[hint] this ' || CASE category {' '.join(f"WHEN '{k}' THEN {_q([v])}" for k, v in ADVICE.items())} END AS reply FROM c WHERE category IS NOT NULL"""
 
+# ---- what a prompt is answered with: a session's scene, talk, and work that was run
+
+
+def scene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for scenes: a session's first words."""
+    talk = memory_rows(spark, sf_dir).where(F.col("role").isin("user", "assistant", "system"))
+    held = talk.groupBy("session").agg(F.min("rowid").alias("rowid"), F.min_by(text_of("text"), "rowid").alias("text"), F.max("ts").alias("ts_end"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return held.select("rowid", F.concat(F.lit("session "), "session").alias("title"), F.substring("text", 1, 200).alias("summary"), F.lit("done").alias("outcome"), "session", "ts_end")
+
+
+def work_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as tool traffic."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("rowid"), "text", F.lit("tool").alias("role"), F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("session"), F.lit("2026-01-01T00").alias("ts"))
+
+
+def recall_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines at most for every prompt, some of them given before."""
+    rows, scenes_, traffic = memory_rows(spark, sf_dir), scene_rows(spark, sf_dir), work_table(spark, sf_dir)
+    asked = rows.where(F.col("rowid") % 100 == 0).select(F.col("rowid").alias("qid"), F.col("text").alias("prompt"), F.col("session").alias("exclude"), "session")
+    index = index_of(spark, sf_dir)
+    scene = retrieve.scene_hits(search.build_index(scenes_, ("title", "summary", "outcome")).stage("scenes"), index, scenes_, asked)
+    talk = retrieve.retrieve(index, rows, asked, 12)
+    ran = retrieve.retrieve(search.build_index(traffic).stage("work"), traffic, asked, 2)
+    seen = talk.where((F.col("rank") == 1) & (F.col("qid") % 3000 == 0)).join(asked, "qid").select("session", "key")
+    return retrieve.recall_slots(scene, talk, ran, asked, seen).select("qid", "slot", "lane", "line")
+
+
+def _lane(p: str, rows: str, columns: tuple[str, ...] = ("text",)) -> str:
+    """Rows, tokens and frequencies of a lane whose names begin with ``p``."""
+    tokens = " || ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')" for c in columns)
+    return f"""{p}rows AS MATERIALIZED ({rows}), {p}toks AS (SELECT rowid, {tokens} AS ts FROM {p}rows), {p}dls AS MATERIALIZED (SELECT rowid, len(ts) AS dl FROM {p}toks), {p}totals AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}dls),
+{p}tf AS MATERIALIZED (SELECT rowid, t AS term, count(*) AS tf FROM (SELECT rowid, unnest(ts) AS t FROM {p}toks) GROUP BY ALL), {p}df AS MATERIALIZED (SELECT term, count(*) AS df FROM {p}tf GROUP BY term)"""
+
+
+def _best(p: str, gate: str) -> str:
+    """The 40 best rows of lane ``p`` for the terms that are rare in lane ``gate``."""
+    return f"""{p}rare AS MATERIALIZED (SELECT qid, list(e.term ORDER BY i) AS terms FROM (SELECT qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM given) e LEFT JOIN {gate}df df ON df.term = lower(e.term), {gate}totals
+  WHERE n < 200 OR df <= greatest(5, floor(n * 6 / 100)) GROUP BY qid HAVING count(*) >= 2),
+{p}s AS (SELECT qid, rowid, sum(({_BM25}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM (SELECT qid, unnest(terms) AS term FROM {p}rare) a JOIN {p}df df ON df.term = lower(a.term) JOIN {p}tf tf ON tf.term = df.term JOIN {p}dls USING (rowid), {p}totals GROUP BY ALL),
+{p}c AS MATERIALIZED (SELECT qid, rowid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rowid) AS r FROM {p}s QUALIFY r <= 40)"""
+
+
+def _talk(p: str, limit: int) -> str:
+    low, echo = _low("head"), lambda x: _squeeze(_low(x), 400)
+    return f"""{p}f AS (SELECT qid, rowid, r, x.ts, role, project, session, left(coalesce(text, ''), 400) AS head, {_key('x.')} AS key, prompt, exclude, terms FROM {p}c JOIN {p}rows x USING (rowid) JOIN {p}rare USING (qid) JOIN asked USING (qid)),
+{p}hits AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank, key, left(ts, 10) || ' ' || role || CASE WHEN coalesce(project, '') = '' THEN '' ELSE '/' || project END || ': ' || {_squeeze('head', 160)} AS line FROM {p}f
+  WHERE session <> exclude AND len(list_filter(terms, lambda t: contains({low}, t))) >= 2
+    AND NOT (strlen({echo('prompt')}) >= 25 AND (contains({echo('head')}, {echo('prompt')}) OR contains({echo('prompt')}, {echo('head')}))) QUALIFY rank <= {limit})"""
+
+
+_PROMPT_TERMS = base._TERMS.replace("coalesce(text, '')", "coalesce(prompt, '')")
+_SLOTS = f"""WITH {_ROWS}, asked AS MATERIALIZED (SELECT rowid AS qid, text AS prompt, session AS exclude FROM rows_ WHERE rowid % 100 = 0),
+given AS MATERIALIZED (SELECT qid, list(t ORDER BY i)[1:12] AS terms FROM (SELECT qid, t, min(i) AS i FROM (SELECT qid, unnest({_PROMPT_TERMS}) AS t, generate_subscripts({_PROMPT_TERMS}, 1) AS i FROM asked WHERE NOT {_noise('prompt')}) GROUP BY qid, t) GROUP BY qid HAVING count(*) >= 2),
+{_lane('m', 'SELECT rowid, text, role, project, session, ts FROM rows_')},
+{_lane('w', "SELECT doc_id AS rowid, text, 'tool' AS role, source AS project, 'd' || doc_id AS session, '2026-01-01T00' AS ts FROM documents")},
+{_lane('z', "SELECT min(rowid) AS rowid, 'session ' || session AS title, left(min_by(coalesce(text, ''), rowid), 200) AS summary, 'done' AS outcome, session, max(ts) AS ts_end FROM rows_ WHERE role IN ('user', 'assistant', 'system') GROUP BY session HAVING count(*) >= 5", ('title', 'summary', 'outcome'))},
+{_best('m', 'm')}, {_talk('m', 12)}, {_best('w', 'w')}, {_talk('w', 2)}, {_best('z', 'm')},
+zhits AS (SELECT qid, 1 AS rank, session || '|' || ts_end || '|scene|' || left(title, 64) AS key, title || ' (' || outcome || ', ' || left(ts_end, 10) || ')' AS line FROM zc JOIN zrows USING (rowid) JOIN zrare USING (qid) JOIN asked USING (qid)
+  WHERE session <> exclude AND len(list_filter(terms, lambda t: contains({_low("title || ' ' || summary")}, t))) >= 2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r) = 1),
+seen AS (SELECT DISTINCT exclude AS session, key FROM mhits JOIN asked USING (qid) WHERE rank = 1 AND qid % 3000 = 0),
+u AS (SELECT qid, rank, key, line, 0 AS lane FROM zhits UNION ALL SELECT qid, rank, key, line, 1 FROM mhits UNION ALL SELECT qid, rank, key, line, 2 FROM whits),
+n AS (SELECT u.*, u.qid IN (SELECT qid FROM whits) AS reserved FROM u JOIN asked USING (qid) WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.session = asked.exclude AND seen.key = u.key)),
+o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY qid, key ORDER BY lane, rank) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid, lane ORDER BY rank) AS nth, max((lane = 0)::INT) OVER (PARTITION BY qid) AS scenes FROM o),
+q AS (SELECT * FROM p WHERE lane <> 1 OR nth <= 3 - 2 * scenes - reserved::INT)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY lane, nth)::INT AS slot, lane::INT AS lane, CASE WHEN lane = 2 THEN '(ran) ' || line ELSE line END AS line FROM q QUALIFY slot <= 3"""
+
 # ---- coverage, calibration, graph
 
 
@@ -266,11 +335,11 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select(F.col("rowid").alias("doc_id"), F.size("ids").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (porter_search, asks_search, turn_digests, distilled, scenes, project_states, topic_menu, hinted, coverage, calibration, saved_bytes, graph_links, pieces)}
+QUERIES = {f.__name__: f for f in (porter_search, asks_search, turn_digests, distilled, scenes, project_states, topic_menu, hinted, recall_slots, coverage, calibration, saved_bytes, graph_links, pieces)}
 
 SQL = {
     "porter_search": _PORTER, "asks_search": _ASKS, "turn_digests": _DIGEST, "distilled": _DISTILLED, "scenes": _SCENES, "project_states": _STATES, "topic_menu": _TOPICS,
-    "hinted": _HINTS, "coverage": _COVERAGE, "calibration": _CALIBRATION, "saved_bytes": _SAVED, "graph_links": _GRAPH,
+    "hinted": _HINTS, "recall_slots": _SLOTS, "coverage": _COVERAGE, "calibration": _CALIBRATION, "saved_bytes": _SAVED, "graph_links": _GRAPH,
 }
 
 __all__ = ["QUERIES", "SQL", "squeeze"]

@@ -36,6 +36,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # gone when the driver ends
     return spark.read.schema(df.schema).parquet(path)
 
 
