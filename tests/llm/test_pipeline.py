@@ -61,7 +61,7 @@ def test_operator_same_as_its_sql(spark, name):
 def test_odd_rows_pass_through(spark, tmp_path):
     """Nulls, repeated rows, columns with names that the stages use themselves."""
     r = random.Random(3)
-    prose = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(4000)}" for _ in range(n))
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(n))
     one = prose(90)
     rows = [(1, one, "a", "b", 1), (1, one, "a", "b", 1), (None, prose(80), None, None, None), (2, None, "x", "y", 2), (3, "", "x", "y", 3), (4, prose(70), "r", "s", 4), (4, prose(75), "r", "s", 4)]
     spark.createDataFrame(rows, "doc_id bigint, text string, __row string, kept string, n_words int").write.parquet(str(tmp_path / "documents.parquet"))
