@@ -279,11 +279,7 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     links = staged(confirm(first), "cluster-links")
     label = components(links)
     apart = _labelled(_labelled(stars, label, "a", "la"), label, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b").distinct()
-    more = staged(confirm(apart.join(first, ["a", "b"], "left_anti")), "cluster-links")
-    if not more.isEmpty():
-        unstage(label)
-        links = links.unionByName(more)
-        label = components(links)
+    links = links.unionByName(staged(confirm(apart.join(first, ["a", "b"], "left_anti")), "cluster-links"))
     collect_garbage(spark)
 
     # buckets of three or more that still hold several components
@@ -304,10 +300,9 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
             .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("bucket"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
             .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label", "items")
         )
-        more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")
+        links = links.unionByName(staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links"))
         unstage(sized)
-        if not more.isEmpty():
-            unstage(label)
-            label = components(links.unionByName(more))
+    unstage(label)
+    label = components(links)
     unstage(members)
     return label

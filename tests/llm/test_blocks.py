@@ -82,3 +82,18 @@ def test_pairs_of_lines():
         a.append("".join(one))
         b.append(base[n % 4 :] if n % 11 else "")
     assert similar_pairs(pa.array(a), pa.array(b), 80, 5).tolist() == [brute.alike_lines(x, y, 80, 5) for x, y in zip(a, b, strict=True)]
+
+
+def test_components_of_chains_and_stars(spark):
+    from lodestone.llm.components import components
+
+    r = random.Random(12)
+    n = 400
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 180)] + [(a, b) for a, b in ((r.randrange(200, n), r.randrange(200, n)) for _ in range(130))] + [(5, 5), (None, 3), (7, 6)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    parts = [x for x in _roots(n, [(a, b) for a, b in edges if a is not None]) if len(x) > 1]
+    got = {}
+    for row in components(df).collect():
+        got.setdefault(row.label, set()).add(row.v)
+    assert {frozenset(x) for x in got.values()} == set(parts) and all(k == min(v) for k, v in got.items())
+    assert components(df.limit(0)).count() == 0
