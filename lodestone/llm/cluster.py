@@ -272,20 +272,30 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     ``a, b``.  ``sets``: ``v, items`` (what ``load`` reads) of all vertices in ``mates``.
     """
     spark = mates.sparkSession
-    stars = mates.where(F.col("v") != F.col("hub")).select(F.col("v").alias("a"), F.col("hub").alias("b"))
+    stars = mates.where(F.col("v") != F.col("hub")).select("bucket", "v", "hub")
+
+    def torn(rows: DataFrame) -> DataFrame:
+        """Rows whose member and hub are in different components."""
+        return _labelled(_labelled(rows, label, "v", "la"), label, "hub", "lb").where(F.col("la") != F.col("lb")).select("bucket", "v", "hub")
 
     # each vertex first with the smallest of its hubs, then with the others outside its component
-    first = stars.groupBy("a").agg(F.min("b").alias("b"))
+    first = staged(stars.groupBy(F.col("v").alias("a")).agg(F.min("hub").alias("b")), "cluster-first")
     links = staged(confirm(first), "cluster-links")
     label = components(links)
-    apart = _labelled(_labelled(stars, label, "a", "la"), label, "b", "lb").where(F.col("la") != F.col("lb")).select("a", "b").distinct()
-    links = links.unionByName(staged(confirm(apart.join(first, ["a", "b"], "left_anti")), "cluster-links"))
+    left = staged(torn(stars), "cluster-torn")
+    apart = left.select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = staged(confirm(apart), "cluster-links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        unstage(label)
+        label = components(links)
     collect_garbage(spark)
 
-    # buckets of three or more that still hold several components
-    members = _labelled(mates.where(F.col("bucket").isNotNull()).groupBy("bucket", "v").agg(F.min("hub").alias("hub")), label, "v", "label")
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") > 2)).select("bucket", "n")
-    members = staged(members.join(mixed, "bucket"), "cluster-mixed")
+    # rows tie all members of a bucket to each other, so it holds several components if and only if one of them is torn
+    mixed = torn(left.where(F.col("bucket").isNotNull())).select("bucket").distinct()
+    members = mates.join(mixed, "bucket").groupBy("bucket", "v").agg(F.min("hub").alias("hub"))
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2)
+    members = staged(_labelled(members.join(counts, "bucket"), label, "v", "label"), "cluster-mixed")
     if not members.isEmpty():
         sized = staged(members.join(sets, "v").withColumn("bytes", F.octet_length("items")), "cluster-sets")
         weight = sized.groupBy("bucket").agg(F.sum("bytes").alias("total"))
@@ -300,9 +310,10 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
             .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("bucket"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
             .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label", "items")
         )
-        links = links.unionByName(staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links"))
+        more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")
         unstage(sized)
-    unstage(label)
-    label = components(links)
-    unstage(members)
+        if not more.isEmpty():
+            unstage(label)
+            label = components(links.unionByName(more))
+    unstage(members, left, first)
     return label

@@ -131,5 +131,36 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+#: Removal of repeated bytes in SQL: every string of 50 bytes of every document (as hexadecimal digits), and the smallest document it starts in.
+_REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, i, substr(hx, (2 * i + 1)::BIGINT, 100) AS s FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN m USING (s) WHERE doc_id > least),
+b AS (SELECT doc_id, i, sum((before IS NULL OR i > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c),
+r AS (SELECT doc_id, span, min(i) AS lo, max(i) + 50 AS hi FROM b GROUP BY doc_id, span),
+k AS (SELECT d.doc_id, coalesce(lag(hi) OVER x, 0) AS begin, lo AS until FROM r JOIN d USING (doc_id) WINDOW x AS (PARTITION BY d.doc_id ORDER BY lo)
+  UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), length(hx) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, hx),
+t AS (SELECT doc_id, string_agg(substr(hx, (2 * begin + 1)::BIGINT, (2 * (until - begin))::BIGINT), '' ORDER BY begin) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+#: Near-duplicates in SQL: all pairs with a common shingle, and what can be reached over links.
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.least, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_cascade": _QUALITY_SQL, "op4_decontaminate": _DECONTAMINATE_SQL}
+    return {"op2_quality_cascade": _QUALITY_SQL, "op3_suffix_array": _REPEATS_SQL, "op4_decontaminate": _DECONTAMINATE_SQL, "op5_setsketch": _NEAR_SQL}

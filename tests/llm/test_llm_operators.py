@@ -157,6 +157,28 @@ def test_decontaminate_gives_a_row_for_each_row(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 3, 2, 3), (1, 4, 4, 3), (1, 4, 4, 3), (2, 2, 0, 0), (2, 2, 2, 3), (3, 0, 0, 0)]
 
 
+def test_decontaminate_with_a_filter_that_lets_much_through(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1024)
+    df = table(spark, SF, "documents").select("doc_id", "text")
+    items = [tuple(x) for x in table(spark, SF, "benchmark").collect()] + [(900, "the of")]
+    got = rows(decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string")), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "full")
+    assert got == brute.leaks([tuple(x) for x in df.collect()], items)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestone.llm.common import shared_dir
+
+    conf = {"spark.checkpoint.dir": "hdfs:/shared/"}
+    session = lambda master, held: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d)), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("yarn", conf)) == "hdfs:/shared"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            shared_dir(session(master, {}))
+    assert shared_dir(session("local[4]", {})).startswith("file://")
+
+
 def test_near(corpus):
     df, docs = corpus
     assert rows(setsketch.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs)
