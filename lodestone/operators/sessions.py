@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import blank, date_of, essence, squeeze, stable_key, text_of
+from ..functions.text import date_of, essence, squeeze, stable_key, text_of
 
 TALK = ("user", "assistant", "system")
 ROW_CHARS, DIGEST_BYTES, MIN_ROWS = 300, 6000, 5
