@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, pack, partitions, ragged, runs, staged, unpack, unstage
+from .common import collect_garbage, pack, partitions, ragged, release, runs, staged, unpack, unstage
 from .components import components
 
 #: Entries (key, vertex) that a task resolves and packs at once.
 FLUSH = 600_000
 #: Low bits of a key that are left out, so that a vertex's place has room there (2**16 vertices a flush at most).
 DROPPED_BITS = 16
-#: Members, and bytes of their sets, of a block of a large bucket; what small buckets are gathered to.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Members, and bytes of their sets, of a block of a large bucket; bytes that small buckets are gathered to.
+BLOCK, BLOCK_BYTES, GROUP_BYTES = 1024, 4 << 20, 1 << 20
 #: Shingles that so few members share are counted pair by pair, others by a matrix product.
 FEW = 12
 #: Members of a bucket up to which its pairs are compared one by one, together with those of other buckets.
@@ -136,6 +136,8 @@ def bucket_mates(rows: DataFrame, signed: Signed) -> DataFrame:
                 ks, vs, n = [], [], 0
         if n:
             yield _spread(ks, vs, parts)
+        ks = vs = None
+        release()
 
     packed = rows.mapInArrow(run, "rides boolean, part int, pack binary")
     return staged(packed.groupBy("rides", "part").applyInArrow(_meet, MATES), "cluster-mates")
@@ -258,6 +260,8 @@ def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
         union = size[row[left]][:, None] + size[row[right]][None, :] - both
         x, y = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[left][:, None] != label[right][None, :]))
         link(left[x], right[y])
+    del flat, items, t
+    release()
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
@@ -300,7 +304,7 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
         sized = staged(members.join(sets, "v").withColumn("bytes", F.octet_length("items")), "cluster-sets")
         weight = sized.groupBy("bucket").agg(F.sum("bytes").alias("total"))
         blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_BYTES))).cast("int")
-        groups = 1 + int((weight.agg(F.sum("total")).head()[0] or 0) // BLOCK_BYTES)
+        groups = 1 + int((weight.agg(F.sum("total")).head()[0] or 0) // GROUP_BYTES)
         rows = (
             sized.join(weight, "bucket")
             .withColumn("blocks", blocks)

@@ -115,6 +115,17 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back, so that idle workers stay small beside the next stage's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -288,14 +288,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def line_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (their upper 48 bits) of lines, and their offsets."""
     parts, lens = [], []
-    for lo in range(0, len(col), 1 << 16):
-        some = col.slice(lo, 1 << 16)
-        data, offs = text_buffers(some)
-        flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
-        key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(o)) << np.uint64(48)) | (flat >> np.uint64(16)))
-        key = key[runs(key)]
-        parts.append(key << np.uint64(16))
-        lens.append(np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=len(some)))
+    for b in by_bytes(iter([pa.RecordBatch.from_arrays([col], ["line"])]), "line", BAND_BYTES):
+        for lo in range(0, b.num_rows, 1 << 16):
+            some = b.column(0).slice(lo, 1 << 16)
+            data, offs = text_buffers(some)
+            flat, o = shingle_hashes(np.ascontiguousarray(data), offs[:-1], offs[1:], width)
+            key = np.sort((np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(o)) << np.uint64(48)) | (flat >> np.uint64(16)))
+            key = key[runs(key)]
+            parts.append(key << np.uint64(16))
+            lens.append(np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=len(some)))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(np.concatenate(lens))] if lens else [[0]]).astype(np.int64)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, text_buffers
+from .common import by_bytes, release, text_buffers
 
 #: Bytes of text whose statistics are found at once (a dozen 64-bit numbers for each byte).
 CHUNK_BYTES = 1 << 20
@@ -253,6 +253,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
             cols += [pa.array(getattr(chunk, s), pa.int64()) for s in stats]
             cols += [pa.array(bad), pa.array(cascade(chunk, ordered, ~bad))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, *stats, "base_failed", "kept"])
+        release()
 
     types = dict(src.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + "".join(f", {s} bigint" for s in stats) + ", base_failed boolean, kept boolean"
