@@ -30,7 +30,7 @@ def _forms(stem: str) -> list[str]:
     return sorted(w for w in one | {x + e for x in one for e in ("s", "ed", "ing", "ly")} if porter(w) == stem)
 
 
-PORTER_TERMS = ("the of", "ands", "ering")
+PORTER_TERMS = ("the of", "ands", "things")
 
 
 def porter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
