@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ragged
+from .common import by_bytes, ragged, release, small_batches
 from .pieces import PieceCache
 
 #: The pre-tokenizer's pattern (fixed value; the vocabulary file names it by kind only).
@@ -208,6 +208,7 @@ def compiled(path: str) -> tuple[Automaton, PieceCache]:
     if path not in _compiled:
         a = Automaton(path)
         _compiled[path] = (a, PieceCache(a.encode_many, np.uint32))
+        release()  # what compiling took
     return _compiled[path]
 
 
@@ -219,6 +220,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
     Null text counts as empty (no ids; the digests of nothing); rows with null
     or repeated ``doc_id`` are kept as they are; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 

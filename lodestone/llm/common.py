@@ -50,6 +50,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     caller deletes before goes when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")
@@ -115,6 +116,16 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Spark's setting of the rows of an Arrow batch, its default, and what the operators here ask for instead: texts are long.
+BATCH_ROWS, BATCH_DEFAULT, BATCH_WANTED = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of fewer rows, unless the session names a number; tasks cut them by bytes anyway."""
+    if spark.conf.get(BATCH_ROWS, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_ROWS, BATCH_WANTED)
+
+
 def release() -> None:
     """Give freed memory of a Python worker back, so that idle workers stay small beside the next stage's."""
     import ctypes

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 
 #: A quoted value may hold ``>``, but only if what follows the closing quote can stand there: a stray quote ends nothing.
 _TOKEN = re.compile(
@@ -328,6 +328,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     capped; repeated rows are rows of their own; an empty table gives an empty
     result.  No shuffle.
     """
+    small_batches(pages.sparkSession)
     keep = ["page_id", "url"] if keep is None else keep
     src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("__html"))
     weights = fitted()

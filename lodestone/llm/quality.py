@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, release, text_buffers
+from .common import by_bytes, release, small_batches, text_buffers
 
 #: Bytes of text whose statistics are found at once (a dozen 64-bit numbers for each byte).
 CHUNK_BYTES = 1 << 20
@@ -240,6 +240,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     Null text has no words, so it fails the base test; repeated rows and null
     ids are judged each for itself; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     ordered = rule_order(docs, rules, sample_rows)
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, text_buffers
+from .common import by_bytes, small_batches, text_buffers
 from .pieces import PieceCache, cut
 
 #: Bytes of pieces in one call of the library.
@@ -72,6 +72,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, keep: list
     Null text counts as empty (0 bytes, 0 tokens).  A SentencePiece model has no
     safe boundary inside a text, so there each text is one piece.
     """
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import by_bytes
+from .common import by_bytes, small_batches
 from .pieces import PieceCache
 
 #: A shard is closed at the first document after this many ids.
@@ -201,6 +201,7 @@ def write_shards(docs: DataFrame, vocab_path: str, path: str, end_id: int = 0, s
     are ordered by text, null ids come first.  Null text counts as empty; every
     document ends with ``end_id``.  An empty table writes no shard.
     """
+    small_batches(docs.sparkSession)
     src = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
