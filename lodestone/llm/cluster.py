@@ -298,7 +298,7 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     # rows tie all members of a bucket to each other, so it holds several components if and only if one of them is torn
     mixed = torn(left.where(F.col("bucket").isNotNull())).select("bucket").distinct()
     members = mates.join(mixed, "bucket").groupBy("bucket", "v").agg(F.min("hub").alias("hub"))
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2)
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("least")).where(F.col("n") > 2)
     members = staged(_labelled(members.join(counts, "bucket"), label, "v", "label"), "cluster-mixed")
     if not members.isEmpty():
         sized = staged(members.join(sets, "v").withColumn("bytes", F.octet_length("items")), "cluster-sets")
@@ -310,8 +310,9 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
             .withColumn("blocks", blocks)
             .withColumn("own", F.pmod(F.hash("v"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            # a bucket of one block shares its task with others; of a larger one each pair of blocks has its own
-            .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("bucket"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
+            # a bucket of one block shares its task with others, first of all with those of its smallest member, which have
+            # the same pairs again; of a larger one each pair of blocks has its own
+            .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("least"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
             .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label", "items")
         )
         more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")

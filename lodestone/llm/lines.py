@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,23 +367,17 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keep)
         for b in by_bytes(batches, "__text"):
-            out, n_lines, n_gone = [], [], []
-            for text, cut in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True):
-                if text is None:
-                    out.append(None)
-                    n_lines.append(0)
-                    n_gone.append(0)
-                    continue
-                n_lines.append(text.count("\n") + 1)
-                if cut:
-                    parts, drop = text.split("\n"), set(cut)
-                    left = [x for i, x in enumerate(parts) if i not in drop]
-                    n_gone.append(len(parts) - len(left))
-                    text = "\n".join(left)
-                else:
-                    n_gone.append(0)
-                out.append(text)
-            cols = [b.column(i) for i in range(k)] + [pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), b.column(k + 2)]
+            text, cuts = b.column(k), b.column(k + 1)
+            n_lines = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0)
+            cut = pc.and_(cuts.is_valid(), text.is_valid())
+            some, n_gone = [], np.zeros(b.num_rows, np.int64)
+            for i in np.flatnonzero(cut.to_numpy(zero_copy_only=False)).tolist():  # all others pass as they are
+                parts, drop = text[i].as_py().split("\n"), set(cuts[i].as_py())
+                left = [x for j, x in enumerate(parts) if j not in drop]
+                n_gone[i] = len(parts) - len(left)
+                some.append("\n".join(left))
+            text = pc.replace_with_mask(text, cut, pa.array(some, text.type))
+            cols = [b.column(i) for i in range(k)] + [text, pc.cast(n_lines, pa.int64()), pa.array(n_gone), b.column(k + 2)]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "text", "n_lines", "n_removed", "n_fuzzy"])
 
     types = dict(src.dtypes)
