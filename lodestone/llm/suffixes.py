@@ -104,7 +104,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     p = np.flatnonzero(most == key[: len(most)])
     p = p[most[p] > 0]
     row = np.searchsorted(at, p, "right") - 1
-    around = (_mix(h50[p - LEFT]) & ~np.uint64(0xFFFFFFFF)) | (_mix(h50[p] ^ np.uint64(0xABCDEF)) >> np.uint64(32))
+    around = _mix(h50[p - LEFT] * np.uint64(_P) + _mix(h50[p] ^ np.uint64(0xABCDEF)))  # 64 bits of both sides together
     near_left, near_right = (_mix(h) >> np.uint64(56) for h in (h33[p - HALF], h33[p]))
     return row, p - at[row], key[p], around, near_left.astype(np.uint8), near_right.astype(np.uint8)
 
