@@ -226,7 +226,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, cache = compiled(vocab_path)
-        for b in by_bytes(batches, "__text"):
+        for b in by_bytes(batches, "__text", 2 << 20):
             ids, offs = cache.texts(b.column(len(keep)))
             raw, at = automaton.emit(ids)
             n = b.num_rows
@@ -254,6 +254,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
                 cols.append(pa.array(decoded, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     types = dict(src.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"

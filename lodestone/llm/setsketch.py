@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .cluster import bucket_mates, cluster, pair_counts, vertices_of
 from .common import by_bytes, collect_garbage, staged, text_buffers, unstage
+from .decontaminate import bloom_filter
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair at 0.75 shares none with probability 5e-6
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -199,7 +200,8 @@ def _likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``v, items``: the full sets of some documents, eight bytes a shingle."""
-    src = docs.select(F.col("doc_id").alias("v"), "text").join(ids, "v", "left_semi")
+    here = bloom_filter(ids.select(F.xxhash64("v").alias("key")))  # texts of other documents are not shuffled
+    src = docs.select(F.col("doc_id").alias("v"), "text").where(here(F.xxhash64("doc_id"))).join(ids, "v", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
@@ -245,10 +247,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     vertices = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("sketch").alias("sketch"))
     vertices = staged(vertices, "setsketch-vertices")
     mates = bucket_mates(vertices.select("v", "sketch"), _signed)
-    sets = staged(_sets(docs, vertices_of(mates), width), "setsketch-sets")
+    wanted = staged(vertices_of(mates), "setsketch-wanted")
+    sets = staged(_sets(docs, wanted, width), "setsketch-sets")
     collect_garbage(docs.sparkSession)
     label = cluster(mates, lambda pairs: _confirm(_likely(pairs, vertices, percent), sets, percent), sets, load_sets, percent)
-    unstage(sets, mates)
+    unstage(sets, mates, wanted)
     named = base.join(vertices.select("f1", "f2", "n_shingles", "v"), ["f1", "f2", "n_shingles"], "left")
     out = named.join(label, "v", "left").select("doc_id", "n_shingles", F.coalesce("label", "v", "doc_id").alias("component_id"))
     out = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "setsketch-out")

@@ -64,12 +64,12 @@ def test_odd_rows_pass_through(spark, tmp_path):
     prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(n))
     one = prose(90)
     rows = [(1, one, "a", "b", 1), (1, one, "a", "b", 1), (None, prose(80), None, None, None), (2, None, "x", "y", 2), (3, "", "x", "y", 3), (4, prose(70), "r", "s", 4), (4, prose(75), "r", "s", 4)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, __row string, kept string, n_words int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows, "doc_id bigint, text string, __row string, key string, n_words int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(rows[5][1].split()[:20]))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "__row", "kept", "n_words"], name
+        assert docs.columns == ["doc_id", "text", "__row", "key", "n_words"], name
     assert sorted((x.doc_id or 0, x.text) for x in docs.collect()) == sorted([(0, rows[2][1]), (1, one), (1, one), (4, rows[6][1])])
 
 
