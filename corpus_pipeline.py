@@ -7,11 +7,12 @@ running stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_automaton, decontaminate, lines, quality, setsketch
 from lodestone.llm.common import staged
+from lodestone.llm.decontaminate import bloom_filter
 from lodestone.llm.queries import table, vocabulary
 
 
@@ -34,10 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[row[c].alias(c) for c in docs.columns])
 
 
+def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` (a hash) is among ``gone`` (``key``).
+
+    Rows that a filter of bounded size rules out stay without being shuffled.
+    """
+    gone = staged(gone.select("key").distinct(), "pipeline-gone")
+    maybe = bloom_filter(gone)(key)
+    left = docs.where(maybe).join(gone.withColumnRenamed("key", "__gone"), key == F.col("__gone"), "left_anti")
+    return docs.where(~maybe).unionByName(left)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates."""
-    gone = setsketch.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = setsketch.near_duplicates(docs).where(~F.col("kept")).select(F.xxhash64("doc_id").alias("key"))
+    return _without(docs, gone, F.xxhash64("doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +59,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     A long document that holds a whole passage goes as well, however small the passage's share.
     """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated or full").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")
+    gone = found.where("contaminated or full").select(F.xxhash64("doc_id", "text_hash").alias("key"))
+    return _without(docs, gone, F.xxhash64("doc_id", F.xxhash64("text")))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
