@@ -1,5 +1,6 @@
 """The library's own operators on small hand-made tables."""
 
+import itertools
 import json
 
 import pytest
@@ -57,6 +58,16 @@ def test_porter_match(lane):
     assert [r.rowid for r in search.match(search.build_index(lane, tokenizer="porter"), ["parsing"]).collect()] == [2]
 
 
+def test_rows_with_equal_parts_tie(spark, lane):
+    """Rows that hold six equally frequent terms as often, in another order, have one score, and go by ``rowid``."""
+    terms = list("abcdef")
+    rows = list(itertools.permutations(range(1, 7)))
+    tf = spark.createDataFrame([(t, i, 21, n) for i, row in enumerate(rows) for t, n in zip(terms, row, strict=True)], "term string, rowid long, dl int, tf long")
+    index = search.Index(lane, lane, ("text",), "simple", 5000, 20.0)
+    found = search.score_batch(index, spark.createDataFrame([(1, t) for t in terms], "qid long, term string"), tf, 40).collect()
+    assert len({r.score for r in found}) == 1 and sorted((r["rank"], r.rowid) for r in found) == [(i, i) for i in range(40)]
+
+
 def test_bm25_against_sqlite(lane):
     sqlite3 = pytest.importorskip("sqlite3")
     con = sqlite3.connect(":memory:")
