@@ -17,7 +17,9 @@ an equal beginning elsewhere:
    and compared with their neighbours: in a run of equal suffixes all but those
    of the smallest document are marked.  Splitters are whole strings of ``WIDTH``
    bytes, so a beginning that very many suffixes share is cut as finely as any,
-   and equal strings fall on one side of a boundary.
+   and equal strings fall on one side of a boundary.  Suffixes travel in
+   ``ROUNDS`` parts by a hash of theirs, one after the other, so the disk holds
+   one part at a time.
 
 Both steps first resolve equal strings inside a task and send only those of the
 task's smallest document, so a passage that a third of all documents share
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ HALF = LEFT // 2
 FLUSH_ANCHORS, FLUSH_SUFFIXES = 1_500_000, 300_000
 #: Bytes of text whose anchors are found at once (a dozen 64-bit numbers for each byte).
 ANCHOR_BYTES = 1 << 20
+#: Parts in which the suffixes are shuffled and compared.
+ROUNDS = 2
 #: Documents from which splitters are sampled (a bound; it affects balance only).
 SAMPLE_DOCS = 400
 PAD = 0xFF  # no byte of UTF-8
@@ -289,8 +294,15 @@ def _windows(text: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
     return starts[(starts >= 0) & (starts <= len(text) - WIDTH)]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows that are to be sorted, their documents and places, of ``doc_id, __tag, text, tries``."""
+def _round_of(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The round in which each window is compared, by its first and last eight bytes."""
+    words = np.lib.stride_tricks.sliding_window_view(text, 8)
+    first, last = (np.ascontiguousarray(words[starts + d]).view("<u8").ravel() for d in (0, WIDTH - 8))
+    return _mix(first * np.uint64(_P) + _mix(last)) % np.uint64(ROUNDS)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], turn: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows that are to be sorted (in round ``turn``), their documents and places, of ``doc_id, __tag, text, tries``."""
     for b in by_bytes(batches, "text"):
         data, offs = text_buffers(b.column(2))
         lists = b.column(3)
@@ -300,6 +312,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         for i in range(b.num_rows):
             text = data[offs[i] : offs[i + 1]]
             starts = _windows(text, p_all[at[i] : at[i + 1]], k_all[at[i] : at[i + 1]])
+            if turn is not None and len(starts):
+                starts = starts[_round_of(text, starts) == turn]
             if len(starts):
                 yield np.lib.stride_tricks.sliding_window_view(text, WIDTH)[starts], np.full(len(starts), ids[i]), _place(starts, np.full(len(starts), tags[i]))
 
@@ -338,24 +352,33 @@ def repeated(docs: DataFrame) -> DataFrame:
     collect_garbage(spark)
 
     tries = marks.where(F.col("kind") > 0).groupBy("doc_id", F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("pos", "kind")).alias("tries"))
-    tried = src.join(tries, ["doc_id", "__tag"]).select("doc_id", "__tag", "text", "tries")
+    # written once, so the shuffle of the texts is gone before the suffixes' begin, and no round repeats it
+    tried = staged(src.join(tries, ["doc_id", "__tag"]).select("doc_id", "__tag", "text", "tries"), "suffixes-tried")
+    collect_garbage(spark)
     splitters = _splitters(tried, buckets)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for part in _candidates(batches):
-            parts.append(part)
-            held += len(part[1])
-            if held >= FLUSH_SUFFIXES:
+    def windows(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, held = [], 0
+            for part in _candidates(batches, turn):
+                parts.append(part)
+                held += len(part[1])
+                if held >= FLUSH_SUFFIXES:
+                    yield _spread(_pack_suffixes(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters))
+                    parts, held = [], 0
+            if held:
                 yield _spread(_pack_suffixes(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters))
-                parts, held = [], 0
-        if held:
-            yield _spread(_pack_suffixes(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters))
 
-    more = staged(_reduce(tried.mapInArrow(windows, PACKED), _compared, WINDOW), "suffixes-windows")
-    collect_garbage(spark)
+        return run
+
+    rounds = []
+    for turn in range(ROUNDS):
+        rounds.append(staged(_reduce(tried.mapInArrow(windows(turn), PACKED), _compared, WINDOW), f"suffixes-windows-{turn}"))
+        collect_garbage(spark)
+    unstage(tried)
+    more = reduce(DataFrame.unionByName, rounds)
     found = staged(marks.where(F.col("kind") == COVERED).unionByName(more).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "kind")).alias("marks")), "suffixes-found")
-    unstage(marks, more)
+    unstage(marks, *rounds)
     return found
 
 

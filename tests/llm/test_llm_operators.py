@@ -128,6 +128,22 @@ def test_suffixes_of_texts_that_share_an_id(spark):
     assert [(d, n) for _, d, n in got] == [(1, 0), (3, 300), (2, 0), (2, 0), (2, 120)]
 
 
+def test_suffixes_are_shuffled_in_parts(spark, monkeypatch):
+    """No shuffle holds all suffixes, and the parts together find what a whole would."""
+    docs = [(i, "the same eight words stand before every line of it " + f"{i % 40:03d} and then something else, different {i % 7} times over") for i in range(300)]
+    sizes, plain = [], suffixes._reduce
+
+    def spy(packed, solve, kind):
+        if kind == suffixes.WINDOW:
+            sizes.append(packed.agg(F.sum(F.octet_length("pack"))).head()[0])
+        return plain(packed, solve, kind)
+
+    monkeypatch.setattr(suffixes, "_reduce", spy)
+    got = rows(suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.without_repeats(docs)
+    assert max(sizes) < 0.7 * sum(sizes)
+
+
 def test_suffixes_with_one_beginning(spark):
     """Very many strings that share their first words, cut between buckets all the same."""
     docs = [(i, "the same eight words stand before every line of it " + f"{i % 40:03d} and then something else, different {i % 7} times over") for i in range(300)]
