@@ -39,6 +39,8 @@ from .pieces import PieceCache
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: States kept before the table of transitions is begun anew.
 MAX_STATES = 300_000
+#: States with which a worker may stay idle; with more, all it compiled goes (compiling again takes a second).
+KEPT_STATES = 50_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -204,7 +206,7 @@ _compiled: dict[str, tuple[Automaton, PieceCache]] = {}
 
 
 def compiled(path: str) -> tuple[Automaton, PieceCache]:
-    """The automaton of a vocabulary, compiled once in each worker process."""
+    """The automaton of a vocabulary, compiled once in each worker process as long as it is small."""
     if path not in _compiled:
         a = Automaton(path)
         _compiled[path] = (a, PieceCache(a.encode_many, np.uint32))
@@ -212,6 +214,13 @@ def compiled(path: str) -> tuple[Automaton, PieceCache]:
     return _compiled[path]
 
 
+def settle() -> None:
+    """What a task leaves behind: idle workers stay small beside the next stage's."""
+    for path in [p for p, (a, _) in _compiled.items() if len(a.states) > KEPT_STATES]:
+        del _compiled[path]
+    release()
+
+
 def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` (default ``doc_id``),
     ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; on request the ``ids`` and
@@ -254,7 +263,8 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
                 cols.append(pa.array(decoded, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
-        release()
+        automaton = cache = None
+        settle()
 
     types = dict(src.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -114,6 +114,22 @@ def test_quality_order_does_not_matter(corpus):
     assert rows(quality.quality(df), "doc_id", "kept") == rows(quality.quality(df, tuple(reversed(quality.RULES)), 1), "doc_id", "kept")
 
 
+def test_idle_workers_keep_no_large_tables(spark):
+    """A task that met very many words leaves no table of all of them in its worker."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    docs = [(i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1500))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    assert bpe_automaton.encode_decode(df, vocabulary("byte_bpe_50k.json")).agg(F.sum("n_tokens")).head()[0] > 0
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(a.states) for a, _ in bpe_automaton._compiled.values())] * b.num_rows, pa.int64())], ["id"])
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(held, "id bigint").agg(F.max("id")).head()[0] <= 50_000
+
+
 def test_suffixes(corpus):
     df, docs = corpus
     assert rows(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(docs)
