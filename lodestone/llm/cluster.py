@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import collect_garbage, pack, partitions, ragged, release, runs, staged, unpack, unstage
 from .components import components
@@ -210,13 +211,17 @@ def common_counts(flat: np.ndarray, offs: np.ndarray, rows: np.ndarray, other: n
 def spanning_links(t: pa.Table, load: Load, percent: int) -> pa.Table:
     """``a, b``: links that join the components of buckets: ``bucket, i, j, own, v, hub, label, items``.
 
+    ``items`` may be null in all rows of a member but one.
+
     All pairs of the two blocks ``i`` and ``j`` of a bucket (one bucket after the
     other) are compared exactly; of those that are similar only as many are
     returned as it takes to join their components.
     """
     t = t.combine_chunks()
     v, hub, label, own, i, j, bucket = (t[c].to_numpy() for c in ("v", "hub", "label", "own", "i", "j", "bucket"))
-    _, first, row = np.unique(v, return_index=True, return_inverse=True)  # a member of many buckets is read once
+    _, row = np.unique(v, return_inverse=True)
+    held = np.flatnonzero(t["items"].is_valid().to_numpy())
+    first = held[np.unique(v[held], return_index=True)[1]]  # a member of many buckets is sent and read once
     items = t["items"].take(pa.array(first))
     flat, offs = load(items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items)
     size = np.diff(offs)
@@ -301,11 +306,12 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("hub").alias("least")).where(F.col("n") > 2)
     members = staged(_labelled(members.join(counts, "bucket"), label, "v", "label"), "cluster-mixed")
     if not members.isEmpty():
-        sized = staged(members.join(sets, "v").withColumn("bytes", F.octet_length("items")), "cluster-sets")
+        # placed by the sizes of sets alone; the sets themselves are shuffled last, to each task once
+        sized = staged(members.join(sets.groupBy("v").agg(F.max(F.octet_length("items")).alias("bytes")), "v"), "cluster-sized")
         weight = sized.groupBy("bucket").agg(F.sum("bytes").alias("total"))
         blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_BYTES))).cast("int")
         groups = 1 + int((weight.agg(F.sum("total")).head()[0] or 0) // GROUP_BYTES)
-        rows = (
+        placed = (
             sized.join(weight, "bucket")
             .withColumn("blocks", blocks)
             .withColumn("own", F.pmod(F.hash("v"), F.col("blocks")).cast("int"))
@@ -313,10 +319,13 @@ def cluster(mates: DataFrame, confirm: Callable[[DataFrame], DataFrame], sets: D
             # a bucket of one block shares its task with others, first of all with those of its smallest member, which have
             # the same pairs again; of a larger one each pair of blocks has its own
             .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.hash("least"), F.lit(groups)).cast("bigint")).otherwise(F.col("bucket")))
-            .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label", "items")
+            .select("task", "blocks", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "hub", "label")
         )
+        again = F.row_number().over(Window.partitionBy("v", "task", "blocks", "i", "j").orderBy("bucket"))
+        placed = staged(placed.withColumn("again", again), "cluster-placed")
+        rows = placed.join(sets, "v").select("task", "blocks", "bucket", "i", "j", "own", "v", "hub", "label", F.when(F.col("again") == 1, F.col("items")).alias("items"))
         more = staged(rows.groupBy("task", "blocks", "i", "j").applyInArrow(lambda t: spanning_links(t, load, percent), "a bigint, b bigint"), "cluster-links")
-        unstage(sized)
+        unstage(sized, placed)
         if not more.isEmpty():
             unstage(label)
             label = components(links.unionByName(more))

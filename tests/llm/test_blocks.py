@@ -60,6 +60,14 @@ def test_many_buckets_in_one_task():
     assert [(r["a"], r["b"]) for r in spanning_links(t, load, 80).to_pylist()] == [(10, 11), (20, 21), (30, 31)]
 
 
+def test_a_member_of_many_buckets_comes_with_its_set_once():
+    lines = {1: "one line of text that is said twice", 2: "one line of text that is said twice.", 3: "nothing like any of the others here"}
+    rows = [(5, 1, None), (5, 3, None), (6, 1, lines[1]), (6, 2, lines[2]), (7, 2, None), (7, 3, lines[3])]
+    z = pa.array([0] * 6, pa.int32())
+    t = pa.table({"i": z, "j": z, "own": z, "bucket": [r[0] for r in rows], "v": [r[1] for r in rows], "hub": [0] * 6, "label": [r[1] for r in rows], "items": pa.array([r[2] for r in rows], pa.string())})
+    assert [(r["a"], r["b"]) for r in spanning_links(t, load, 80).to_pylist()] == [(1, 2)]
+
+
 def test_counts_of_shared_hashes():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 60, r.integers(0, 30))).astype(np.uint64) for _ in range(40)]
