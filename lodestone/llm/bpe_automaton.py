@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ragged, release, small_batches
+from .common import by_bytes, release, small_batches, text_buffers
 from .pieces import PieceCache
 
 #: The pre-tokenizer's pattern (fixed value; the vocabulary file names it by kind only).
@@ -80,9 +80,7 @@ class Automaton:
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")") if self.special else None
-        self.lens = np.array([len(x) for x in self.labels], np.int64)
-        self.label_offs = np.concatenate([[0], np.cumsum(self.lens)])
-        self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
+        self.label_column = pa.array(self.labels, pa.large_binary())
         self._fresh()
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
@@ -105,17 +103,17 @@ class Automaton:
             self.token[node] = ids[label]
 
     def _fresh(self) -> None:
-        self.keys: dict[tuple, int] = {(-1, ()): 0}
-        self.states: list[tuple] = [(-1, ())]
-        self.last: list[int] = [-1]
+        #: a state: its last label, then a trie node and the label before it for each label that is being read, in one flat tuple
+        self.keys: dict[tuple[int, ...], int] = {(-1,): 0}
+        self.states: list[tuple[int, ...]] = [(-1,)]
         self.table: dict[int, int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def follows(self, t: int, x: int) -> bool:
         """Whether the state after label ``t`` has an arc ``x``."""
         if t < 0:
             return True
-        if (known := self.known.get((t, x))) is not None:
+        if (known := self.known.get(t * self.size + x)) is not None:
             return known
         held, z, until = True, x, 1 << 60
         while held and z >= 0:
@@ -127,26 +125,26 @@ class Automaton:
                     break
                 limit, y = self.rank[y], self.right[y]
             until, z = self.rank[z], self.left[z]
-        self.known[(t, x)] = held
+        self.known[t * self.size + x] = held
         return held
 
     def _step(self, at: int, byte: int) -> int:
         """Compute and keep one transition of the table."""
-        last, items = self.states[at]
-        moved, done = [], -1
-        for node, before in (*items, (0, last)):
+        state = self.states[at]
+        moved, done = [-1], -1
+        for node, before in (*zip(state[1::2], state[2::2], strict=True), (0, state[0])):
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            moved.append((to, before))
+            moved += to, before
             x = self.token[to]
             if done < 0 and x >= 0 and self.follows(before, x):
                 done = x
-        key = (done, tuple(moved))
+        moved[0] = done
+        key = tuple(moved)
         if (k := self.keys.get(key)) is None:
             k = self.keys[key] = len(self.states)
             self.states.append(key)
-            self.last.append(done)
         self.table[at << 8 | byte] = k
         return k
 
@@ -161,7 +159,7 @@ class Automaton:
             path.append(at)
         out, i = [], len(data)
         while i:
-            t = self.last[path[i]]
+            t = self.states[path[i]][0]
             out.append(t)
             i -= len(self.labels[t])
         out.reverse()
@@ -195,8 +193,7 @@ class Automaton:
 
     def emit(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the labels, and the offset of each id's first byte."""
-        pos, lens = ragged(self.label_offs, ids.astype(np.int64))
-        return self.label_bytes[pos], np.concatenate([[0], np.cumsum(lens)])
+        return text_buffers(self.label_column.take(pa.array(ids.astype(np.uint32, copy=False))))
 
     def decode(self, ids: np.ndarray) -> str:
         return self.emit(np.asarray(ids))[0].tobytes().decode("utf-8", "replace")
@@ -263,6 +260,8 @@ def encode_decode(docs: DataFrame, vocab_path: str, keep: list[str] | None = Non
                 cols.append(pa.array(decoded, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
+            ids = offs = raw = at = wide = view = text = cols = None
+            release()  # else what a chunk took adds up between the states that stay
         automaton = cache = None
         settle()
 

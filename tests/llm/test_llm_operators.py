@@ -130,6 +130,24 @@ def test_idle_workers_keep_no_large_tables(spark):
     assert spark.range(0, 8, 1, 8).mapInArrow(held, "id bigint").agg(F.max("id")).head()[0] <= 50_000
 
 
+def test_automaton_tables_are_small():
+    """What a state, its transitions and the pairs of labels tried for it take, on words that mostly make new states."""
+    import tracemalloc
+
+    a = bpe_automaton.Automaton(vocabulary("byte_bpe_50k.json"))
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)).encode() for _ in range(4000)]
+    tracemalloc.start()
+    try:
+        for w in words:
+            a.word(w)
+        taken, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(a.states) > 10_000
+    assert taken < 400 * len(a.states), taken / len(a.states)
+
+
 def test_suffixes(corpus):
     df, docs = corpus
     assert rows(suffixes.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(docs)
