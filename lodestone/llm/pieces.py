@@ -80,7 +80,7 @@ class PieceCache:
         found = pc.index_in(distinct, value_set=self.keys)
         if found.null_count:
             missing = distinct.filter(pc.is_null(found))
-            flat, lens = self.encode(missing.to_pylist())
+            flat, lens = self.encode(missing.to_numpy(zero_copy_only=False).tolist())
             base = len(self.keys)
             self.keys = pa.concat_arrays([self.keys, missing])
             self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])

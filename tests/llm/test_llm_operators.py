@@ -49,6 +49,24 @@ def test_wavelet(spark, corpus):
     assert rows(wavelet.read_documents(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == brute.encoded(docs)
 
 
+def test_new_pieces_are_encoded_together():
+    """Pieces of every kind get the library's ids, with few calls for each piece."""
+    import cProfile
+
+    import numpy as np
+    import pstats
+
+    r = random.Random(8)
+    pieces = ["".join(r.choices("abcdefghij", k=9)) for _ in range(6000)]
+    pieces = [(" " + p, "\n" + p, p, " " + p + "é", " " + p + "|", " <|endoftext|>" + p)[0 if i % 20 else i // 20 % 6] for i, p in enumerate(pieces)]
+    cache, _ = wavelet.encoder(vocabulary("byte_bpe_50k.json"))
+    seen = cProfile.Profile()
+    flat, lens = seen.runcall(cache.encode, pieces)
+    t = brute.tokenizer("byte_bpe_50k.json")
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [t.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert pstats.Stats(seen).total_calls < 5 * len(pieces)
+
+
 def test_lookup_in_shards(spark):
     docs = [(i, "the cat and the dog " * (i % 5)) for i in range(40)]
     path = new_path(spark, "wavelet-lookup")
