@@ -54,18 +54,25 @@ def _spread(keys: list[np.ndarray], vs: list[np.ndarray], parts: int) -> pa.Reco
     v = v[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
     key = key >> np.uint64(DROPPED_BITS) << np.uint64(DROPPED_BITS)
     begin = np.flatnonzero(runs(key))
-    size = np.diff(np.append(begin, len(key)))
-    hub, size = np.repeat(np.minimum.reduceat(v, begin), size), np.repeat(size, size)
-    rest = v != hub
+    ends = np.append(begin, len(key))
+    at, size = ragged(ends, np.flatnonzero(np.diff(ends) > 1))  # most keys are one vertex's alone
+    hub = np.repeat(np.minimum.reduceat(v[at], np.cumsum(size) - size), size) if len(at) else v[at]
+    far = v[at] != hub
+    rest, hub = at[far], hub[far]
     out = []
-    if rest.any():  # known to have a mate; sent to be written, not to be compared
-        out.append((-1 - int(key[0] % np.uint64(parts)), pack(key[rest].view(np.int64), v[rest], hub[rest])))
-    key, v, held = key[~rest], v[~rest], size[~rest] > 1
+    if len(rest):  # known to have a mate; sent to be written, not to be compared
+        out.append((-1 - int(key[0] % np.uint64(parts)), pack(key[rest].view(np.int64), v[rest], hub)))
+    held, left = np.zeros(len(key), np.uint8), np.ones(len(key), bool)
+    held[at] = 1
+    left[rest] = False
+    left = np.flatnonzero(left)
+    key, v, held = key[left], v[left], held[left]
     part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(part, np.arange(parts + 1))
+    key >>= np.uint64(DROPPED_BITS)
     for p in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[p], cuts[p + 1])
-        out.append((int(p), pack(np.diff(key[s] >> np.uint64(DROPPED_BITS), prepend=np.uint64(0)), v[s], held[s].astype(np.uint8))))
+        out.append((int(p), pack(np.diff(key[s], prepend=np.uint64(0)), v[s], held[s])))
     return pa.RecordBatch.from_arrays([pa.array([False] * len(out)), pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["rides", "part", "pack"])
 
 

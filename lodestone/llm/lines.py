@@ -40,6 +40,8 @@ LONG, FEW_BINS = 72, 100
 FLUSH = 200_000
 #: Bytes of text whose lines are found or signed at once (a dozen 64-bit numbers for each character).
 BAND_BYTES = 1 << 20
+#: Characters hashed, and lines of 256 bins filled, at a time.
+HASH_BLOCK, BIN_LINES = 1 << 15, 256
 
 _rng = np.random.default_rng(9)
 _ODD = _rng.integers(0, 1 << 32, HASHES).astype(np.uint32) | np.uint32(1)
@@ -109,15 +111,23 @@ def shingle_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width:
 def mixed_shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles from every character on, and where those of each line begin and end."""
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.zeros(len(data) + 1, np.int32)
-    np.cumsum((data & 0xC0) != 0x80, out=at[1:], dtype=np.int32)
-    lo, hi = at[begin].astype(np.int64), at[end] - width + 1
-    h = chars[: max(len(chars) - width + 1, 0)] + np.uint32(1)
-    for k in range(1, width):
-        h = h * np.uint32(0x9E3779B1) + chars[k : len(chars) - width + 1 + k]
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(16)), lo, hi.astype(np.int64)
+    inner = np.flatnonzero(data.view(np.int8) < -64)  # bytes that begin no character
+    lo, hi = begin - np.searchsorted(inner, begin), end - np.searchsorted(inner, end) - width + 1
+    n = max(len(chars) - width + 1, 0)
+    out, held = np.empty(n, np.uint32), np.empty(min(n, HASH_BLOCK), np.uint32)
+    for at in range(0, n, HASH_BLOCK):  # blocks that stay in a core's cache
+        h = out[at : at + HASH_BLOCK]
+        m = len(h)
+        x = held[:m]
+        np.add(chars[at : at + m], np.uint32(1), out=h)
+        for k in range(1, width):
+            np.multiply(h, np.uint32(0x9E3779B1), out=h)
+            np.add(h, chars[at + k : at + k + m], out=h)
+        for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            np.right_shift(h, np.uint32(shift), out=x)
+            np.bitwise_xor(h, x, out=h)
+            np.multiply(h, np.uint32(odd), out=h)
+    return out, lo, hi
 
 
 def minhash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -147,26 +157,29 @@ def binned(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, n
     bins borrow from others in an order that is the same for all lines, so two
     lines agree in a bin with the probability of their similarity.
     """
-    lens = hi - lo
-    ends = np.cumsum(lens)
-    row = np.repeat(np.arange(len(lo)), lens)
-    e = h[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - lens), lens)]
+    out, filled = np.empty((len(lo), HASHES), np.uint32), np.empty(len(lo), np.int64)
     shift = 32 - (HASHES - 1).bit_length()
     none = np.uint32(0xFFFFFFFF)
-    own = np.full(len(lo) * HASHES, none)
-    np.minimum.at(own, row * HASHES + (e >> np.uint32(shift)), e & np.uint32((1 << shift) - 1))
-    out = own.copy()
-    empty = np.flatnonzero(own == none)
-    filled = HASHES - np.bincount(empty // HASHES, minlength=len(lo))
-    bin_, k = empty % HASHES, 0
-    base = empty - bin_
-    while len(empty):
-        got = own[base + _LENDERS[k][bin_]]
-        out[empty] = got
-        left = got == none
-        empty, base, bin_ = empty[left], base[left], bin_[left]
-        k += 1
-    return out.reshape(-1, HASHES), filled
+    for at in range(0, len(lo), BIN_LINES):  # blocks that stay in a core's cache
+        some = slice(at, at + BIN_LINES)
+        lens = hi[some] - lo[some]
+        ends = np.cumsum(lens)
+        row = np.repeat(np.arange(0, len(lens) * HASHES, HASHES), lens)
+        e = h[np.arange(int(ends[-1])) + np.repeat(lo[some] - (ends - lens), lens)]
+        own = np.full(len(lens) * HASHES, none)
+        np.minimum.at(own, row + (e >> np.uint32(shift)), e & np.uint32((1 << shift) - 1))
+        full = out[some].reshape(-1)
+        full[:] = own
+        empty = np.flatnonzero(own == none)
+        filled[some] = HASHES - np.bincount(empty // HASHES, minlength=len(lens))
+        bin_, k = empty % HASHES, 0
+        while len(empty):
+            got = own[empty - bin_ + _LENDERS[k][bin_]]
+            full[empty] = got
+            left = np.flatnonzero(got == none)
+            empty, bin_ = empty[left], bin_[left]
+            k += 1
+    return out, filled
 
 
 def band_keys(sig: np.ndarray, salt: int) -> np.ndarray:

@@ -82,3 +82,39 @@ def test_bands_catch_pairs_of_all_sizes():
         h, lo = np.concatenate(hs), np.arange(600) * n
         for keys in (lines.band_keys(lines.minhash(h, lo, lo + n), 1), lines.band_keys(lines.binned(h, lo, lo + n)[0], 2)):
             assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.99, n
+
+
+def test_signing_works_in_blocks():
+    """Hashes and bins are those of a plain version, and no temporary is as large as the signatures of all lines."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(LETTERS + "é日") for _ in range(r.randrange(90, 130))) for _ in range(3000)]
+    raw = [x.encode() for x in texts]
+    ends = np.cumsum([len(x) for x in raw])
+    begins = ends - [len(x) for x in raw]
+    h, lo, hi = lines.mixed_shingles(np.frombuffer(b"".join(raw), np.uint8), begins, ends, 5)
+    tracemalloc.start()
+    try:
+        sig, filled = lines.binned(h, lo, hi)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * sig.nbytes
+    for i in (0, 255, 256, 257, 1111, 2999):
+        mixed = []
+        for at in range(len(texts[i]) - 4):
+            x = pow(0x9E3779B1, -1, 1 << 32)  # the first character counts one more
+            for c in texts[i][at : at + 5]:
+                x = (x * 0x9E3779B1 + ord(c)) & 0xFFFFFFFF
+            x = ((x ^ x >> 16) * 0x85EBCA6B) & 0xFFFFFFFF
+            x = ((x ^ x >> 13) * 0xC2B2AE35) & 0xFFFFFFFF
+            mixed.append(x ^ x >> 16)
+        assert h[lo[i] : hi[i]].tolist() == mixed
+        own = {}
+        for x in mixed:
+            own[x >> 24] = min(own.get(x >> 24, 1 << 24), x & 0xFFFFFF)
+        assert filled[i] == len(own)
+        assert sig[i].tolist() == [own[b] if b in own else next(own[o] for o in lines._LENDERS[:, b].tolist() if o in own) for b in range(256)]
