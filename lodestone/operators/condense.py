@@ -108,15 +108,31 @@ def condense_events(events: DataFrame, path: str) -> DataFrame:
 def calibrate(bodies: DataFrame, drags: bool = True, needles: tuple[str, ...] = NEEDLES) -> DataFrame:
     """``needle, lines, survived``: of the lines that only this needle flags, how many stay without it.
 
-    Bodies are judged once for each needle that alone flags a line of theirs.
+    A line is flagged without needle ``x`` if it has another one, so the least and
+    the last of the needles so far in its indented run tell it for every ``x``:
+    bodies are read once, and the lines themselves are not shuffled.
     """
-    low = ascii_lower("line")
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(n)) for n in needles]))
-    lines = flagged_lines(bodies, needles).withColumn("hits", hits)
-    sole = lines.where(F.size("hits") == 1).select("doc_id", F.col("hits")[0].alias("without")).distinct()
-    lines = lines.join(sole, "doc_id").withColumn("doc_id", F.struct("doc_id", "without"))
-    lines = lines.withColumn("sole", F.coalesce((F.size("hits") == 1) & (F.get("hits", F.lit(0)) == F.col("without")), F.lit(False))).withColumn("needle", F.size(F.array_remove("hits", F.col("without"))) > 0)
-    kept = kept_lines(lines, drags).where("sole").groupBy("without").agg(F.count(F.lit(1)).alias("lines"), F.count_if("keep").alias("survived"))
+    def nearest(numbers: range) -> Column:
+        return F.coalesce(*[F.when(F.contains("line", F.lit(needles[k])), F.lit(k)) for k in numbers])
+
+    parts = bodies.select("doc_id", split_lines(ascii_lower("body")).alias("lines"))
+    lines = parts.select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("i", "line"))
+    lines = lines.select("doc_id", "i", "n", indented("line").alias("below"), (F.col("line") == "").alias("empty"), nearest(range(len(needles))).alias("least"), nearest(range(len(needles) - 1, -1, -1)).alias("last"))
+    lines = lines.withColumn("sole", F.col("least") == F.col("last"))
+    order = Window.partitionBy("doc_id").orderBy("i")
+    lines = lines.withColumn("island", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(order))
+    one = F.col("least")
+    if drags:
+        within = Window.partitionBy("doc_id", "island").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lines = lines.withColumn("first_in", F.min("least").over(within)).withColumn("last_in", F.max("last").over(within))
+        lines = lines.withColumn("first_next", F.lead("first_in").over(order)).withColumn("last_next", F.lead("last_in").over(order))
+        seed = (F.col("first_in") != one) | (F.col("last_in") != one)
+        above = ~F.col("empty") & F.coalesce((F.col("first_next") != one) | (F.col("last_next") != one), F.lit(False))
+    else:
+        seed = above = F.lit(False)
+    edge = (F.col("i") < HEAD) | (F.col("i") + TAIL >= F.col("n"))
+    name = F.element_at(F.array(*[F.lit(n) for n in needles]), one + 1)
+    kept = lines.where("sole").select(name.alias("without"), (edge | seed | above).alias("keep")).groupBy("without").agg(F.count(F.lit(1)).alias("lines"), F.count_if("keep").alias("survived"))
     listed = F.explode(F.array(*[F.lit(n) for n in needles])).alias("needle")
     zero = F.lit(0).cast("bigint")
     return bodies.sparkSession.range(1).select(listed).join(kept.withColumnRenamed("without", "needle"), "needle", "left").select("needle", F.coalesce("lines", zero).alias("lines"), F.coalesce("survived", zero).alias("survived"))
